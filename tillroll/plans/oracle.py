@@ -114,3 +114,85 @@ ORACLE["clean_preview"] = with_(RAW, CLEAN) + """
 select InvoiceNo, StockCode, Description, Quantity, InvoiceDate, UnitPrice, CustomerID, TotalPrice
 from clean
 order by InvoiceNo, StockCode, InvoiceDate, Quantity, UnitPrice limit 5"""
+
+# ---- itemsets and rules (brute force: every subset of every basket) --------
+MIN_SUPPORT = 0.03
+
+BASKETS = """baskets as (select InvoiceNo, list_sort(list(item)) b from items group by InvoiceNo),
+nb as (select count(*) n from baskets)"""
+
+
+def itemsets_cte(min_support: float = MIN_SUPPORT) -> str:
+    return f"""subs as (select list_filter(b, lambda x, i: (m >> (i-1)) & 1 = 1) its
+         from (select b, unnest(range(1, (1 << len(b)))) m from baskets)),
+itemsets as (select its items, count(*) freq, count(*) / (select cast(n as double) from nb) support
+             from subs group by its
+             having count(*) >= ceil(cast({min_support} as double) * (select n from nb)))"""
+
+
+RULES = """r0 as (select items, support s, unnest(range(1, (1 << len(items)) - 1)) m
+       from itemsets where len(items) >= 2),
+r1 as (select list_filter(items, lambda x, i: (m >> (i-1)) & 1 = 1) ant,
+              list_filter(items, lambda x, i: (m >> (i-1)) & 1 = 0) con, s from r0),
+r2 as (select ant, con, a.support sa, c.support sc, s
+       from r1 join itemsets a on a.items = r1.ant join itemsets c on c.items = r1.con),
+r3 as (select *, s / sa conf, s - sa * sc lev, greatest(s * (1 - sa), sa * (sc - s)) den from r2),
+allrules as (select ant, con, sa antecedent_support, sc consequent_support, s support,
+                    conf confidence, conf / sc lift, lev leverage,
+                    case when conf >= 1.0 then cast('Infinity' as double) else (1 - sc) / (1 - conf) end conviction,
+                    case when den = 0 then 0.0 else lev / den end zhangs_metric,
+                    array_to_string(ant, ', ') antecedents_str, array_to_string(con, ', ') consequents_str
+             from r3)"""
+
+
+def rules_cte(metric: str = "confidence", threshold: float = 0.2) -> str:
+    return RULES + f""",
+rules as (select antecedent_support, consequent_support, round(support, 4) support,
+                 round(confidence, 4) confidence, round(lift, 4) lift, round(leverage, 4) leverage,
+                 round(conviction, 4) conviction, zhangs_metric, antecedents_str, consequents_str,
+                 antecedents_str || ' ➔ ' || consequents_str rule
+          from allrules where {metric} >= {threshold})"""
+
+
+MINE = with_(RAW, CLEAN, ITEMS, BASKETS, itemsets_cte())
+
+ORACLE["frequent_itemsets"] = MINE + """
+select array_to_string(items, ', ') items_str, len(items) n_items, freq, support from itemsets"""
+
+ORACLE["apriori_itemsets"] = ORACLE["frequent_itemsets"]
+
+ORACLE["itemset_counts"] = MINE + """
+select count(*) apriori_itemset_count, count(*) fpgrowth_itemset_count from itemsets"""
+
+ORACLE["itemset_pairs"] = with_(RAW, CLEAN, ITEMS) + """
+select a.item a, b.item b, count(*) freq
+from items a join items b on a.InvoiceNo = b.InvoiceNo and a.item < b.item
+group by a.item, b.item"""
+
+RULE_COLS = """antecedents_str, consequents_str, rule, antecedent_support, consequent_support, support,
+       confidence, lift, leverage, conviction, zhangs_metric"""
+
+ORACLE["association_rules"] = MINE + "," + rules_cte("confidence", 0.1) + f"""
+select {RULE_COLS} from rules"""
+
+ORACLE["rules_by_metric_lift"] = MINE + "," + rules_cte("lift", 0.95) + f"""
+select {RULE_COLS} from rules"""
+
+ORACLE["rules_by_metric_support"] = MINE + "," + rules_cte("support", 0.05) + f"""
+select {RULE_COLS} from rules"""
+
+ORACLE["rules_by_lift"] = MINE + "," + rules_cte() + """
+select rule, antecedents_str, consequents_str, support, confidence, lift from rules where lift >= 0.9"""
+
+ORACLE["rules_scatter"] = MINE + "," + rules_cte() + """
+select support, confidence, lift, rule from rules where lift >= 0.9"""
+
+TOP_EDGES = """edges as (select antecedents_str src, consequents_str dst, lift weight from rules
+          where lift >= 0.9
+          order by lift desc, confidence desc, support desc, rule limit 15)"""
+
+ORACLE["rule_graph_edges"] = MINE + "," + rules_cte() + "," + TOP_EDGES + """
+select src, dst, weight from edges"""
+
+ORACLE["rule_graph_nodes"] = MINE + "," + rules_cte() + "," + TOP_EDGES + """
+select id, count(*) degree from (select src id from edges union all select dst from edges) group by id"""

@@ -102,3 +102,94 @@ def q_top_products(spark, sf_dir):
 def q_item_support(spark, sf_dir):
     s = baskets.item_support(baskets.basket_items(_clean(spark, sf_dir)))
     return s.select("item", "n_baskets", F.round("support", 6).alias("support"))
+
+
+# ---- itemsets and rules -----------------------------------------------------
+from tillroll.operators import mining, rules as rl  # noqa: E402
+
+MIN_SUPPORT = 0.03     # interactive and API default
+MIN_CONFIDENCE = 0.2   # interactive default
+MIN_LIFT = 0.9         # slider value; lifts in the driver tables sit just under 1
+RULE_COLS = ["antecedents_str", "consequents_str", "rule", "antecedent_support",
+             "consequent_support", "support", "confidence", "lift", "leverage", "conviction",
+             "zhangs_metric"]
+
+
+def _items(spark, sf_dir):
+    return baskets.basket_items(_clean(spark, sf_dir))
+
+
+def _fp_itemsets(spark, sf_dir, min_support=MIN_SUPPORT):
+    return mining.fpgrowth_itemsets(baskets.basket_arrays(_clean(spark, sf_dir)), min_support)
+
+
+def _rules(spark, sf_dir, metric="confidence", threshold=MIN_CONFIDENCE):
+    return rl.association_rules(_fp_itemsets(spark, sf_dir), metric, threshold)
+
+
+def _itemset_view(df):
+    return df.select(F.array_join("items", ", ").alias("items_str"),
+                     F.size("items").alias("n_items"), "freq", "support")
+
+
+@query
+def q_frequent_itemsets(spark, sf_dir):
+    return _itemset_view(_fp_itemsets(spark, sf_dir))
+
+
+@query
+def q_apriori_itemsets(spark, sf_dir):
+    return _itemset_view(mining.apriori_itemsets(_items(spark, sf_dir), MIN_SUPPORT))
+
+
+@query
+def q_itemset_pairs(spark, sf_dir):
+    return mining.pair_counts(_items(spark, sf_dir))
+
+
+@query
+def q_itemset_counts(spark, sf_dir):
+    ap = mining.apriori_itemsets(_items(spark, sf_dir), MIN_SUPPORT)
+    fp = _fp_itemsets(spark, sf_dir)
+    return ap.agg(F.count(F.lit(1)).alias("apriori_itemset_count"),
+                  fp.select(F.count(F.lit(1))).scalar().alias("fpgrowth_itemset_count"))
+
+
+@query
+def q_association_rules(spark, sf_dir):
+    # confidence 0.1 keeps the two-item consequents in play
+    return _rules(spark, sf_dir, "confidence", 0.1).select(*RULE_COLS)
+
+
+@query
+def q_rules_by_metric_lift(spark, sf_dir):
+    return _rules(spark, sf_dir, "lift", 0.95).select(*RULE_COLS)
+
+
+@query
+def q_rules_by_metric_support(spark, sf_dir):
+    return _rules(spark, sf_dir, "support", 0.05).select(*RULE_COLS)
+
+
+def _active_rules(spark, sf_dir):
+    return rl.filter_by_lift(_rules(spark, sf_dir), MIN_LIFT)
+
+
+@query
+def q_rules_by_lift(spark, sf_dir):
+    return rl.rules_table(_active_rules(spark, sf_dir))
+
+
+@query
+def q_rules_scatter(spark, sf_dir):
+    return _active_rules(spark, sf_dir).select("support", "confidence", "lift", "rule")
+
+
+@query
+def q_rule_graph_edges(spark, sf_dir):
+    return rl.rule_graph_edges(_active_rules(spark, sf_dir), top_n=15)
+
+
+@query
+def q_rule_graph_nodes(spark, sf_dir):
+    return rl.rule_graph_nodes(rl.rule_graph_edges(_active_rules(spark, sf_dir), top_n=15))
