@@ -196,3 +196,48 @@ select src, dst, weight from edges"""
 
 ORACLE["rule_graph_nodes"] = MINE + "," + rules_cte() + "," + TOP_EDGES + """
 select id, count(*) degree from (select src id from edges union all select dst from edges) group by id"""
+
+# ---- evaluation on deterministic labels (customer market segment) ---------
+SEGLAB = """seglab as (select cast(c_custkey as varchar) CustomerID,
+                   cast(dense_rank() over (order by c_mktsegment) - 1 as integer) Cluster from customer)"""
+
+PTS = """pts as (select s.CustomerID id, l.Cluster k, s.Recency x, s.Frequency y, s.Monetary z
+        from scaled s join seglab l on s.CustomerID = l.CustomerID where l.Cluster <> -1)"""
+
+SIL = """dd as (select a.id, a.k, b.k k2,
+              sum(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) d, count(*) n
+       from pts a cross join pts b group by a.id, a.k, b.k),
+ab as (select id, max(case when k = k2 and n > 1 then d/(n-1) end) a,
+              min(case when k <> k2 then d/n end) b, max(case when k = k2 then n end) n_own
+       from dd group by id),
+sil as (select round(avg(case when n_own <= 1 then 0.0
+                              else coalesce((b-a)/nullif(greatest(a,b),0), 0) end), 4) silhouette_score from ab)"""
+
+DBI = """cen as (select k, avg(x) cx, avg(y) cy, avg(z) cz from pts group by k),
+spr as (select p.k, cx, cy, cz, avg(sqrt((x-cx)*(x-cx) + (y-cy)*(y-cy) + (z-cz)*(z-cz))) sg
+        from pts p join cen on p.k = cen.k group by p.k, cx, cy, cz),
+rr as (select a.k, max(coalesce((a.sg+b.sg) /
+              nullif(sqrt((a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy) + (a.cz-b.cz)*(a.cz-b.cz)), 0), 0)) r
+       from spr a join spr b on a.k <> b.k group by a.k),
+dbi as (select round(avg(r), 4) davies_bouldin_index from rr)"""
+
+EVAL = with_(RAW, CLEAN, RFM, SCALED, SEGLAB, PTS)
+
+ORACLE["silhouette_exact"] = EVAL + "," + SIL + "\nselect silhouette_score from sil"
+
+ORACLE["davies_bouldin"] = EVAL + "," + DBI + "\nselect davies_bouldin_index from dbi"
+
+ORACLE["cluster_metrics"] = EVAL + "," + SIL + "," + DBI + """
+select silhouette_score, davies_bouldin_index, cast((select count(distinct k) from pts) as integer) n_clusters,
+       cast(0 as integer) noise_count, 'Success' status from sil, dbi"""
+
+PROFILE = """profile as (select l.Cluster, round(avg(Recency), 1) Recency_Mean, round(avg(Frequency), 1) Frequency_Mean,
+                    round(avg(Monetary), 2) Monetary_Mean, count(*) Customer_Count
+             from rfm r join seglab l on r.CustomerID = l.CustomerID group by l.Cluster)"""
+
+ORACLE["cluster_profiles"] = with_(RAW, CLEAN, RFM, SEGLAB, PROFILE) + "select * from profile"
+
+ORACLE["cluster_points"] = with_(RAW, CLEAN, RFM, SCALED, SEGLAB) + """
+select s.CustomerID, round(Recency, 4) Recency, round(Frequency, 4) Frequency, round(Monetary, 4) Monetary,
+       l.Cluster, case when l.Cluster = -1 then 'Noise (-1)' else 'Cluster ' || cast(l.Cluster as varchar) end ClusterLabel
+from scaled s join seglab l on s.CustomerID = l.CustomerID"""

@@ -193,3 +193,53 @@ def q_rule_graph_edges(spark, sf_dir):
 @query
 def q_rule_graph_nodes(spark, sf_dir):
     return rl.rule_graph_nodes(rl.rule_graph_edges(_active_rules(spark, sf_dir), top_n=15))
+
+
+# ---- evaluation on deterministic labels (customer market segment) ---------
+from tillroll.functions.ranking import dense_index  # noqa: E402
+from tillroll.operators import evaluate as ev  # noqa: E402
+from tillroll.sources.tables import customer_segments  # noqa: E402
+
+
+def _segment_labels(spark, sf_dir, rfm_df):
+    """(CustomerID, Cluster): the customer's market segment, numbered by name."""
+    seg = customer_segments(spark, sf_dir)
+    idx = dense_index(seg, ["segment"], "Cluster")
+    return (rfm_df.select("CustomerID").join(seg, "CustomerID").join(idx, "segment")
+                  .select("CustomerID", F.col("Cluster").cast("int").alias("Cluster")))
+
+
+def _segment_points(spark, sf_dir):
+    raw = _rfm(spark, sf_dir)
+    scaled = rfm.rfm_scaled(raw)
+    return scaled.join(_segment_labels(spark, sf_dir, raw), "CustomerID")
+
+
+@query
+def q_silhouette_exact(spark, sf_dir):
+    return ev.silhouette_exact(_segment_points(spark, sf_dir)).select(
+        F.round("silhouette_score", 4).alias("silhouette_score"))
+
+
+@query
+def q_davies_bouldin(spark, sf_dir):
+    return ev.davies_bouldin(_segment_points(spark, sf_dir)).select(
+        F.round("davies_bouldin_index", 4).alias("davies_bouldin_index"))
+
+
+@query
+def q_cluster_metrics(spark, sf_dir):
+    return ev.cluster_metrics(_segment_points(spark, sf_dir))
+
+
+@query
+def q_cluster_profiles(spark, sf_dir):
+    raw = _rfm(spark, sf_dir)
+    return ev.cluster_profiles(raw, _segment_labels(spark, sf_dir, raw))
+
+
+@query
+def q_cluster_points(spark, sf_dir):
+    raw = _rfm(spark, sf_dir)
+    pts = ev.cluster_points(rfm.rfm_scaled(raw), _segment_labels(spark, sf_dir, raw))
+    return pts.select("CustomerID", *r4(*rfm.FEATURES), "Cluster", "ClusterLabel")
