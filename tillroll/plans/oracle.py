@@ -241,3 +241,24 @@ ORACLE["cluster_points"] = with_(RAW, CLEAN, RFM, SCALED, SEGLAB) + """
 select s.CustomerID, round(Recency, 4) Recency, round(Frequency, 4) Frequency, round(Monetary, 4) Monetary,
        l.Cluster, case when l.Cluster = -1 then 'Noise (-1)' else 'Cluster ' || cast(l.Cluster as varchar) end ClusterLabel
 from scaled s join seglab l on s.CustomerID = l.CustomerID"""
+
+# ---- density clustering (eps 0.5, min_samples 5 on the scaled features) ----
+PAIRS = """pid as (select CustomerID id, Recency x, Frequency y, Monetary z from scaled),
+pr as (select a.id a, b.id b from pid a join pid b
+       on (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 0.5*0.5)"""
+
+DBSCAN = """core as (select a id from pr group by a having count(*) >= 5),
+ce as (select pr.a, pr.b from pr join core c1 on pr.a = c1.id join core c2 on pr.b = c2.id),
+w(id, comp) as (select id, id from core
+                union select ce.b, w.comp from w join ce on ce.a = w.id where w.comp < ce.b),
+kk as (select id, min(comp) comp from w group by id),
+nl as (select id, cast(dense_rank() over (order by comp) - 1 as integer) lab from kk),
+bl as (select pr.a id, min(nl.lab) lab from pr join nl on pr.b = nl.id group by pr.a),
+dbl as (select p.id CustomerID, cast(coalesce(nl.lab, bl.lab, -1) as integer) Cluster
+        from pid p left join nl on nl.id = p.id left join bl on bl.id = p.id)"""
+
+ORACLE["eps_neighbors"] = with_(RAW, CLEAN, RFM, SCALED, PAIRS) + """
+select a CustomerID, count(*) n_neighbors from pr group by a"""
+
+ORACLE["dbscan_labels"] = "with recursive " + with_(RAW, CLEAN, RFM, SCALED, PAIRS, DBSCAN)[5:] + """
+select CustomerID, Cluster from dbl"""

@@ -243,3 +243,20 @@ def q_cluster_points(spark, sf_dir):
     raw = _rfm(spark, sf_dir)
     pts = ev.cluster_points(rfm.rfm_scaled(raw), _segment_labels(spark, sf_dir, raw))
     return pts.select("CustomerID", *r4(*rfm.FEATURES), "Cluster", "ClusterLabel")
+
+
+# ---- density clustering -------------------------------------------------
+from tillroll.operators import dbscan as db  # noqa: E402
+
+DBSCAN_EPS = 0.5        # reference default
+DBSCAN_MIN_SAMPLES = 5  # reference default
+
+
+@query
+def q_eps_neighbors(spark, sf_dir):
+    return db.neighbour_counts(_scaled(spark, sf_dir), DBSCAN_EPS)
+
+
+@query
+def q_dbscan_labels(spark, sf_dir):
+    return db.dbscan(_scaled(spark, sf_dir), DBSCAN_EPS, DBSCAN_MIN_SAMPLES)
