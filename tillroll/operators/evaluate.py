@@ -95,7 +95,9 @@ def silhouette_squared(points: DataFrame, label: str = "Cluster", features=FEATU
         F.struct(F.col(label).cast("long").alias("k"), F.count(F.lit(1)).alias("n"),
                  F.sum(sq).alias("q"),
                  *[F.sum(c).alias(f"s{i}") for i, c in enumerate(features)]).alias("st"))
-    arr = summ.agg(F.collect_list("st")).scalar()
+    # the subquery value is projected first: lambdas may not contain subqueries
+    pts = pts.select(label, *features, summ.agg(F.collect_list("st")).scalar().alias("_arr"))
+    arr = F.col("_arr")
     own_l = F.col(label).cast("long")
     x2 = sq
 

@@ -262,3 +262,11 @@ select a CustomerID, count(*) n_neighbors from pr group by a"""
 
 ORACLE["dbscan_labels"] = "with recursive " + with_(RAW, CLEAN, RFM, SCALED, PAIRS, DBSCAN)[5:] + """
 select CustomerID, Cluster from dbl"""
+
+# ---- nearest-centroid assignment to the segment centroids -------------------
+ORACLE["kmeans_assign"] = EVAL + """,
+cen as (select k, avg(x) c0, avg(y) c1, avg(z) c2 from pts group by k),
+dd as (select p.id, c.k, (p.x-c.c0)*(p.x-c.c0) + (p.y-c.c1)*(p.y-c.c1) + (p.z-c.c2)*(p.z-c.c2) d
+       from pts p cross join cen c),
+rk as (select id, k, d, row_number() over (partition by id order by d, k) rn from dd)
+select id CustomerID, cast(k as integer) Cluster, round(sqrt(d), 4) distance from rk where rn = 1"""

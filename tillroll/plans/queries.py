@@ -260,3 +260,36 @@ def q_eps_neighbors(spark, sf_dir):
 @query
 def q_dbscan_labels(spark, sf_dir):
     return db.dbscan(_scaled(spark, sf_dir), DBSCAN_EPS, DBSCAN_MIN_SAMPLES)
+
+
+# ---- K-Means ------------------------------------------------------------
+from tillroll.operators import kmeans as km  # noqa: E402
+
+KMEANS_K = 3        # reference default
+ELBOW_MAX_K = 10    # reference default
+
+
+@query
+def q_kmeans_labels(spark, sf_dir):
+    return km.kmeans(_scaled(spark, sf_dir), k=KMEANS_K).labels
+
+
+@query
+def q_kmeans_centroids(spark, sf_dir):
+    c = km.kmeans(_scaled(spark, sf_dir), k=KMEANS_K).centroids
+    return c.select("Cluster", "name", *r4(*rfm.FEATURES))
+
+
+@query
+def q_elbow_curve(spark, sf_dir):
+    return km.elbow_curve(_scaled(spark, sf_dir), max_k=ELBOW_MAX_K).select(
+        "k", F.round("wcss", 4).alias("wcss"))
+
+
+@query
+def q_kmeans_assign(spark, sf_dir):
+    pts = _segment_points(spark, sf_dir)
+    cents = pts.groupBy("Cluster").agg(*[F.avg(c).alias(c) for c in rfm.FEATURES])
+    a = km.assign_nearest(pts, cents)
+    return a.select("CustomerID", F.col("Cluster").cast("int").alias("Cluster"),
+                    F.round("distance", 4).alias("distance"))
