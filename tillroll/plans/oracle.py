@@ -270,3 +270,45 @@ dd as (select p.id, c.k, (p.x-c.c0)*(p.x-c.c0) + (p.y-c.c1)*(p.y-c.c1) + (p.z-c.
        from pts p cross join cen c),
 rk as (select id, k, d, row_number() over (partition by id order by d, k) rn from dd)
 select id CustomerID, cast(k as integer) Cluster, round(sqrt(d), 4) distance from rk where rn = 1"""
+
+# ---- payload, personas, report rules, analyze ------------------------------
+PAY = with_(RAW, CLEAN, RFM, SEGLAB, PROFILE, ITEMS, BASKETS, itemsets_cte()) + "," + rules_cte() + """,
+prl as (select row_number() over (order by lift desc, confidence desc, support desc, rule) position,
+               antecedents_str antecedent_items, consequents_str consequent_items, support, confidence, lift
+        from rules qualify position <= 10)
+"""
+
+ORACLE["insight_payload"] = PAY + """
+select 'segment' section, Cluster position, cast(Cluster as integer) cluster_id, Recency_Mean recency_days_avg,
+       Frequency_Mean frequency_invoices_avg, Monetary_Mean monetary_spend_avg, cast(Customer_Count as integer) customer_count,
+       cast(null as varchar) antecedent_items, cast(null as varchar) consequent_items,
+       cast(null as double) support, cast(null as double) confidence, cast(null as double) lift
+from profile
+union all
+select 'rule', position, null, null, null, null, null, antecedent_items, consequent_items, support, confidence, lift
+from prl"""
+
+ORACLE["cluster_personas"] = with_(RAW, CLEAN, RFM, SEGLAB, PROFILE) + """
+select *, case when Monetary_Mean > 500 or Frequency_Mean > 10 then 'High-Value VIP Loyalists'
+               when Recency_Mean > 100 then 'At-Risk / Dormant Customers'
+               else 'Steady Core Shoppers' end persona,
+       Cluster = -1 is_noise
+from profile"""
+
+ORACLE["report_rules"] = PAY + """
+select position rule_no,
+       '### Rule #' || cast(position as varchar) || ': [' || antecedent_items || '] ➔ [' || consequent_items || ']' title,
+       '- **Metrics:** Lift = `' || cast(lift as varchar) || '` | Confidence = `'
+         || cast(cast(round(cast(confidence * 100 as decimal(20,4)), 1) as decimal(20,1)) as varchar)
+         || '%` | Support = `'
+         || cast(cast(round(cast(support * 100 as decimal(20,4)), 1) as decimal(20,1)) as varchar) || '%`' metrics,
+       '- **Merchandising Action:** Place `' || consequent_items || '` directly adjacent to `' || antecedent_items
+         || '` on shelf or configure automated ''Customers who bought ' || antecedent_items || ' also added '
+         || consequent_items || ''' digital popup widgets.' || chr(10) action
+from prl where position <= 5"""
+
+ORACLE["analyze_summary"] = MINE + "," + rules_cte() + """,
+top as (select rule from rules order by lift desc, confidence desc, support desc, rule limit 5)
+select 'success' status, (select count(*) from clean) cleaned_rows,
+       (select count(*) from rules) mined_rules_count,
+       (select string_agg(rule, ' | ' order by rule) from top) top_rules_text"""

@@ -293,3 +293,60 @@ def q_kmeans_assign(spark, sf_dir):
     a = km.assign_nearest(pts, cents)
     return a.select("CustomerID", F.col("Cluster").cast("int").alias("Cluster"),
                     F.round("distance", 4).alias("distance"))
+
+
+# ---- payload, personas, reports, analyze ------------------------------------
+from tillroll.operators import report as rp  # noqa: E402
+from tillroll.plans.analyze import analyze  # noqa: E402
+
+
+def _segment_profile(spark, sf_dir):
+    raw = _rfm(spark, sf_dir)
+    return ev.cluster_profiles(raw, _segment_labels(spark, sf_dir, raw))
+
+
+@query
+def q_cluster_personas(spark, sf_dir):
+    return rp.cluster_personas(_segment_profile(spark, sf_dir)).drop("description")
+
+
+@query
+def q_insight_payload(spark, sf_dir):
+    """The payload flattened to rows: one per segment, one per top rule."""
+    seg = rp.payload_segments(_segment_profile(spark, sf_dir))
+    rules_ = rp.payload_rules(_rules(spark, sf_dir), 10)
+    a = seg.select(F.lit("segment").alias("section"), F.col("cluster_id").cast("long").alias("position"),
+                   "cluster_id", "recency_days_avg", "frequency_invoices_avg", "monetary_spend_avg",
+                   "customer_count")
+    b = rules_.select(F.lit("rule").alias("section"), F.col("position").cast("long"),
+                      "antecedent_items", "consequent_items", "support", "confidence", "lift")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query
+def q_insight_payload_json(spark, sf_dir):
+    return rp.insight_payload(_segment_profile(spark, sf_dir), _rules(spark, sf_dir))
+
+
+@query
+def q_report_rules(spark, sf_dir):
+    return rp.report_rules(rp.payload_rules(_rules(spark, sf_dir), 10), 5)
+
+
+@query
+def q_offline_report(spark, sf_dir):
+    return rp.offline_report(_segment_profile(spark, sf_dir), _rules(spark, sf_dir))
+
+
+@query
+def q_prompt_table(spark, sf_dir):
+    return rp.prompt_table(rp.insight_payload(_segment_profile(spark, sf_dir), _rules(spark, sf_dir)))
+
+
+@query
+def q_analyze_summary(spark, sf_dir):
+    s = analyze(retail_lines(spark, sf_dir), n_clusters=3, min_support=MIN_SUPPORT,
+                min_confidence=MIN_CONFIDENCE)
+    return s.select("status", "cleaned_rows", "mined_rules_count",
+                    F.array_join(F.sort_array(F.transform("top_rules", lambda r: r["rule"])), " | ")
+                    .alias("top_rules_text"))
