@@ -312,3 +312,10 @@ top as (select rule from rules order by lift desc, confidence desc, support desc
 select 'success' status, (select count(*) from clean) cleaned_rows,
        (select count(*) from rules) mined_rules_count,
        (select string_agg(rule, ' | ' order by rule) from top) top_rules_text"""
+
+# ---- header normalisation and the wide basket matrix ------------------------
+ORACLE["normalize_columns"] = with_(RAW) + "select * from raw"
+
+ORACLE["basket_matrix"] = with_(RAW, CLEAN) + """,
+bl as (select InvoiceNo, Description item, sum(Quantity) q from clean group by all)
+pivot bl on item using coalesce(sum(q), 0) > 0 group by InvoiceNo"""

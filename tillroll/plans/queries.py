@@ -350,3 +350,21 @@ def q_analyze_summary(spark, sf_dir):
     return s.select("status", "cleaned_rows", "mined_rules_count",
                     F.array_join(F.sort_array(F.transform("top_rules", lambda r: r["rule"])), " | ")
                     .alias("top_rules_text"))
+
+
+# ---- header normalisation and the wide basket matrix ------------------------
+from tillroll.functions.schema import REQUIRED_COLUMNS, normalize_columns  # noqa: E402
+
+# Aliased headers as an upload might carry them (trimmed and looked up at plan time).
+UPLOAD_HEADERS = [" Invoice ", "SKU", "product_name", "Qty", "date", "Price", "cust-id"]
+
+
+@query
+def q_normalize_columns(spark, sf_dir):
+    uploaded = retail_lines(spark, sf_dir).toDF(*UPLOAD_HEADERS)
+    return normalize_columns(uploaded).select(*REQUIRED_COLUMNS)
+
+
+@query
+def q_basket_matrix(spark, sf_dir):
+    return baskets.basket_matrix(_clean(spark, sf_dir))

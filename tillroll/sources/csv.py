@@ -22,7 +22,8 @@ from tillroll.functions.schema import NA_TOKENS
 ENCODINGS = ["utf-8", "iso-8859-1"]
 SEPARATORS = [",", ";", "\t", "|"]
 MIN_COLUMNS = 3
-CORRUPT = "_corrupt_record"
+EXTRA = "_extra_field"
+NULL_SENTINEL = "\u0000"
 REPLACEMENT_CHAR = "�"
 
 
@@ -33,16 +34,14 @@ def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str
 
 
 def _read(spark: SparkSession, path: str, cols: list[str], sep: str, encoding: str) -> DataFrame:
+    # one spare column catches rows with more fields than the header; a null
+    # sentinel that never occurs keeps empty cells as "" until the NA mapping
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(cols))]
-                          + [T.StructField(CORRUPT, T.StringType())])
+                          + [T.StructField(EXTRA, T.StringType())])
     df = (spark.read.schema(schema).option("header", True).option("sep", sep)
           .option("encoding", encoding).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).option("nullValue", None)
-          .option("emptyValue", "").csv(path))
-    # a malformed row is dropped only when it has *more* fields than the header
-    wide = T.StructType([T.StructField(f"w{i}", T.StringType()) for i in range(len(cols) + 1)])
-    extra = F.from_csv(F.col(CORRUPT), wide.simpleString(), {"sep": sep})[f"w{len(cols)}"]
-    kept = df.filter(F.col(CORRUPT).isNull() | extra.isNull()).drop(CORRUPT)
+          .option("nullValue", NULL_SENTINEL).csv(path))
+    kept = df.filter(F.col(EXTRA).isNull())
     na = [F.when(F.col(f"_c{i}").isin(NA_TOKENS), F.lit(None)).otherwise(F.col(f"_c{i}"))
           .alias(c.strip() if c else f"Unnamed: {i}") for i, c in enumerate(cols)]
     return kept.select(*na)
