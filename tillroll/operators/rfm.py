@@ -9,46 +9,48 @@ FEATURES = ["Recency", "Frequency", "Monetary"]
 
 
 def snapshot_date(clean: DataFrame):
-    """Scalar subquery: latest invoice date plus one day.
-
-    A scalar subquery is planned as its own global aggregate (map-side partial
-    max, one row to the driver) and inlined as a literal; no join with the
-    customer rows is needed.
-    """
+    """Scalar subquery: latest invoice date plus one day."""
     return clean.select(F.max("InvoiceDate") + F.expr("INTERVAL 1 DAY")).scalar()
 
 
 def rfm_raw(clean: DataFrame) -> DataFrame:
     """(CustomerID, Recency, Frequency, Monetary), Monetary > 0 only.
 
-    Recency counts whole 24-hour days between the customer's last purchase and
-    the snapshot (not calendar days). Frequency is the number of distinct
-    invoices; Spark plans it as a (customer, invoice) pre-aggregation shuffled
-    on both keys, so one heavy customer does not land in a single task.
+    One pass over the lines: the per-customer aggregate keeps each customer's
+    last purchase, and the snapshot (latest date + 1 day) is the maximum of
+    those, read from the small aggregated table rather than from the lines
+    (every cleaned line has a customer, so the two maxima agree; the
+    aggregate's shuffle is reused by the subquery). Recency counts whole
+    24-hour days, not calendar days. Frequency is a distinct count that Spark
+    pre-aggregates on (customer, invoice) shuffled on both keys, so one heavy
+    customer does not land in a single task.
     """
-    snap = snapshot_date(clean)
-    return (clean.groupBy("CustomerID")
-                 .agg(F.timestamp_diff("DAY", F.max("InvoiceDate"), snap).alias("Recency"),
-                      F.count_distinct("InvoiceNo").alias("Frequency"),
-                      F.sum("TotalPrice").alias("Monetary"))
-                 .filter(F.col("Monetary") > 0))
+    per = (clean.groupBy("CustomerID")
+                .agg(F.max("InvoiceDate").alias("_last"),
+                     F.count_distinct("InvoiceNo").alias("Frequency"),
+                     F.sum("TotalPrice").alias("Monetary")))
+    snap = per.select(F.max("_last") + F.expr("INTERVAL 1 DAY")).scalar()
+    return (per.filter(F.col("Monetary") > 0)
+               .select("CustomerID", F.timestamp_diff("DAY", F.col("_last"), snap).alias("Recency"),
+                       "Frequency", "Monetary"))
 
 
 def rfm_scaled(raw_rfm: DataFrame, features=FEATURES) -> DataFrame:
     """log1p, then z-score with the population standard deviation.
 
-    A feature with zero spread scales to 0. Means and deviations come from one
-    merged scalar subquery over ``raw_rfm`` (three features, six numbers).
+    A feature with zero spread scales to 0. All means and deviations come
+    from one aggregate over ``raw_rfm`` read as a single struct-valued scalar
+    subquery (one job, six numbers).
     """
     logged = raw_rfm.select("CustomerID", *[F.log1p(F.col(c)).alias(c) for c in features])
-    stats = logged.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c)
-                         for c in features])
+    stats = logged.agg(F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c)
+                                  for c in features]).alias("st"))
+    staged = logged.select("CustomerID", *features, stats.scalar().alias("_st"))
     out = []
     for c in features:
-        st = stats.select(c).scalar()
-        out.append(F.when(st.s == 0, F.lit(0.0))
-                    .otherwise((F.col(c) - st.m) / st.s).alias(c))
-    return logged.select("CustomerID", *out)
+        m, sd = F.col("_st")[c]["m"], F.col("_st")[c]["s"]
+        out.append(F.when(sd == 0, F.lit(0.0)).otherwise((F.col(c) - m) / sd).alias(c))
+    return staged.select("CustomerID", *out)
 
 
 def rfm_histogram(raw_rfm: DataFrame, bins: int = 20, features=FEATURES) -> DataFrame:

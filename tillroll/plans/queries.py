@@ -368,3 +368,15 @@ def q_normalize_columns(spark, sf_dir):
 @query
 def q_basket_matrix(spark, sf_dir):
     return baskets.basket_matrix(_clean(spark, sf_dir))
+
+
+# ---- hierarchical clustering ------------------------------------------------
+from tillroll.operators import agglomerative as ag  # noqa: E402
+
+AGG_K = 3              # reference default
+AGG_LINKAGE = "ward"   # reference default
+
+
+@query
+def q_agglomerative_labels(spark, sf_dir):
+    return ag.agglomerative(_scaled(spark, sf_dir), AGG_K, AGG_LINKAGE)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,11 +65,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder.
+    """Materialise ``df`` as Parquet in the shared checkpoint folder and read it back.
 
-    Iterative operators (Apriori levels, component labelling, merge rounds) call
-    this once per round so plans stay short and a lost executor recomputes one
-    round, not the whole history.
+    Iterative operators (Apriori levels, component labelling, merge rounds)
+    call this once per round so plans stay short and a lost executor
+    recomputes one round, not the whole history. A written table (rather
+    than ``Dataset.checkpoint``) gives the next round a plain scan: the plan
+    carries no statistics or constraints of earlier rounds, and the input is
+    computed once.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tillroll-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
