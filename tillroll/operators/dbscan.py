@@ -9,8 +9,8 @@ eps of a core takes the smallest such cluster label; everything else is -1.
 Plan: points go to a grid of side eps/sqrt(d), so two points of one cell are
 always within eps. A cell with >= min_samples points is all core with no
 distance work. Remaining tests (core counts of points in sparse cells,
-core-cell links, border labels) run as salted grid cogroups (see
-``pairwise.grid_cogroup``). Components are labelled on the core-cell graph by
+core-cell links, border labels) run as salted halo cogroups over coarse
+boxes (see ``pairwise.halo_cogroup``). Components are labelled on the core-cell graph by
 minimum-label propagation with pointer jumping, checkpointed each round.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.ranking import dense_index
-from tillroll.operators.pairwise import grid_cells, grid_cogroup, neighbour_offsets
+from tillroll.operators.pairwise import grid_cells, halo_cogroup
 from tillroll.operators.rfm import FEATURES
 from tillroll.session import cut_lineage
 
@@ -40,7 +40,8 @@ def _prep(points: DataFrame, id_col: str, features, eps: float) -> tuple[DataFra
     side = eps / math.sqrt(dim) * (1 - 1e-9)
     pts = points.select(F.col(id_col).cast("string").alias("_id"),
                         *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)])
-    return grid_cells(pts, [f"_x{i}" for i in range(dim)], side), dim
+    # read by every grid step below: materialise the n prepared points once
+    return cut_lineage(grid_cells(pts, [f"_x{i}" for i in range(dim)], side)), dim
 
 
 def neighbour_counts(points: DataFrame, eps: float = 0.5, id_col: str = "CustomerID",
@@ -60,8 +61,7 @@ def neighbour_counts(points: DataFrame, eps: float = 0.5, id_col: str = "Custome
             cnt[s:s + len(d2)] = (d2 <= e2).sum(axis=1)
         return pd.DataFrame({"_id": lp["_id"].to_numpy(), "_n": cnt})
 
-    reach = math.ceil(math.sqrt(dim))
-    parts = grid_cogroup(g, g, dim, neighbour_offsets(dim, reach), kernel, "_id string, _n long")
+    parts = halo_cogroup(g, g, xs, eps, kernel, "_id string, _n long")
     return parts.groupBy("_id").agg(F.sum("_n").alias("n_neighbors")).withColumnRenamed("_id", id_col)
 
 
@@ -83,9 +83,7 @@ def _core_flags(g: DataFrame, dim: int, eps: float, min_samples: int) -> DataFra
             cnt[s:s + len(d2)] = (d2 <= e2).sum(axis=1)
         return pd.DataFrame({"_id": lp["_id"].to_numpy(), "_n": cnt})
 
-    reach = math.ceil(math.sqrt(dim))
-    counts = (grid_cogroup(sparse, g, dim, neighbour_offsets(dim, reach), kernel,
-                           "_id string, _n long")
+    counts = (halo_cogroup(sparse, g, xs, eps, kernel, "_id string, _n long")
               .groupBy("_id").agg(F.sum("_n").alias("_nn")))
     return (g2.join(counts, "_id", "left")
               .withColumn("_core", (F.col("_ncell") >= min_samples)
@@ -130,26 +128,28 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
     e2 = eps * eps
     flagged = cut_lineage(_core_flags(g, dim, eps, min_samples))
     cores = flagged.filter("_core")
-    reach = math.ceil(math.sqrt(dim))
 
     # core cells: node id = smallest core id in the cell
     cell_node = cores.groupBy(*gc).agg(F.min("_id").alias("_node"))
     cores_n = cores.join(cell_node, gc)
 
     def link_kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        # the target side of a group is one cell, hence one node
+        # distinct (probe node, target node) pairs of cores within eps
         if lp.empty or rp.empty:
             return pd.DataFrame({"u": [], "v": []})
         lx, rx = lp[xs].to_numpy(float), rp[xs].to_numpy(float)
-        hit = np.zeros(len(lx), dtype=bool)
-        for s, d2 in _sq_dists(lx, rx):
-            hit[s:s + len(d2)] = (d2 <= e2).any(axis=1)
-        u = np.unique(lp["_node"].to_numpy()[hit])
-        return pd.DataFrame({"u": u, "v": np.repeat(rp["_node"].iloc[0], len(u))})
+        ln, rn = lp["_node"].to_numpy(), rp["_node"].to_numpy()
+        found = set()
+        for s_, d2 in _sq_dists(lx, rx):
+            ii, jj = np.nonzero((d2 <= e2) & (ln[s_:s_ + len(d2), None] < rn[None, :]))
+            if len(ii):
+                found.update(zip(ln[s_ + ii], rn[jj]))
+        if not found:
+            return pd.DataFrame({"u": [], "v": []})
+        u, v = zip(*found)
+        return pd.DataFrame({"u": list(u), "v": list(v)})
 
-    links = grid_cogroup(cores_n, cores_n, dim,
-                         neighbour_offsets(dim, reach, include_self=False, half=True),
-                         link_kernel, "u string, v string").distinct()
+    links = halo_cogroup(cores_n, cores_n, xs, eps, link_kernel, "u string, v string").distinct()
     comps = connected_min_labels(cell_node.select(F.col("_node").alias("node")), links)
     numbered = dense_index(comps, ["comp"], "_label")
     node_label = comps.join(numbered, "comp").select(F.col("node").alias("_node"), "_label")
@@ -168,8 +168,7 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
         return pd.DataFrame({"_id": lp["_id"].to_numpy()[keep], "_label": best[keep]})
 
     non_core = flagged.filter(~F.col("_core"))
-    border = (grid_cogroup(non_core, core_lab, dim, neighbour_offsets(dim, reach),
-                           border_kernel, "_id string, _label long")
+    border = (halo_cogroup(non_core, core_lab, xs, eps, border_kernel, "_id string, _label long")
               .groupBy("_id").agg(F.min("_label").alias("_label")))
     labels = core_lab.select("_id", "_label").unionByName(border)
     return (flagged.select("_id").join(labels, "_id", "left")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators.pairwise import blocks_for, cogroup_blocks, distance_chunks
 from tillroll.operators.rfm import FEATURES
+from tillroll.session import cut_lineage
 
 NOISE = -1
 # Status texts of the metric record.
@@ -44,6 +45,7 @@ def silhouette_exact(points: DataFrame, id_col: str = "CustomerID", label: str =
     pts = points.filter(F.col(label) != NOISE).select(
         id_col, F.col(label).cast("long").alias("_own"),
         *[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
+    pts = cut_lineage(pts)   # read by the count and by both kernel sides
     n = pts.count()
     fcols = [f"_f{i}" for i in range(len(features))]
 
@@ -123,7 +125,7 @@ def davies_bouldin(points: DataFrame, label: str = "Cluster", features=FEATURES,
     aggregates; the max over other clusters of (σi + σj) / d(ci, cj) uses the
     blocked kernel on the k-row centroid table. Coincident centroids add 0.
     """
-    pts = points.filter(F.col(label) != NOISE)
+    pts = cut_lineage(points.filter(F.col(label) != NOISE).select(label, *features))
     cents = pts.groupBy(label).agg(*[F.avg(c).alias(f"_c{i}") for i, c in enumerate(features)])
     k = cents.count()
     dist = F.sqrt(sum(((F.col(c) - F.col(f"_c{i}")) * (F.col(c) - F.col(f"_c{i}"))

@@ -37,6 +37,7 @@ def fpgrowth_itemsets(baskets: DataFrame, min_support: float = 0.02,
     basket is sent once per item group and mined in local FP-trees. Items are
     returned sorted so itemsets join and compare as keys.
     """
+    baskets = cut_lineage(baskets.select("items"))   # counted, then mined
     n = baskets.count()
     if n == 0:
         return baskets.sparkSession.createDataFrame(
@@ -44,8 +45,9 @@ def fpgrowth_itemsets(baskets: DataFrame, min_support: float = 0.02,
     fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
     if num_partitions:
         fp.setNumPartitions(num_partitions)
-    model = fp.fit(baskets.select("items"))
-    out = model.freqItemsets.select(F.sort_array("items").alias("items"), "freq")
+    model = fp.fit(baskets)
+    # the itemset table is re-read by rule generation: materialise it once
+    out = cut_lineage(model.freqItemsets.select(F.sort_array("items").alias("items"), "freq"))
     return _with_support(out, n)
 
 
@@ -74,6 +76,7 @@ def apriori_itemsets(items: DataFrame, min_support: float = 0.02,
     level.
     """
     spark = items.sparkSession
+    items = cut_lineage(items.select("InvoiceNo", "item"))   # read at every level
     n = items.select("InvoiceNo").distinct().count()
     if n == 0:
         return spark.createDataFrame([], "items array<string>, freq long, support double")
