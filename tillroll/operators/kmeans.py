@@ -26,19 +26,52 @@ def _vectors(points: DataFrame, id_col: str, features) -> DataFrame:
         points.select(id_col, *features))
 
 
-def _fit_best(vec: DataFrame, k: int, seed: int, n_init: int, max_iter: int):
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="_p",
-                       maxIter=max_iter, initMode="k-means||").fit(vec)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best
+# Convergence rule: the summed squared centre shift of an iteration must fall
+# below REL_TOL times the mean feature variance (the usual k-means default).
+# MLlib tests each centre's shift against ``tol``; tol = sqrt(REL_TOL * var / k)
+# makes its rule at least as strict.
+REL_TOL = 1e-4
+
+
+def _mean_variance(points: DataFrame, features) -> float:
+    row = points.agg(*[F.var_pop(c).alias(c) for c in features]).first()
+    vals = [row[c] or 0.0 for c in features]
+    return float(sum(vals) / len(vals)) if vals else 0.0
+
+
+def _tol(mean_var: float, k: int) -> float:
+    return max((REL_TOL * mean_var / k) ** 0.5, 1e-12)
+
+
+# Independent fits (restarts, elbow k values) are small jobs dominated by
+# scheduling; they are submitted from a few driver threads at once, as MLlib's
+# own model-selection tools do with their ``parallelism`` setting.
+PARALLEL_FITS = 4
+
+
+def _fit_one(vec: DataFrame, k: int, seed: int, max_iter: int, mean_var: float):
+    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_p",
+                   maxIter=max_iter, tol=_tol(mean_var, k), initMode="k-means||").fit(vec)
+    return model, model.summary.trainingCost
+
+
+def _fit_many(vec: DataFrame, specs, max_iter: int, mean_var: float, parallelism: int):
+    """Fit (k, seed) specs concurrently; results in spec order."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(specs)))) as pool:
+        futures = [pool.submit(_fit_one, vec, k, sd, max_iter, mean_var) for k, sd in specs]
+        return [f.result() for f in futures]
+
+
+def _fit_best(vec: DataFrame, k: int, seed: int, n_init: int, max_iter: int,
+              mean_var: float = 1.0, parallelism: int = PARALLEL_FITS):
+    fits = _fit_many(vec, [(k, seed + i) for i in range(n_init)], max_iter, mean_var, parallelism)
+    # lowest cost wins; ties go to the earlier restart
+    return min(fits, key=lambda mc: mc[1])
 
 
 def kmeans(points: DataFrame, k: int = 3, seed: int = 42, n_init: int = 3,
-           max_iter: int = 50, id_col: str = "CustomerID", features=FEATURES) -> KMeansResult:
+           max_iter: int = 300, id_col: str = "CustomerID", features=FEATURES) -> KMeansResult:
     """Best of ``n_init`` MLlib fits (k-means|| start, Euclidean), by cost.
 
     Clusters are renumbered by centroid order (lexicographic on the features)
@@ -47,7 +80,7 @@ def kmeans(points: DataFrame, k: int = 3, seed: int = 42, n_init: int = 3,
     """
     vec = _vectors(points, id_col, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model, cost = _fit_best(vec, k, seed, n_init, max_iter)
+        model, cost = _fit_best(vec, k, seed, n_init, max_iter, _mean_variance(vec, features))
         centres = [tuple(float(x) for x in c) for c in model.clusterCenters()]
         # materialise the assignment before the cached vectors are released
         assigned = cut_lineage(model.transform(vec).select(id_col, "_p"))
@@ -65,7 +98,7 @@ def kmeans(points: DataFrame, k: int = 3, seed: int = 42, n_init: int = 3,
 
 
 def elbow_curve(points: DataFrame, max_k: int = 10, seed: int = 42, n_init: int = 1,
-                max_iter: int = 50, id_col: str = "CustomerID", features=FEATURES) -> DataFrame:
+                max_iter: int = 300, id_col: str = "CustomerID", features=FEATURES) -> DataFrame:
     """(k, wcss) for k = 1..min(max_k, n). k = 1 is the closed-form total sum
     of squares (MLlib refuses k = 1); k >= 2 is the best fit's training cost."""
     spark = points.sparkSession
@@ -76,8 +109,12 @@ def elbow_curve(points: DataFrame, max_k: int = 10, seed: int = 42, n_init: int
     if top >= 2:
         vec = _vectors(points, id_col, features).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            for k in range(2, top + 1):
-                rows.append((k, float(_fit_best(vec, k, seed, n_init, max_iter)[1])))
+            mean_var = rows[0][1] / (n * len(features))
+            ks = list(range(2, top + 1))
+            specs = [(k, seed + i) for k in ks for i in range(n_init)]
+            fits = _fit_many(vec, specs, max_iter, mean_var, PARALLEL_FITS)
+            for k in ks:
+                rows.append((k, float(min(c for (kk, _), (_, c) in zip(specs, fits) if kk == k))))
         finally:
             vec.unpersist()
     return spark.createDataFrame(rows, "k int, wcss double")
