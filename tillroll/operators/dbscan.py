@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.ranking import dense_index
-from tillroll.operators.pairwise import grid_cells, halo_cogroup
+from tillroll.operators.pairwise import grid_cells, halo_cogroup, id_codes
 from tillroll.operators.rfm import FEATURES
 from tillroll.session import cut_lineage
 
@@ -139,9 +139,10 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
             return pd.DataFrame({"u": [], "v": []})
         lx, rx = lp[xs].to_numpy(float), rp[xs].to_numpy(float)
         ln, rn = lp["_node"].to_numpy(), rp["_node"].to_numpy()
+        lc, rc = id_codes(ln, rn)
         found = set()
         for s_, d2 in _sq_dists(lx, rx):
-            ii, jj = np.nonzero((d2 <= e2) & (ln[s_:s_ + len(d2), None] < rn[None, :]))
+            ii, jj = np.nonzero((d2 <= e2) & (lc[s_:s_ + len(d2), None] < rc[None, :]))
             if len(ii):
                 found.update(zip(ln[s_ + ii], rn[jj]))
         if not found:
