@@ -163,6 +163,9 @@ def cluster_metrics(points: DataFrame, id_col: str = "CustomerID", label: str =
     (noise excluded), noise count and a status text. With fewer than two
     clusters, or no more rows than clusters, the scores are null."""
     spark = points.sparkSession
+    # read by the counts, the silhouette and Davies-Bouldin: the upstream
+    # (lines -> features -> labels) runs once
+    points = cut_lineage(points.select(id_col, label, *features))
     c = points.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col(label) == NOISE).alias("noise"),

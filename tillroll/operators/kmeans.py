@@ -106,6 +106,8 @@ def elbow_curve(points: DataFrame, max_k: int = 10, seed: int = 42, n_init: int
     """(k, wcss) for k = 1..min(max_k, n). k = 1 is the closed-form total sum
     of squares (MLlib refuses k = 1); k >= 2 is the best fit's training cost."""
     spark = points.sparkSession
+    # read by the closed form (k = 1) and by the fits: the upstream runs once
+    points = cut_lineage(points.select(id_col, *features))
     w1 = wcss_k1(points, features).first()
     n = int(w1["n_points"])
     rows = [(1, float(w1["wcss"]))]
