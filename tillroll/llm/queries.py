@@ -7,11 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import exact_refine, ffd_pack, spec_bpe, token_files
+from tillroll.llm import exact_refine, ffd_pack, spec_bpe, superminhash, token_files
 from tillroll.llm.common import documents
 from tillroll.session import ensure_checkpoint_dir
 
 
+def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicate_groups(documents(spark, sf_dir))
+
+
 def op5_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec_bpe.round_trip_digests(documents(spark, sf_dir))
 
@@ -35,6 +39,7 @@ def op10_ffd_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op4_superminhash": op4_superminhash,
     "op5_speculative_bpe": op5_speculative_bpe,
     "op7_exact_refine": op7_exact_refine,
     "op9_token_files": op9_token_files,
@@ -42,6 +47,30 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLE = {
+    "op4_superminhash": r"""
+        with recursive words as (
+            select doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x20\x09-\x0D]+') as w
+            from documents),
+        sets as (
+            select doc_id, case when len(w) >= 5
+                                then list_distinct(list_transform(range(0, len(w) - 4),
+                                                                  lambda i: array_to_string(w[i + 1:i + 5], ' ')))
+                                when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s
+            from words),
+        rows_ as (select doc_id, len(s) as n, unnest(s) as sh from sets),
+        pairs as (
+            select a.doc_id as u, b.doc_id as v, a.n as nu, b.n as nv, count(*) as c
+            from rows_ a join rows_ b on a.sh = b.sh and a.doc_id <> b.doc_id
+            group by a.doc_id, b.doc_id, a.n, b.n),
+        links as (select u, v from pairs where 100 * c >= 75 * (nu + nv - c)),
+        reach(doc_id, root) as (
+            select doc_id, doc_id from sets
+            union select l.v, r.root from reach r join links l on l.u = r.doc_id)
+        select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.root) as component_id,
+               s.doc_id = min(r.root) as kept
+        from sets s join reach r on r.doc_id = s.doc_id group by s.doc_id, len(s.s)""",
     "op7_exact_refine": """
         select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
                count(*) over (partition by coalesce(text, '')) as group_size,
