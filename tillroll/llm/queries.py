@@ -7,11 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import exact_refine, ffd_pack, spec_bpe, superminhash, token_files
+from tillroll.llm import exact_refine, ffd_pack, spec_bpe, superminhash, token_files, toxic_segments
 from tillroll.llm.common import documents
 from tillroll.session import ensure_checkpoint_dir
 
 
+def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxic_segments.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxic_segments.score_documents(docs, model).select(
+        F.col("doc_id").cast("long").alias("doc_id"), toxic_segments.is_held_out("doc_id").alias("held_out"),
+        F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"),
+        F.size("tox_passages").alias("n_passages"),
+        F.array_join(F.transform("tox_passages", lambda p: F.concat_ws(":", p["start"], p["end"])), ",").alias("passages"))
+
+
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicate_groups(documents(spark, sf_dir))
 
@@ -39,6 +49,7 @@ def op10_ffd_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op3_toxic_segments": op3_toxic_segments,
     "op4_superminhash": op4_superminhash,
     "op5_speculative_bpe": op5_speculative_bpe,
     "op7_exact_refine": op7_exact_refine,
