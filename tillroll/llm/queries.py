@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import exact_refine, ffd_pack, spec_bpe, superminhash, token_files, toxic_segments
+from tillroll.llm import exact_refine, ffd_pack, pii_crf, spec_bpe, superminhash, token_files, toxic_segments
 from tillroll.llm.common import documents
 from tillroll.session import ensure_checkpoint_dir
 
@@ -30,6 +30,10 @@ def op5_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec_bpe.round_trip_digests(documents(spark, sf_dir))
 
 
+def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find_personal_data(documents(spark, sf_dir))
+
+
 def op7_exact_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -52,6 +56,7 @@ LLM_QUERIES = {
     "op3_toxic_segments": op3_toxic_segments,
     "op4_superminhash": op4_superminhash,
     "op5_speculative_bpe": op5_speculative_bpe,
+    "op6_pii_crf": op6_pii_crf,
     "op7_exact_refine": op7_exact_refine,
     "op9_token_files": op9_token_files,
     "op10_ffd_pack": op10_ffd_pack,

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import cut_lineage, text_slices
+from tillroll.llm.common import cut_lineage, ship_package, text_slices
 
 #: Bound of the sample that the model is fitted on: labelled rows, in the order of a hash of their doc_id.
 FIT_ROWS = 30_000
@@ -75,8 +75,10 @@ class ToxicModel:
     extra: float = 0.0
 
     def evidence(self, top, n):
-        """-ln of the number of segments this good expected in a clean text of n tokens."""
-        return self.rate * np.asarray(top, dtype=float) - np.log(self.scale * np.maximum(n, 1))
+        """-ln of the number of segments this good expected in a clean text of n tokens; 0 without one."""
+        top = np.asarray(top, dtype=float)
+        found = self.rate * top - np.log(self.scale * np.maximum(n, 1))
+        return np.where(top > 0, np.maximum(found, 0.0), 0.0)
 
     def probability(self, top, n, passages):
         x = self.intercept + self.slope * self.evidence(top, n) + self.extra * np.log1p(passages)
@@ -113,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_featur
     counts stand out beyond what the vocabulary's size explains (z above
     sqrt(2 ln V)) come to the driver, at most ``max_features``.
     """
+    ship_package(docs.sparkSession)
     usable = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
               .where(~is_held_out("doc_id"))
               .select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("int").alias("toxic")))
@@ -181,8 +184,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_featur
     else:
         model.scale = 1.0 / max(1.0, float(n[y == 0].sum()))
     passages = (model.evidence(top, n) > -np.log(MAX_EXPECTED)).astype(float)
-    model.intercept, model.slope, model.extra = _logistic(
-        np.column_stack([np.ones(len(y)), model.evidence(top, n), np.log1p(passages)]), y.astype(float))
+    x = np.column_stack([np.ones(len(y)), model.evidence(top, n), np.log1p(passages)])
+    fitted = np.zeros(3)
+    used = [0, 1, 2]
+    while True:  # more evidence never lowers a score: a feature with a negative slope is left out
+        fitted[:] = 0
+        fitted[used] = _logistic(x[:, used], y.astype(float))
+        if (fitted[1:] >= 0).all():
+            break
+        used.remove(1 + int(fitted[1:].argmin()))
+    model.intercept, model.slope, model.extra = map(float, fitted)
     return model
 
 
@@ -231,6 +242,7 @@ def score_documents(docs: DataFrame, model: ToxicModel) -> DataFrame:
     rows are scored each; an empty table stays empty. Columns that clash with
     the two added names are refused by Spark as ambiguous only when used.
     """
+    ship_package(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
