@@ -7,11 +7,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import exact_refine, ffd_pack, pii_crf, spec_bpe, superminhash, token_files, toxic_segments
+from tillroll.llm import (exact_refine, ffd_pack, mih, pii_crf, role_repair, sentence_spans, spec_bpe, superminhash,
+                          token_files, toxic_segments)
 from tillroll.llm.common import documents
 from tillroll.session import ensure_checkpoint_dir
 
 
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.drop_repeated_spans(documents(spark, sf_dir))
+
+
+def op2_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxic_segments.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -42,6 +51,10 @@ def op7_exact_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(text, 256).alias("text_sha256"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 100 == 0)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-tokens-{uuid.uuid4().hex}"
     token_files.write_token_files(documents(spark, sf_dir), path)
@@ -53,11 +66,14 @@ def op10_ffd_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_sentence_spans": op1_sentence_spans,
+    "op2_role_repair": op2_role_repair,
     "op3_toxic_segments": op3_toxic_segments,
     "op4_superminhash": op4_superminhash,
     "op5_speculative_bpe": op5_speculative_bpe,
     "op6_pii_crf": op6_pii_crf,
     "op7_exact_refine": op7_exact_refine,
+    "op8_multi_index": op8_multi_index,
     "op9_token_files": op9_token_files,
     "op10_ffd_pack": op10_ffd_pack,
 }

@@ -53,7 +53,13 @@ def _space(buf: np.ndarray) -> np.ndarray:
 
 def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (A-Z lower-cased, runs of non-white-space bytes) and each document's word offsets."""
-    hashes, starts_of = [], []
+    words, starts, _ = hashed_words(buf, offsets)
+    return words, np.searchsorted(starts, offsets)
+
+
+def hashed_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, start bytes, end bytes) of all words of the documents that lie at ``offsets`` in ``buf``."""
+    hashes, starts_of, ends_of = [], [], []
     at, n = 0, len(buf)
     borders = offsets[1:-1]
     while at < n:
@@ -83,10 +89,11 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         np.cumsum(_BYTE[low] * power[:len(part)], out=sums[1:])
         hashes.append(mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)))
         starts_of.append(s + at)
+        ends_of.append(e + at)
         at = stop
-    words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    places = np.concatenate(starts_of) if starts_of else np.zeros(0, np.int64)
-    return words, np.searchsorted(places, offsets)
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts_of), np.concatenate(ends_of)
 
 
 def shingle_sets(texts: pa.Array, size: int = 5) -> list[np.ndarray]:
