@@ -11,67 +11,80 @@ from tillroll.llm.common import cut_lineage
 PREFIX = 64
 
 
-def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """Add ``keep_id long, group_size long, kept boolean`` to every row of ``docs``.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row's place in the scan, which with the doc_id tells rows apart."""
+    return docs.withColumn("__er_row", F.monotonically_increasing_id())
 
-    Rows are copies when their texts are identical (null counts as empty); of
-    a group the row with the largest doc_id stays. Refinement: the length of
-    each text is grouped first; rows of a length that occurs twice show their
-    first ``prefix`` characters; only rows whose (length, prefix hash) occurs
-    twice are read in full and grouped by SHA-256. Each level is a grouping of
-    narrow keys with map-side partial counts, so a group holding a third of
-    the rows arrives as one row per task. The surviving keys of a level are
-    written once; Spark broadcasts them when that table is small and
-    otherwise joins on them with skew splitting.
 
-    Defined cases: an empty table gives an empty result; a null doc_id counts
-    below every other id; rows that repeat both doc_id and text count as one
-    group, of which the row that comes first in the scan stays; extra columns
-    pass through (names starting with ``__er_`` are reserved). ``docs`` should
-    be a table scan, since repeated (doc_id, text) rows are told apart by
-    their place in it.
+def _text() -> F.Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def exact_members(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
+    """(doc_id, __er_row, keep_id, group_size, kept) of the rows that have a copy; one row each.
+
+    Refinement: the length of each text is grouped first; rows of a length
+    that occurs twice show their first ``prefix`` characters; only rows whose
+    (length, prefix hash) occurs twice are read in full and grouped by
+    SHA-256. Each level groups narrow keys with map-side partial counts, so a
+    group holding a third of the rows arrives as one row per task.
     """
-    names = docs.columns
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select("*", F.octet_length(text).cast("long").alias("__er_len"))
+    base = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text")))
+    base = base.withColumn("__er_len", F.octet_length("text").cast("long"))
+    head = F.substring("text", 1, prefix)
 
     lengths = cut_lineage(base.groupBy("__er_len").agg(F.count(F.lit(1)).alias("__er_n"))
                           .where("__er_n > 1").select("__er_len"))
-    heads = (base.select("__er_len", F.substring(text, 1, prefix).alias("__er_head"))
-             .join(lengths, "__er_len", "left_semi")
+    heads = (base.select("__er_len", head.alias("__er_head")).join(lengths, "__er_len", "left_semi")
              .select("__er_len", F.xxhash64("__er_head").alias("__er_pre")))
     prefixes = cut_lineage(heads.groupBy("__er_len", "__er_pre").agg(F.count(F.lit(1)).alias("__er_n"))
-                           .where("__er_n > 1").select("__er_len", "__er_pre", F.lit(True).alias("__er_hit")))
-
-    marked = (base.withColumn("__er_pre", F.xxhash64(F.substring(text, 1, prefix)))
-              .withColumn("__er_row", F.monotonically_increasing_id())
-              .join(prefixes, ["__er_len", "__er_pre"], "left")
-              .withColumn("__er_full", F.when(F.col("__er_hit"), F.sha2(text, 256))))
-    per_id = (marked.where(F.col("__er_full").isNotNull())
-              .groupBy("__er_full", F.col("doc_id").cast("long").alias("__er_id"))
-              .agg(F.count(F.lit(1)).alias("__er_n"), F.min("__er_row").alias("__er_first")))
+                           .where("__er_n > 1").select("__er_len", "__er_pre"))
+    # an inner join, so that Spark may filter the scan at run time before any text is moved
+    full = cut_lineage(
+        base.withColumn("__er_pre", F.xxhash64(head)).join(prefixes, ["__er_len", "__er_pre"])
+        .select("doc_id", "__er_row", F.unhex(F.sha2("text", 256)).alias("__er_full")))
+    per_id = full.groupBy("__er_full", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("__er_row").alias("row"))
+    # written, so that the join below reads two plain tables and Spark can split a large group
     groups = cut_lineage(
         per_id.groupBy("__er_full")
-        .agg(F.sum("__er_n").alias("group_size"),
-             F.max(F.struct(F.coalesce("__er_id", F.lit(-2 ** 63)).alias("o"), F.col("__er_id").alias("id"),
-                            F.col("__er_n").alias("n"), F.col("__er_first").alias("row"))).alias("__er_top"))
+        .agg(F.sum("n").alias("group_size"),
+             F.max(F.struct(F.coalesce("doc_id", F.lit(-2 ** 63)).alias("order"), F.col("doc_id").alias("id"),
+                            F.col("n").alias("n"), F.col("row").alias("row"))).alias("top"))
         .where("group_size > 1"))
+    return full.join(groups, "__er_full").select(
+        "doc_id", "__er_row", F.col("top.id").alias("keep_id"), "group_size",
+        (F.col("doc_id").eqNullSafe(F.col("top.id"))
+         & ((F.col("top.n") == 1) | (F.col("__er_row") == F.col("top.row")))).alias("kept"))
+
 
-    # rows outside any group carry a key of their own, so no null key gathers them in one task
-    alone = F.concat(F.lit("-"), F.col("__er_row").cast("string"))
-    joined = (marked.withColumn("__er_key", F.coalesce("__er_full", alone))
-              .join(groups.withColumnRenamed("__er_full", "__er_key"), "__er_key", "left"))
-    own = F.col("doc_id").cast("long")
-    grouped = F.col("group_size").isNotNull()
-    top = F.col("__er_top")
+def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
+    """Add ``keep_id long, group_size long, kept boolean`` to every row of ``docs``.
+
+    Rows are copies when their texts are identical (null counts as empty); of
+    a group the row with the largest doc_id stays. Only the row's key is
+    joined back, so a caller that asks for narrow columns moves no text.
+
+    Defined cases: an empty table gives an empty result; a null doc_id counts
+    below every other id; of rows that repeat the kept doc_id and text, the
+    first in the scan stays; extra columns pass through (names that start
+    with ``__er_`` are reserved). ``docs`` must be a table scan, since rows
+    are told apart by their place in it.
+    """
+    names = [F.col(f"d.`{c}`") for c in docs.columns]
+    rows = _keyed(docs).alias("d")
+    found = cut_lineage(exact_members(docs, prefix)).alias("m")
+    own = F.col("d.doc_id").cast("long")
+    grouped = F.col("m.group_size").isNotNull()
+    joined = rows.join(found, (F.col("d.__er_row") == F.col("m.__er_row")), "left")
     return joined.select(
-        *[F.col(f"`{c}`") for c in names],
-        F.when(grouped, top["id"]).otherwise(own).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(grouped, own.eqNullSafe(top["id"]) & ((top["n"] == 1) | (F.col("__er_row") == top["row"])))
-        .otherwise(F.lit(True)).alias("kept"))
+        *names,
+        F.when(grouped, F.col("m.keep_id")).otherwise(own).alias("keep_id"),
+        F.coalesce("m.group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("m.kept", F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns."""
-    return exact_groups(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    dropped = cut_lineage(exact_members(docs).where("not kept").select("__er_row"))
+    return (_keyed(docs).join(dropped, "__er_row", "left_anti")
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -44,11 +44,10 @@ def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    text = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)  # taken at the scan, so the join moves no text
+    docs = documents(spark, sf_dir).select("doc_id", "text", digest.alias("text_sha256"))
     return exact_refine.exact_groups(docs).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "keep_id", "group_size", "kept",
-        F.sha2(text, 256).alias("text_sha256"))
+        F.col("doc_id").cast("long").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
