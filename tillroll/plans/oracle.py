@@ -263,6 +263,64 @@ select a CustomerID, count(*) n_neighbors from pr group by a"""
 ORACLE["dbscan_labels"] = "with recursive " + with_(RAW, CLEAN, RFM, SCALED, PAIRS, DBSCAN)[5:] + """
 select CustomerID, Cluster from dbl"""
 
+# ---- K-Means: starts, rounds and restarts as recursive queries ---------------
+def kmeans_cte(k_lo: int, k_hi: int, n_init: int = 10, seed: int = 42, max_iter: int = 300) -> str:
+    """CTEs up to ``best(k, cs, cost)``: the operator's hash-drawn starts, Lloyd rounds and choice of restart."""
+    def d2(c: str) -> str:
+        return f"(x-{c}[1])*(x-{c}[1]) + (y-{c}[2])*(y-{c}[2]) + (z-{c}[3])*(z-{c}[3])"
+
+    def draw(step: str) -> str:
+        return (f"(cast(concat('0x', substr(md5(concat_ws(':', '{seed}', cast(r as varchar), {step}, id)), 1, 13))"
+                " as bigint) + 0.5) / 4503599627370496.0")
+
+    return f"""pts as materialized (select CustomerID id, Recency x, Frequency y, Monetary z from scaled),
+lim as materialized (select 1e-4 * (var_pop(x) + var_pop(y) + var_pop(z)) / 3 v from pts),
+seeds(step, r, cs) as (
+  select 0, r, [arg_min([x, y, z], -ln({draw("'0'")}))] from pts, (select unnest(range({n_init})) r) group by r
+  union all
+  select step + 1, r, list_append(any_value(cs), arg_min([x, y, z], race)) from (
+    select step, r, cs, x, y, z, case when d > 0 then -ln({draw("cast(step + 1 as varchar)")}) / d else cast('infinity' as double) end race
+    from (select s.step, s.r, s.cs, p.id, p.x, p.y, p.z, list_min(list_transform(s.cs, lambda c: {d2('c')})) d
+          from seeds s, pts p where s.step < {k_hi - 1}))
+  group by step, r),
+lloyd(it, k, r, cs, moving) as (
+  select 0, k, r, cs[1:k], true from (select unnest(range({k_lo}, {k_hi + 1})) k), seeds where step = {k_hi - 1}
+  union all
+  select it, k, r, cs, list_sum(list_transform(range(1, k + 1), lambda i:
+           (cs[i][1]-old[i][1])**2 + (cs[i][2]-old[i][2])**2 + (cs[i][3]-old[i][3])**2)) > (select v from lim)
+  from (
+    select it, k, r, old, list_transform(range(1, k + 1), lambda i: coalesce(moved[i], old[i])) cs
+    from (
+      select it + 1 it, k, r, any_value(cs) old, map_from_entries(list(row(j, c))) moved
+      from (
+        select it, k, r, any_value(cs) cs, j, [avg(x), avg(y), avg(z)] c
+        from (select it, k, r, cs, x, y, z, list_position(dd, list_min(dd)) j
+              from (select l.it, l.k, l.r, l.cs, p.x, p.y, p.z, list_transform(l.cs, lambda c: {d2('c')}) dd
+                    from lloyd l, pts p where l.moving and l.it < {max_iter}))
+        group by it, k, r, j)
+      group by it, k, r))),
+ended as (select k, r, cs from lloyd qualify row_number() over (partition by k, r order by it desc) = 1),
+costs as (select k, r, any_value(cs) cs, sum(list_min(list_transform(cs, lambda c: {d2('c')}))) cost from ended, pts group by k, r),
+best as (select k, cs, cost from costs qualify row_number() over (partition by k order by round(cost, 6), r) = 1)"""
+
+
+def _kmeans(k_lo: int, k_hi: int) -> str:
+    return "with recursive " + with_(RAW, CLEAN, RFM, SCALED, kmeans_cte(k_lo, k_hi))[5:]
+
+
+ORACLE["elbow_curve"] = _kmeans(1, 10) + """
+select cast(k as integer) k, round(cost, 4) wcss from best"""
+
+ORACLE["kmeans_centroids"] = _kmeans(3, 3) + """,
+cen as (select unnest(range(3)) i, unnest(list_sort(cs)) c from best)
+select i Cluster, concat('Cluster ', i) name, round(c[1], 4) Recency, round(c[2], 4) Frequency, round(c[3], 4) Monetary
+from cen"""
+
+ORACLE["kmeans_labels"] = _kmeans(3, 3) + """,
+dd as (select id, list_transform(list_sort(cs), lambda c:
+                  (x-c[1])*(x-c[1]) + (y-c[2])*(y-c[2]) + (z-c[3])*(z-c[3])) dd from pts, best)
+select id CustomerID, cast(list_position(dd, list_min(dd)) - 1 as integer) Cluster from dd"""
+
 # ---- nearest-centroid assignment to the segment centroids -------------------
 ORACLE["kmeans_assign"] = EVAL + """,
 cen as (select k, avg(x) c0, avg(y) c1, avg(z) c2 from pts group by k),
