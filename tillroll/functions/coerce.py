@@ -6,26 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Timestamp layouts tried, in order, for text dates.
+# Text layouts tried in order after the ISO forms; parts in brackets may be absent.
+_TIME = "[ H:mm[:ss[.SSSSSS][.SSS]]]"
 DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "dd.MM.yyyy HH:mm",
-    "dd.MM.yyyy",
+    "yyyy-M-d" + _TIME, "yyyy/M/d" + _TIME,
+    "M/d/yyyy" + _TIME, "M/d/yyyy h:mm[:ss] a", "M-d-yyyy" + _TIME, "M/d/yy" + _TIME, "M/d/yy h:mm[:ss] a",
+    "d.M.yyyy" + _TIME, "d-MMM-yyyy" + _TIME, "d MMM yyyy" + _TIME, "d MMMM yyyy" + _TIME,
+    "MMM d, yyyy" + _TIME, "MMM d, yyyy h:mm[:ss] a", "MMMM d, yyyy" + _TIME, "MMM d yyyy" + _TIME,
+    "d-MMM-yy" + _TIME, "yyyyMMdd[ HHmmss][ HH:mm[:ss]]", "yyyyMMddHHmmss",
+    # day before month only where the month-first reading fails
+    "d/M/yyyy" + _TIME, "d/M/yyyy h:mm[:ss] a", "d-M-yyyy" + _TIME,
 ]
 
+# Fixed value: a plain decimal number. Casting alone would also take "1d", "2f", "NaN" and "Infinity".
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
 
 def _dtype(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
+def nan_to_null(df: DataFrame, name: str) -> Column:
+    """The column, with a floating-point NaN read as missing."""
+    c = F.col(name)
+    if isinstance(_dtype(df, name), (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(c), c)
+    return c
+
+
 def customer_id_text(df: DataFrame, name: str = "CustomerID") -> Column:
     """Customer id as text with every literal ``.0`` removed.
 
@@ -33,7 +41,7 @@ def customer_id_text(df: DataFrame, name: str = "CustomerID") -> Column:
     ``1.2345678E7``.
     """
     dt = _dtype(df, name)
-    c = F.col(name)
+    c = nan_to_null(df, name)
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         c = F.when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
     elif not isinstance(dt, T.StringType):
@@ -43,11 +51,15 @@ def customer_id_text(df: DataFrame, name: str = "CustomerID") -> Column:
 
 def invoice_text(df: DataFrame, name: str = "InvoiceNo") -> Column:
     """Invoice number as text; a missing one becomes the literal ``nan``."""
-    return F.coalesce(F.col(name).cast("string"), F.lit("nan"))
+    return F.coalesce(nan_to_null(df, name).cast("string"), F.lit("nan"))
 
 
-def timestamp_ntz(df: DataFrame, name: str = "InvoiceDate") -> Column:
-    """Timestamp without zone; unparseable text becomes null (row kept)."""
+def timestamp_ntz(df: DataFrame, name: str = "InvoiceDate", formats: list[str] | None = None) -> Column:
+    """Timestamp without zone; unparseable text becomes null (row kept).
+
+    ISO forms (fraction, ``T``, zone suffix) are cast; other texts run through
+    ``formats`` (default: ``DATE_FORMATS``), a parameter for layouts beyond them.
+    """
     dt = _dtype(df, name)
     c = F.col(name)
     if isinstance(dt, T.TimestampNTZType):
@@ -55,14 +67,16 @@ def timestamp_ntz(df: DataFrame, name: str = "InvoiceDate") -> Column:
     if isinstance(dt, (T.TimestampType, T.DateType)):
         return c.cast("timestamp_ntz")
     text = F.trim(c.cast("string"))
-    parsed = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in DATE_FORMATS]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    iso = F.when(text.rlike("^[0-9]{4}-"), text.try_cast("timestamp_ntz"))
+    parsed = [F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in (formats or DATE_FORMATS)]
+    return F.coalesce(iso, *parsed)
 
 
 def number(df: DataFrame, name: str) -> Column:
-    """Double value; unparseable text becomes null."""
+    """Double value; text that isn't a plain number, and NaN, become null."""
     dt = _dtype(df, name)
-    c = F.col(name)
+    c = nan_to_null(df, name)
     if isinstance(dt, T.NumericType):
         return c.cast("double")
-    return F.trim(c.cast("string")).try_cast("double")
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))

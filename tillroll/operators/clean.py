@@ -13,6 +13,7 @@ def _prepared(raw: DataFrame) -> DataFrame:
     df = validate_columns(normalize_columns(raw))
     return df.withColumns({
         "CustomerID": coerce.customer_id_text(df),
+        "Description": coerce.nan_to_null(df, "Description"),
         "InvoiceDate": coerce.timestamp_ntz(df),
         "InvoiceNo": coerce.invoice_text(df),
         "Quantity": coerce.number(df, "Quantity"),

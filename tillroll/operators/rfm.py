@@ -5,36 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ["Recency", "Frequency", "Monetary"]
-
+from tillroll.session import cut_lineage
 
-def snapshot_date(clean: DataFrame):
-    """Scalar subquery: latest invoice date plus one day."""
-    return clean.select(F.max("InvoiceDate") + F.expr("INTERVAL 1 DAY")).scalar()
+FEATURES = ["Recency", "Frequency", "Monetary"]
 
 
 def rfm_raw(clean: DataFrame) -> DataFrame:
     """(CustomerID, Recency, Frequency, Monetary), Monetary > 0 only.
 
-    One pass over the lines: the per-customer aggregate keeps each customer's
-    last purchase, and the snapshot (latest date + 1 day) is the maximum of
-    those, read from the small aggregated table rather than from the lines
-    (every cleaned line has a customer, so the two maxima agree; the
-    aggregate's shuffle is reused by the subquery). Recency counts whole
-    24-hour days, not calendar days. Frequency is a distinct count that Spark
-    pre-aggregates on (customer, invoice) shuffled on both keys, so one heavy
-    customer does not land in a single task.
+    The per-customer aggregate (last purchase, distinct invoices, spend) is
+    written once: the lines are scanned once, and the snapshot (latest date + 1
+    day) and everything built on the result read that customer-sized table.
+    Recency counts whole 24-hour days, not calendar days. Frequency is a
+    distinct count that Spark pre-aggregates on (customer, invoice) shuffled on
+    both keys, so one heavy customer does not land in a single task. A customer
+    without any readable date has no recency and is left out;
+    ``undated_customers`` counts them.
     """
-    per = (clean.groupBy("CustomerID")
-                .agg(F.max("InvoiceDate").alias("_last"),
-                     F.count_distinct("InvoiceNo").alias("Frequency"),
-                     F.sum("TotalPrice").alias("Monetary")))
+    per = _per_customer(clean)
     snap = per.select(F.max("_last") + F.expr("INTERVAL 1 DAY")).scalar()
-    return (per.filter(F.col("Monetary") > 0)
+    return (per.filter((F.col("Monetary") > 0) & F.col("_last").isNotNull())
                .select("CustomerID", F.timestamp_diff("DAY", F.col("_last"), snap).alias("Recency"),
                        "Frequency", "Monetary"))
 
 
+def _per_customer(clean: DataFrame) -> DataFrame:
+    return cut_lineage(clean.groupBy("CustomerID")
+                       .agg(F.max("InvoiceDate").alias("_last"),
+                            F.count_distinct("InvoiceNo").alias("Frequency"),
+                            F.sum("TotalPrice").alias("Monetary")))
+
+
+def undated_customers(clean: DataFrame) -> DataFrame:
+    """One row: customers with spend but no readable date, which ``rfm_raw`` leaves out."""
+    return _per_customer(clean).agg(
+        F.count_if((F.col("Monetary") > 0) & F.col("_last").isNull()).alias("undated_customers"))
+
+
 def rfm_scaled(raw_rfm: DataFrame, features=FEATURES) -> DataFrame:
     """log1p, then z-score with the population standard deviation.
 

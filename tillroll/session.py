@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,14 +46,37 @@ def get_session(master: str | None = None, app_name: str = "tillroll",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per Spark context.
+
+    Kernels run in Python workers that import them by name; a worker has no
+    copy of the driver's folder, so the sources go out as one small zip.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tillroll_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tillroll-zip-"), "tillroll_pkg.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    p = os.path.join(folder, n)
+                    z.write(p, os.path.join("tillroll", os.path.relpath(p, root)))
+    sc.addPyFile(target)
+    sc._tillroll_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; we only invent a local one when the
-    setting is absent (tests and local runs).
+    setting is absent and the master is local. Elsewhere a missing setting is
+    an error: executors would write to their own disks.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,11 +85,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tillroll-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+# Folders written by cut_lineage that still exist, oldest first.
+_written: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as Parquet in the shared checkpoint folder and read it back.
 
@@ -72,10 +104,47 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     recomputes one round, not the whole history. A written table (rather
     than ``Dataset.checkpoint``) gives the next round a plain scan: the plan
     carries no statistics or constraints of earlier rounds, and the input is
-    computed once.
+    computed once. ``release`` deletes the folder of a table that nothing will
+    read again, ``drop_intermediates`` those of all finished queries.
     """
     spark = df.sparkSession
+    ship_package(spark)
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tillroll-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if not _written:
+        atexit.register(_drop_quietly, spark)
+    _written.append(path)
+    out = spark.read.parquet(path)
+    out._tillroll_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the folder behind a ``cut_lineage`` result that no plan will read again."""
+    path = getattr(df, "_tillroll_path", None)
+    if path in _written:
+        _written.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete every intermediate folder of this application; call it once results have been consumed.
+
+    Query results are lazy and may read these folders, so they can't go when a
+    query function returns. Returns the number of folders deleted.
+    """
+    n = len(_written)
+    while _written:
+        _delete(spark, _written.pop())
+    return n
+
+
+def _drop_quietly(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        drop_intermediates(spark)

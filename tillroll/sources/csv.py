@@ -27,20 +27,24 @@ NULL_SENTINEL = "\u0000"
 REPLACEMENT_CHAR = "�"
 
 
-def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
-    # header-only schema: reads the first line, no inference pass
-    return spark.read.option("header", True).option("sep", sep).option(
-        "encoding", encoding).option("inferSchema", False).csv(path).columns
+def _reader(spark: SparkSession, sep: str, encoding: str, multiline: bool):
+    # doubled quotes stand for one quote, and a backslash is an ordinary character; a null
+    # sentinel that never occurs keeps empty cells as "" until the NA mapping
+    return (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+            .option("quote", '"').option("escape", '"').option("multiLine", multiline)
+            .option("mode", "PERMISSIVE").option("nullValue", NULL_SENTINEL).option("emptyValue", ""))
 
 
-def _read(spark: SparkSession, path: str, cols: list[str], sep: str, encoding: str) -> DataFrame:
-    # one spare column catches rows with more fields than the header; a null
-    # sentinel that never occurs keeps empty cells as "" until the NA mapping
+def _header(spark: SparkSession, path: str, sep: str, encoding: str, multiline: bool) -> list[str]:
+    # header-only schema: reads the first record, no inference pass
+    return _reader(spark, sep, encoding, multiline).option("inferSchema", False).csv(path).columns
+
+
+def _read(spark: SparkSession, path: str, cols: list[str], sep: str, encoding: str, multiline: bool) -> DataFrame:
+    # one spare column catches rows with more fields than the header
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(cols))]
                           + [T.StructField(EXTRA, T.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("sep", sep)
-          .option("encoding", encoding).option("mode", "PERMISSIVE")
-          .option("nullValue", NULL_SENTINEL).csv(path))
+    df = _reader(spark, sep, encoding, multiline).schema(schema).csv(path)
     kept = df.filter(F.col(EXTRA).isNull())
     na = [F.when(F.col(f"_c{i}").isin(NA_TOKENS), F.lit(None)).otherwise(F.col(f"_c{i}"))
           .alias(c.strip() if c else f"Unnamed: {i}") for i, c in enumerate(cols)]
@@ -55,11 +59,15 @@ def _has_replacement(df: DataFrame) -> bool:
 
 
 def read_retail_csv(spark: SparkSession, path: str, sep: str | None = None,
-                    encoding: str | None = None, row_cap: int | None = None) -> DataFrame:
+                    encoding: str | None = None, row_cap: int | None = None,
+                    multiline: bool = True) -> DataFrame:
     """All-string DataFrame of a retail CSV (headers as written).
 
     ``sep`` / ``encoding`` pin a candidate; ``row_cap`` keeps only the first
-    rows (off by default). Falls back to a UTF-8 comma read with undecodable
+    rows (off by default). Quoted cells may hold separators, doubled quotes and
+    line breaks; for the last, a file is read as a whole by one task, so a
+    large extract should come as many files, or with ``multiline=False`` if no
+    cell has a line break (files are then split). Falls back to a UTF-8 comma read with undecodable
     bytes removed when no candidate qualifies.
     """
     encs = [encoding] if encoding else ENCODINGS
@@ -68,12 +76,12 @@ def read_retail_csv(spark: SparkSession, path: str, sep: str | None = None,
     for enc in encs:
         for s in seps:
             try:
-                cols = _header(spark, path, s, enc)
+                cols = _header(spark, path, s, enc, multiline)
             except Exception:  # noqa: BLE001 - unreadable candidate, try the next
                 continue
             if len(cols) < MIN_COLUMNS:
                 continue
-            df = _read(spark, path, cols, s, enc)
+            df = _read(spark, path, cols, s, enc, multiline)
             if df.limit(1).count() == 0:
                 continue
             if enc.lower().replace("-", "") == "utf8" and _has_replacement(df):
@@ -83,8 +91,8 @@ def read_retail_csv(spark: SparkSession, path: str, sep: str | None = None,
         if chosen is not None:
             break
     if chosen is None:
-        cols = _header(spark, path, ",", "utf-8")
-        df = _read(spark, path, cols, ",", "utf-8")
+        cols = _header(spark, path, ",", "utf-8", multiline)
+        df = _read(spark, path, cols, ",", "utf-8", multiline)
         chosen = df.select(*[F.regexp_replace(F.col(f"`{c}`"), REPLACEMENT_CHAR, "").alias(c)
                              for c in df.columns])
     return chosen.limit(row_cap) if row_cap else chosen

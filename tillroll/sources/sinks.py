@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header line, one file per partition."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header line, one file per partition; quotes are doubled, so ``read_retail_csv`` gets the rows back."""
+    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+     .csv(path))
 
 
 def write_report(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
