@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Above this many distinct items a wide one-column-per-item matrix is refused;
-# the array form is the scalable representation.
-MAX_PIVOT_ITEMS = 10_000
-
 
 def basket_long(clean: DataFrame, item_col: str = "Description") -> DataFrame:
     """(InvoiceNo, item, Quantity): quantity summed per invoice and item."""
@@ -33,20 +29,21 @@ def basket_arrays(clean: DataFrame, item_col: str = "Description") -> DataFrame:
             .agg(F.sort_array(F.collect_list("item")).alias("items")))
 
 
-def basket_matrix(clean: DataFrame, item_col: str = "Description") -> DataFrame:
+def basket_matrix(clean: DataFrame, item_col: str = "Description", items: list[str] | None = None) -> DataFrame:
     """Wide boolean matrix: one row per invoice, one column per item.
 
-    The item list is collected (bounded by ``MAX_PIVOT_ITEMS``) so the pivot
-    does not need a second discovery pass.
+    A wide table needs its column names at plan time: ``items`` names them, by
+    default the item vocabulary, which then comes to the driver. An item that is
+    called like the key column gets the suffix ``_item``. For a large vocabulary
+    ``basket_arrays`` is the better form of the same data.
     """
     long = basket_long(clean, item_col)
-    items = [r[0] for r in long.select("item").distinct().orderBy("item")
-             .limit(MAX_PIVOT_ITEMS + 1).collect()]
-    if len(items) > MAX_PIVOT_ITEMS:
-        raise ValueError(f"more than {MAX_PIVOT_ITEMS} distinct items; use basket_arrays")
-    wide = long.groupBy("InvoiceNo").pivot("item", items).agg(F.sum("Quantity"))
-    return wide.select("InvoiceNo", *[(F.coalesce(F.col(f"`{i}`"), F.lit(0.0)) > 0).alias(i)
-                                      for i in items])
+    if items is None:
+        items = [r[0] for r in long.select("item").distinct().orderBy("item").collect() if r[0] is not None]
+    names = [f"{i}_item" if i == "InvoiceNo" else i for i in items]
+    return long.groupBy("InvoiceNo").agg(F.count(F.lit(1)).alias("_any"), *[
+        (F.coalesce(F.sum(F.when(F.col("item") == F.lit(i), F.col("Quantity"))), F.lit(0.0)) > 0).alias(n)
+        for i, n in zip(items, names, strict=True)]).drop("_any")
 
 
 def top_products(clean: DataFrame, n: int = 10, item_col: str = "Description") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.ranking import dense_index
 from tillroll.operators.pairwise import grid_cells, halo_cogroup, id_codes
 from tillroll.operators.rfm import FEATURES
-from tillroll.session import cut_lineage
+from tillroll.session import cut_lineage, release
 
 
 def _sq_dists(lx, rx, chunk=512):
@@ -91,18 +91,19 @@ def _core_flags(g: DataFrame, dim: int, eps: float, min_samples: int) -> DataFra
               .drop("_ncell", "_nn"))
 
 
-def connected_min_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node id of each node's connected component: ``(node, comp)``.
 
     ``nodes(node)``, ``edges(u, v)`` undirected. Each round takes the minimum
     label over the neighbourhood, then jumps once (label := label of label);
     labels only decrease and are node ids of the same component, so the fixed
-    point is the component minimum. One checkpoint and one count per round.
+    point is the component minimum, and every round before it lowers a label.
+    One written table and one count per round; the round before is deleted.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     both = cut_lineage(both.distinct())
     lab = cut_lineage(nodes.select("node", F.col("node").alias("comp")))
-    for _ in range(max_rounds):
+    while True:
         nb = (both.join(lab.withColumnRenamed("node", "v").withColumnRenamed("comp", "c"), "v")
                   .groupBy(F.col("u").alias("node")).agg(F.min("c").alias("c")))
         step = (lab.join(nb, "node", "left")
@@ -113,15 +114,18 @@ def connected_min_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
         new = cut_lineage(jump)
         changed = (new.join(lab.withColumnRenamed("comp", "old"), "node")
                       .filter(F.col("comp") != F.col("old")).limit(1).count())
+        release(lab)
         lab = new
         if changed == 0:
+            release(both)
             return lab
-    raise RuntimeError("component labelling did not converge")
 
 
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
            id_col: str = "CustomerID", features=FEATURES) -> DataFrame:
-    """``(id, Cluster)`` for every point; -1 marks noise."""
+    """``(id, Cluster)`` for every point; -1 marks noise. An empty input raises ``ValueError``."""
+    if points.isEmpty():
+        raise ValueError("no points to cluster")
     g, dim = _prep(points, id_col, features, eps)
     gc = [f"_g{i}" for i in range(dim)]
     xs = [f"_x{i}" for i in range(dim)]

@@ -23,13 +23,6 @@ STATUS_FEW = ("Insufficient valid clusters for metric calculation "
 METRICS_SCHEMA = ("silhouette_score double, davies_bouldin_index double, n_clusters int, "
                   "noise_count int, status string")
 
-# Cluster tables up to this many rows are broadcast to the point join.
-BROADCAST_CLUSTER_ROWS = 100_000
-
-
-def _centroid_join(points: DataFrame, cents: DataFrame, label: str, n_clusters: int) -> DataFrame:
-    return points.join(F.broadcast(cents) if n_clusters <= BROADCAST_CLUSTER_ROWS else cents, label)
-
 
 def silhouette_exact(points: DataFrame, id_col: str = "CustomerID", label: str = "Cluster",
                      features=FEATURES, block_rows: int = 4096) -> DataFrame:
@@ -130,7 +123,7 @@ def davies_bouldin(points: DataFrame, label: str = "Cluster", features=FEATURES,
     k = cents.count()
     dist = F.sqrt(sum(((F.col(c) - F.col(f"_c{i}")) * (F.col(c) - F.col(f"_c{i}"))
                        for i, c in enumerate(features)), F.lit(0.0)))
-    spread = (_centroid_join(pts, cents, label, k)
+    spread = (pts.join(cents, label)
               .groupBy(label, *[f"_c{i}" for i in range(len(features))])
               .agg(F.avg(dist).alias("_sigma"))
               .select(F.col(label).cast("long").alias("_lab"), "_sigma",

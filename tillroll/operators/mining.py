@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 
 from tillroll.session import cut_lineage
 
-# Candidate-extension tables up to this many rows are broadcast to the
-# occurrence join; larger ones go through a shuffle join.
-BROADCAST_CANDIDATE_ROWS = 200_000
-
 
 def min_count(min_support: float, n_baskets: int) -> int:
     return int(math.ceil(min_support * n_baskets))
@@ -63,17 +59,30 @@ def _prune_candidates(cands: DataFrame, level: DataFrame, k: int) -> DataFrame:
                 .filter(F.col("n_sub") == k + 1).select("items"))
 
 
+def _numbered(level: DataFrame) -> DataFrame:
+    """A level's itemsets with an id each, written once (so the ids stay)."""
+    return cut_lineage(level.withColumn("id", F.monotonically_increasing_id()))
+
+
+def _pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(InvoiceNo, a, b) of every two items a < b of a basket, one row per pair."""
+    return (left.select("InvoiceNo", F.col(key).alias("a"), F.col("item").alias("ia"))
+            .join(right.select("InvoiceNo", F.col(key).alias("b"), F.col("item").alias("ib")), "InvoiceNo")
+            .where("ia < ib").select("InvoiceNo", "a", "b"))
+
+
 def apriori_itemsets(items: DataFrame, min_support: float = 0.02,
                      max_len: int | None = None) -> DataFrame:
     """Level-wise Apriori over distinct ``(InvoiceNo, item)`` pairs.
 
-    Level 1 counts items. Each occurrence row ``(InvoiceNo, items, basket)``
-    holds a frequent k-itemset found in a basket; level k+1 joins it with the
-    extensions of its prefix allowed by the pruned candidate set and explodes
-    only the extensions present in the basket, so exactly the (basket,
-    candidate) containments are produced and counted (partial aggregation per
-    itemset). Each level is checkpointed; the loop stops at the first empty
-    level.
+    Level 1 counts items; level 2 counts the pairs of a basket's frequent items
+    straight from a self-join with partial aggregation (pairs are not written,
+    and Spark can split the join rows of one large basket over tasks). From
+    there an occurrence is a row of two longs, (basket, itemset): level k + 1
+    meets the pruned candidates of its itemset and the basket's items, so
+    exactly the (basket, candidate) containments are produced, written once,
+    counted, and used for the next level. Join strategies are left to Spark.
+    The loop stops at the first empty level.
     """
     spark = items.sparkSession
     items = cut_lineage(items.select("InvoiceNo", "item"))   # read at every level
@@ -82,68 +91,52 @@ def apriori_itemsets(items: DataFrame, min_support: float = 0.02,
         return spark.createDataFrame([], "items array<string>, freq long, support double")
     mc = min_count(min_support, n)
 
-    l1 = (items.groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
-               .filter(F.col("freq") >= mc))
-    l1 = cut_lineage(l1.select(F.array("item").alias("items"), "freq"))
+    l1 = _numbered(items.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= mc)
+                   .select(F.array("item").alias("items"), "freq"))
     levels = [l1]
     if max_len == 1 or l1.isEmpty():
-        return _with_support(l1, n)
-
-    # baskets restricted to frequent items (an infrequent item is in no itemset)
-    freq_items = l1.select(F.col("items")[0].alias("item"))
-    baskets = (items.join(F.broadcast(freq_items) if l1.count() <= BROADCAST_CANDIDATE_ROWS
-                          else freq_items, "item", "left_semi")
-                    .groupBy("InvoiceNo").agg(F.sort_array(F.collect_list("item")).alias("basket")))
-    # level 2: every pair of frequent items in a basket is a candidate
-    occ = baskets.select("InvoiceNo", "basket", F.explode("basket").alias("a")).select(
-        "InvoiceNo", "basket",
-        F.explode(F.filter("basket", lambda x: x > F.col("a"))).alias("b"), "a").select(
-        "InvoiceNo", "basket", F.array("a", "b").alias("items"))
-    k = 2
-    while True:
-        # occurrences feed both the count and the next level: materialise once
-        occ = cut_lineage(occ)
-        counted = (occ.groupBy("items").agg(F.count(F.lit(1)).alias("freq"))
-                      .filter(F.col("freq") >= mc))
-        lk = cut_lineage(counted)
-        if lk.isEmpty():
-            break
-        levels.append(lk)
+        return _with_support(l1.drop("id"), n)
+    # an infrequent item is in no itemset
+    known = cut_lineage(items.join(l1.select(F.col("items")[0].alias("item"), "id"), "item"))
+    pairs = _pairs(known, known, "id")
+    names = l1.select("id", F.col("items")[0].alias("name"))
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= mc)
+    l2 = _numbered(counted.join(names.select(F.col("id").alias("a"), F.col("name").alias("na")), "a")
+                   .join(names.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b")
+                   .select(F.array("na", "nb").alias("items"), "freq", "a", "b"))
+    occ = pairs.join(l2.select("a", "b", "id"), ["a", "b"]).select("InvoiceNo", "id")
+    level, k = l2.drop("a", "b"), 2
+    while not level.isEmpty():
+        levels.append(level)
         if max_len is not None and k >= max_len:
             break
-        # candidates: join frequent k-itemsets sharing their first k-1 items
-        a = lk.select(F.slice("items", 1, k - 1).alias("pre"), F.col("items").alias("ia"))
-        b = lk.select(F.slice("items", 1, k - 1).alias("pre"),
-                      F.element_at("items", -1).alias("last_b"))
-        cands = (a.join(b, "pre")
-                  .filter(F.element_at("ia", -1) < F.col("last_b"))
-                  .select(F.concat("ia", F.array("last_b")).alias("items")))
-        cands = cut_lineage(_prune_candidates(cands, lk, k))
+        # candidates: frequent k-itemsets that share their first k-1 items
+        a = level.select(F.slice("items", 1, k - 1).alias("pre"), F.col("items").alias("ia"))
+        b = level.select(F.slice("items", 1, k - 1).alias("pre"), F.element_at("items", -1).alias("last_b"))
+        cands = (a.join(b, "pre").filter(F.element_at("ia", -1) < F.col("last_b"))
+                 .select(F.concat("ia", F.array("last_b")).alias("items")))
+        cands = _numbered(_prune_candidates(cands, level, k))
         if cands.isEmpty():
             break
-        ext = (cands.groupBy(F.slice("items", 1, k).alias("items"))
-                    .agg(F.collect_list(F.element_at("items", -1)).alias("ext")))
-        if ext.count() <= BROADCAST_CANDIDATE_ROWS:
-            ext = F.broadcast(ext)
-        frequent_occ = occ.join(lk.select("items"), "items", "left_semi")
-        occ = (frequent_occ.join(ext, "items")
-               .select("InvoiceNo", "basket", "items",
-                       F.explode(F.array_intersect("ext", "basket")).alias("x"))
-               .select("InvoiceNo", "basket", F.concat("items", F.array("x")).alias("items")))
+        extend = (cands.select(F.slice("items", 1, k).alias("items"), F.element_at("items", -1).alias("item"),
+                               F.col("id").alias("new_id"))
+                  .join(level.select("items", "id"), "items").select("id", "item", "new_id"))
+        occ = cut_lineage(occ.join(extend, "id").join(known.select("InvoiceNo", "item"), ["InvoiceNo", "item"])
+                          .select("InvoiceNo", F.col("new_id").alias("id")))
+        counts = occ.groupBy("id").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= mc)
+        level = cut_lineage(counts.join(cands, "id").select("items", "freq", "id"))
         k += 1
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
-    return _with_support(out, n)
+    return _with_support(out.drop("id"), n)
 
 
 def pair_counts(items: DataFrame) -> DataFrame:
     """Co-occurrence count of every item pair that appears in some basket
     (the level-2 support table before the threshold)."""
-    baskets = items.groupBy("InvoiceNo").agg(F.sort_array(F.collect_list("item")).alias("basket"))
-    pairs = baskets.select(F.explode("basket").alias("a"), "basket").select(
-        "a", F.explode(F.filter("basket", lambda x: x > F.col("a"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq"))
+    named = items.withColumn("name", F.col("item"))
+    return _pairs(named, named, "name").groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def compare_miners(items: DataFrame, baskets: DataFrame, min_support: float = 0.02) -> DataFrame:
@@ -165,3 +158,11 @@ def compare_miners(items: DataFrame, baskets: DataFrame, min_support: float = 0.
         [(ta, tf, ap.count(), fp.count(), round(ta / max(tf, 1e-6), 2))],
         "apriori_time_sec double, fpgrowth_time_sec double, apriori_itemset_count long, "
         "fpgrowth_itemset_count long, speedup_factor double")
+
+
+def miner_timings(comparison: DataFrame) -> DataFrame:
+    """Long form of the comparison: (algorithm, measure, value), two measures per miner."""
+    return comparison.select(F.expr(
+        "stack(4, 'Apriori', 'time_sec', apriori_time_sec, 'FP-Growth', 'time_sec', fpgrowth_time_sec, "
+        "'Apriori', 'itemsets', double(apriori_itemset_count), 'FP-Growth', 'itemsets', double(fpgrowth_itemset_count)) "
+        "as (algorithm, measure, value)"))

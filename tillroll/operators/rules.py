@@ -10,18 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Itemset lookup tables up to this many rows are broadcast into the two
-# support joins; larger ones are shuffle-joined on the sorted-array key.
-BROADCAST_ITEMSET_ROWS = 500_000
-
 METRICS = ["antecedent_support", "consequent_support", "support", "confidence", "lift",
            "leverage", "conviction", "zhangs_metric"]
 ROUNDED = ["support", "confidence", "lift", "leverage", "conviction"]
 
 
-def _lookup(itemsets: DataFrame, name: str, n_rows: int) -> DataFrame:
-    t = itemsets.select(F.col("items").alias(name), F.col("support").alias(f"{name}_s"))
-    return F.broadcast(t) if n_rows <= BROADCAST_ITEMSET_ROWS else t
+def _lookup(itemsets: DataFrame, name: str) -> DataFrame:
+    return itemsets.select(F.col("items").alias(name), F.col("support").alias(f"{name}_s"))
 
 
 def rule_metrics(s: Column, sa: Column, sc: Column) -> dict[str, Column]:
@@ -47,7 +42,6 @@ def association_rules(itemsets: DataFrame, metric: str = "confidence",
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; choose one of {METRICS}")
-    n_sets = itemsets.count()
     multi = itemsets.filter(F.size("items") >= 2)
     splits = multi.select(
         "items", F.col("support"),
@@ -56,8 +50,8 @@ def association_rules(itemsets: DataFrame, metric: str = "confidence",
         "support",
         F.expr("filter(items, (x, i) -> getbit(mask, i) = 1)").alias("antecedents"),
         F.expr("filter(items, (x, i) -> getbit(mask, i) = 0)").alias("consequents"))
-    j = (splits.join(_lookup(itemsets, "antecedents", n_sets), "antecedents")
-               .join(_lookup(itemsets, "consequents", n_sets), "consequents"))
+    j = (splits.join(_lookup(itemsets, "antecedents"), "antecedents")
+               .join(_lookup(itemsets, "consequents"), "consequents"))
     sa, sc, s = F.col("antecedents_s"), F.col("consequents_s"), F.col("support")
     m = rule_metrics(s, sa, sc)
     rules = j.select("antecedents", "consequents", sa.alias("antecedent_support"),
@@ -105,6 +99,7 @@ def rule_graph_edges(rules: DataFrame, top_n: int = 15) -> DataFrame:
 
 
 def rule_graph_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes of the rule graph with degree = in-edges + out-edges."""
+    """Nodes of the rule graph with degree = in-edges + out-edges, and the text shown over a node."""
     ends = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id")))
-    return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    return (ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+            .withColumn("hover", F.format_string("Item: %s | Connections: %d", "id", "degree")))

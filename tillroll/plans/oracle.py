@@ -195,7 +195,7 @@ ORACLE["rule_graph_edges"] = MINE + "," + rules_cte() + "," + TOP_EDGES + """
 select src, dst, weight from edges"""
 
 ORACLE["rule_graph_nodes"] = MINE + "," + rules_cte() + "," + TOP_EDGES + """
-select id, count(*) degree from (select src id from edges union all select dst from edges) group by id"""
+select id, count(*) degree, format('Item: {} | Connections: {}', id, count(*)) hover from (select src id from edges union all select dst from edges) group by id"""
 
 # ---- evaluation on deterministic labels (customer market segment) ---------
 SEGLAB = """seglab as (select cast(c_custkey as varchar) CustomerID,
@@ -374,6 +374,11 @@ select 'success' status, (select count(*) from clean) cleaned_rows,
 # ---- header normalisation and the wide basket matrix ------------------------
 ORACLE["normalize_columns"] = with_(RAW) + "select * from raw"
 
+# The item names of the driver's part table.
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
 ORACLE["basket_matrix"] = with_(RAW, CLEAN) + """,
 bl as (select InvoiceNo, Description item, sum(Quantity) q from clean group by all)
-pivot bl on item using coalesce(sum(q), 0) > 0 group by InvoiceNo"""
+select InvoiceNo, """ + ", ".join(
+    f"coalesce(sum(q) filter (where item = '{i}'), 0) > 0 as \"{i}\"" for i in PART_TYPES) + """
+from bl group by InvoiceNo"""
