@@ -1,0 +1,299 @@
+"""Toxicity, personal data, role repair, search and the pipeline."""
+
+import itertools
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tillroll.llm import mih, pii_crf, role_repair, toxic_segments
+
+SF = "/root/testdata/sf0.1"
+
+
+# ---- toxicity -----------------------------------------------------------------------------------
+
+def test_maximal_segments_equal_their_definition():
+    rng = np.random.default_rng(1)
+
+    def define(x, a, b):  # the best segment, then the same to its left and right
+        if not (x[a:b] > 0).any():
+            return []
+        sums = np.concatenate([[0], np.cumsum(x)])
+        best = max(((sums[j] - sums[i], -(j - i), -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)))
+        i, j = best[3], best[4]
+        return define(x, a, i) + [(i, j)] + define(x, j, b)
+
+    for _ in range(200):
+        x = rng.standard_normal(int(rng.integers(0, 25))) - 0.3
+        assert [(s, e) for s, e, _ in toxic_segments.maximal_segments(x)] == define(x, 0, len(x))
+
+
+def test_long_runs_stay_linear():
+    x = np.tile([1.0, -0.999], 200_000)
+    assert len(toxic_segments.maximal_segments(x)) == 1
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxic_segments.fit(docs, labels)
+    rows = (toxic_segments.score_documents(docs, model).join(labels, "doc_id")
+            .select("doc_id", "toxic", "tox_score", toxic_segments.is_held_out("doc_id").alias("held")).toPandas())
+    return model, rows
+
+
+def test_held_out_accuracy(scored):
+    _, rows = scored
+    held = rows[rows.held]
+    said, true = held.tox_score >= 0.5, held.toxic == 1
+    assert (said & true).sum() / said.sum() > 0.95
+    assert (said & true).sum() / true.sum() > 0.8
+    assert 0 <= rows.tox_score.min() and rows.tox_score.max() <= 1
+
+
+def test_held_out_labels_are_not_learned(spark, scored):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    flipped = labels.withColumn("toxic", F.when(toxic_segments.is_held_out("doc_id"), 1 - F.col("toxic"))
+                                .otherwise(F.col("toxic")))
+    model = toxic_segments.fit(docs, flipped)
+    assert (model.tokens, model.weights, model.slope) == (scored[0].tokens, scored[0].weights, scored[0].slope)
+
+
+def test_toxicity_odd(spark, odd_docs, no_docs, scored):
+    model = scored[0]
+    docs = odd_docs.drop("score")
+    rows = toxic_segments.score_documents(docs, model).collect()
+    assert len(rows) == docs.count() and all(0 <= r.tox_score < 0.5 for r in rows)
+    assert toxic_segments.score_documents(no_docs, model).count() == 0
+    empty = spark.createDataFrame([], "doc_id long, toxic int")
+    nothing = toxic_segments.fit(docs, empty)
+    assert not nothing.tokens
+    odd_labels = spark.createDataFrame([(None, 1), (1, None), (2, 1), (2, 0), (99, 1)], "doc_id long, toxic int")
+    assert toxic_segments.keep_clean(docs, odd_labels).columns == docs.columns
+    bad = spark.createDataFrame([(1, model.tokens[0] + " " + model.tokens[1])], "doc_id long, text string")
+    assert toxic_segments.score_documents(bad, model).first().tox_score > 0.5
+
+
+# ---- personal data ------------------------------------------------------------------------------
+
+PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+            r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def by_regex(text):
+    out = []
+    for kind, pattern in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == 1 and max(map(int, m.group().split("."))) > 255:
+                continue
+            if kind == 2 and not (12 <= len(digits) <= 19 and pii_crf.luhn(digits)):
+                continue
+            if kind == 3 and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice("01 2.-+()@a_b%é\n3") for _ in range(rng.randint(0, 40)))
+        assert pii_crf.base_spans(text) == by_regex(text), text
+
+
+def test_base_spans_are_linear_in_long_runs():
+    for text in ("1" * 200_000, "a" * 200_000, "1." * 100_000, "+1" + "(" * 200_000, "a@" * 50_000):
+        pii_crf.base_spans(text)
+
+
+def test_decoding_equals_a_full_viterbi(spark):
+    texts = pa.array([r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect()]
+                     + ["", "call (171) 555-2034 now", "1 2 3 4 5"])
+    model = pii_crf.train()
+    codes, _, _, bounds = pii_crf.shapes(*pii_crf.text_bytes(texts))
+    got = model.decode(codes, bounds)
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        if b > a:
+            score = model.scores(codes, bounds, np.arange(a, b))[None]
+            assert got[a:b].tolist() == pii_crf.viterbi(score, model.trans)[0].tolist()
+
+
+def test_crf_held_out_accuracy():
+    model, right, total = pii_crf.train(), 0, 0
+    for tokens, labels in pii_crf.labelled_table(99):
+        codes, _, _, bounds = pii_crf.shapes(*pii_crf.text_bytes(pa.array([" ".join(tokens)])))
+        right += int((model.decode(codes, bounds) == np.array(labels)).sum())
+        total += len(labels)
+    assert right / total > 0.97
+
+
+def test_personal_data_odd(odd_docs, no_docs):
+    rows = {r.doc_id: r for r in pii_crf.find_personal_data(odd_docs).collect()}
+    r = rows[11]
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
+    assert [s.split(":")[0] for s in r.spans.split(",")] == ["email", "phone", "card", "ip"]
+    assert rows[3].spans == "" and rows[3].base_sha256 == rows[4].base_sha256
+    clean = pii_crf.redact(odd_docs)
+    assert clean.schema == odd_docs.schema and clean.count() == odd_docs.count()
+    assert clean.where("doc_id = 11").first().text == "mail [EMAIL] or [PHONE], card [CARD] at [IP]."
+    assert clean.where("doc_id = 3").first().text in (None, "")
+    assert pii_crf.find_personal_data(no_docs).count() == 0
+
+
+def test_added_spans_never_touch_base_ones():
+    texts = pa.array(["call (171) 555-2034 or +1 (171) 555-2034", "tel. 171-555-2034 jo[at]mail.com", "plain text"])
+    for (base, added), text in zip(pii_crf.find_spans(texts, pii_crf.train()), texts.to_pylist()):
+        assert base == by_regex(text)
+        assert all(e <= s2 or e2 <= s for s, _, e in added for s2, _, e2 in base)
+    assert pii_crf.find_spans(texts, pii_crf.train())[1][1]
+
+
+# ---- role repair --------------------------------------------------------------------------------
+
+def brute_cost(roles):
+    """Least cost over all role assignments, by trying them all."""
+    best = 10 ** 9
+    for path in itertools.product((1, 2, 3), repeat=len(roles)):
+        state, cost = 0, 0
+        for r, t in zip(roles, path):
+            cost += role_repair.LINK[state][t] + role_repair.name_cost(r, t)
+            state = t
+        best = min(best, cost + role_repair.END[state])
+    return best if roles else 0
+
+
+def test_repair_is_cheapest_and_composes():
+    rng = random.Random(2)
+    for _ in range(300):
+        roles = [rng.randint(0, 3) for _ in range(rng.randint(1, 7))]
+        path, cost = role_repair.repair(roles)
+        assert cost == brute_cost(roles)
+        cut = sorted(rng.sample(range(1, len(roles) + 1), min(len(roles), 2)) + [0, len(roles)])
+        parts = [(i, roles[a:b]) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+        states = role_repair.plan([(i, role_repair.matrix(p)) for i, p in parts])
+        total = sum(role_repair.repair(p, *states[i])[1] for i, p in parts) + role_repair.END[states[parts[-1][0]][1]]
+        assert total == cost
+
+
+def _legal(text):
+    names = re.findall(r"<\|(\w+)\|>", text)
+    if names[:1] == ["system"]:
+        names = names[1:]
+    return names == ["user", "assistant"] * (len(names) // 2) and bool(names)
+
+
+def test_conversations_become_legal(spark):
+    rng = random.Random(7)
+    roles = ["user", "assistant", "system", "User ", "tool", None, ""]
+    rows = [(c, t, rng.choice(roles), f"c{c}t{t}") for c in range(30) for t in range(rng.randint(1, 9))]
+    rows += [(99, t, rng.choice(roles), f"long{t}") for t in range(400)]  # one with most of the rows
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    got = role_repair.repair_conversations(chats.withColumn("part", F.lit(1)).withColumn("at", F.lit(2))).collect()
+    assert len(got) == len(rows)
+    for c in {r[0] for r in rows}:
+        own = sorted((r for r in got if r.conv_id == c), key=lambda r: r.seq)
+        source = sorted(r for r in rows if r[0] == c)
+        assert [r.seq for r in own] == list(range(len(source)))
+        text = "".join(r.rendered for r in own)
+        assert _legal(text)
+        assert [p for r in own for p in [r.rendered.split("\n")] if any(r.rendered.count(s[3]) for s in source)]
+        cost = 0
+        for r in own:
+            n = role_repair.role_number(r.role)
+            cost += role_repair.name_cost(n, 1 + role_repair.ROLES.index(r.new_role))
+            cost += role_repair.MERGE * ("merge" in r.action)
+            cost += role_repair.INSERT * sum(len([x for x in e.split(",") if x]) for e in (r.inserted_before, r.inserted_after))
+        assert cost == role_repair.repair([role_repair.role_number(s[2]) for s in source])[1]
+
+
+def test_conversations_odd(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (1, None, None, None), (1, 0, "user", "x"), (1, 0, "user", "x")]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = role_repair.repair_conversations(chats).collect()
+    assert len(got) == 5
+    assert all(r.inserted_after == "assistant" for r in got if r.conv_id is None)
+    assert role_repair.repair_conversations(chats.where("turn > 9")).count() == 0
+
+
+# ---- nearest neighbours -------------------------------------------------------------------------
+
+def test_substring_index_returns_the_whole_radius():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 1 << 16, (3000, 4)).astype(np.uint16)
+    codes[1:200] = codes[0] ^ (1 << rng.integers(0, 16, (199, 4))).astype(np.uint16) * (rng.random((199, 4)) < 0.5)
+    index = mih.SubstringIndex(codes)
+    bits = np.unpackbits(codes.astype(">u2").view(np.uint8), axis=1)
+    for radius in (0, 1, 3, 4, 7, 12, 20):
+        want = np.flatnonzero((bits != bits[0]).sum(1) <= radius)
+        assert index.within(codes[0], radius).tolist() == want.tolist()
+
+
+def test_recall_and_scores(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got = mih.nearest(table, lambda i: i % 50 == 0, block_rows=700).toPandas()
+    pdf = table.orderBy("vec_id").toPandas()
+    x, ids = np.stack(pdf.embedding).astype(float), pdf.vec_id.to_numpy()
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = set(ids[np.lexsort((ids, d))[:10]].tolist())
+        own = got[got.query_id == ids[q]].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 11))
+        assert np.allclose(own.score, [d[np.flatnonzero(ids == v)[0]] for v in own.vec_id], rtol=0, atol=1e-12)
+        assert own.score.is_monotonic_increasing
+        hits += len(want & set(own.vec_id))
+        total += 10
+    assert hits / total >= 0.9
+
+
+def test_vectors_odd(spark):
+    rows = [(i, [float(i), 1.0, 2.0, -1.0]) for i in range(8)] + [
+        (8, None), (9, [0.0] * 4), (10, [1.0, None, 2.0, 3.0]), (11, [float("nan")] * 4), (12, [float("inf")] * 4),
+        (13, [1.0]), (None, [1.0] * 4), (3, [3.0, 1.0, 2.0, -1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("x", F.lit(1))
+    got = mih.nearest(table, lambda i: i == 0).collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 3, 4, 5, 6, 7]
+    assert [r["rank"] for r in got] == list(range(1, 9))
+    assert mih.nearest(table.where("vec_id > 50"), lambda i: i == 0).count() == 0
+
+
+# ---- pipeline -----------------------------------------------------------------------------------
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as cp
+    from .test_dedup import _near
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "pii", "packing"]
+    for i, (name, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, sf)
+        if name != "packing":
+            assert out.columns == columns
+        out.write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        before = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+        if name == "toxicity":
+            model = toxic_segments.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            want = {r.doc_id for r in toxic_segments.score_documents(docs, model).where("tox_score < 0.5").collect()}
+            assert {r.doc_id for r in after.select("doc_id").collect()} == want
+        elif name == "exact_dedup":
+            last = {t: i for i, t in sorted(before.items())}
+            assert {r.doc_id: r.text for r in after.collect()} == {i: t for t, i in last.items()}
+        elif name == "near_dedup":
+            assert {r.doc_id for r in after.collect()} == {i for i, c in _near(docs).items() if i == c}
+        elif name == "pii":
+            assert {r.doc_id for r in after.collect()} == set(before)
+            assert not any(k in (0, 3) for r in after.collect() for _, k, _ in by_regex(r.text))
+        else:
+            assert {r.doc_id for r in after.collect()} == set(before)
+        docs = after
