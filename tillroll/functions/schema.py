@@ -59,6 +59,5 @@ def validate_columns(df: DataFrame) -> DataFrame:
     missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(
-            f"Input is missing required column(s): {', '.join(missing)}. "
-            f"Expected columns: {', '.join(REQUIRED_COLUMNS)}.")
+            f"no column for {', '.join(missing)}; a retail table has {', '.join(REQUIRED_COLUMNS)}")
     return df

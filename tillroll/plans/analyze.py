@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.operators import baskets, clean, evaluate, kmeans, mining, rfm, rules
@@ -25,9 +25,12 @@ def analyze(raw: DataFrame, n_clusters: int = 3, min_support: float = 0.03,
     metrics = evaluate.cluster_metrics(scaled.join(km.labels, "CustomerID"))
     itemsets = mining.fpgrowth_itemsets(baskets.basket_arrays(lines), min_support)
     rl = cut_lineage(rules.association_rules(itemsets, "confidence", min_confidence))
+    # a collected list has no order of its own: the position is collected with it and sorted on (top_n rows)
     top = rl.orderBy(*rules.lift_order()).limit(top_n).select(
-        F.struct("rule", "support", "confidence", "lift").alias("r"))
-    top_arr = top.agg(F.collect_list("r")).scalar()
+        F.row_number().over(Window.orderBy(*rules.lift_order())).alias("position"),
+        "rule", "support", "confidence", "lift")
+    top_arr = top.agg(F.transform(F.sort_array(F.collect_list(F.struct(*top.columns))),
+                                  lambda r: r.dropFields("position"))).scalar()
     m = metrics.select(F.struct(*metrics.columns).alias("m")).scalar()
     return lines.sparkSession.range(1).select(
         F.lit("success").alias("status"),

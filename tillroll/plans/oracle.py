@@ -6,6 +6,9 @@ same retail view and cleaning rules as the Spark side.
 
 from __future__ import annotations
 
+from tillroll.operators import report as rp
+from tillroll.operators.evaluate import STATUS_FEW
+
 # Retail view over lineitem, orders, part (see tillroll.sources.tables).
 RAW = """raw as (
   select case when l_returnflag='R' then concat('C', cast(l_orderkey as varchar)) else cast(l_orderkey as varchar) end InvoiceNo,
@@ -365,11 +368,97 @@ select position rule_no,
          || consequent_items || ''' digital popup widgets.' || chr(10) action
 from prl where position <= 5"""
 
-ORACLE["analyze_summary"] = MINE + "," + rules_cte() + """,
-top as (select rule from rules order by lift desc, confidence desc, support desc, rule limit 5)
+def _lines(rows: list[tuple[int, int, list[str]]]) -> str:
+    """Fixed report lines as a VALUES list of (section, sub, pos, line)."""
+    quote = lambda t: t.replace("'", "''")
+    return ", ".join(f"({a}, {b}, {i}, '{quote(t)}')" for a, b, ls in rows for i, t in enumerate(ls))
+
+
+ORACLE["offline_report"] = PAY + ", rr as (" + ORACLE["report_rules"].removeprefix(PAY) + """),
+who as (select *, case when Monetary_Mean > 500 or Frequency_Mean > 10 then 0 when Recency_Mean > 100 then 1 else 2 end w
+        from profile),
+named as (select *, ['""" + "', '".join([rp.PERSONA_VIP, rp.PERSONA_RISK, rp.PERSONA_CORE]) + """'][w + 1] persona,
+                 ['""" + "', '".join(rp.PERSONA_ICON[p] for p in (rp.PERSONA_VIP, rp.PERSONA_RISK, rp.PERSONA_CORE)) + """'][w + 1] icon,
+                 ['""" + "', '".join([rp.PERSONA_VIP_DESC, rp.PERSONA_RISK_DESC, rp.PERSONA_CORE_DESC]) + """'][w + 1] about
+          from who),
+segs as (select 1 section, Cluster sub, unnest(range(6)) pos, unnest([
+            '### ' || icon || ' Cluster ' || Cluster || ': ' || persona,
+            '- **Customer Count:** ' || Customer_Count || ' customers',
+            '- **Average Recency:** ' || Recency_Mean || ' days',
+            '- **Average Order Frequency:** ' || Frequency_Mean || ' orders',
+            '- **Average Total Monetary Value:** $' || format('{:,.2f}', Monetary_Mean),
+            '- **Behavioral Assessment:** ' || about || chr(10)]) line from named),
+rls as (select 3 section, rule_no sub, unnest(range(3)) pos, unnest([title, metrics, action]) line from rr),
+fixed(section, sub, pos, line) as (values """ + _lines([
+    (0, 0, rp.REPORT_HEAD), (2, 0, rp.REPORT_SECTION2), (3, 0, [rp.REPORT_RULES_INTRO]), (4, 0, rp.REPORT_SECTION4)]) + """)
+select cast(row_number() over (order by section, sub, pos) as integer) line_no, line
+from (select * from segs union all select * from rls union all select * from fixed)"""
+
+ORACLE["offline_report_json"] = ORACLE["offline_report"]
+
+ORACLE["insight_payload_parsed"] = ORACLE["insight_payload"]
+
+KM_PTS = "kp as (select id, list_position(dd, list_min(dd)) - 1 k, x, y, z from (" \
+    "select p.*, list_transform(list_sort(b.cs), lambda c: (x-c[1])*(x-c[1]) + (y-c[2])*(y-c[2]) + (z-c[3])*(z-c[3])) dd " \
+    "from pts p, best b))"
+
+
+def metrics_of(points: str) -> str:
+    """Silhouette and Davies-Bouldin CTEs over another point table than ``pts``."""
+    return (SIL + "," + DBI).replace("from pts ", f"from {points} ").replace("join pts ", f"join {points} ")
+
+
+def _analyze() -> str:
+    return _kmeans(3, 3) + "," + KM_PTS + "," + metrics_of("kp")
+
+
+ORACLE["kmeans_metrics"] = _analyze() + """
+select silhouette_score, davies_bouldin_index, cast((select count(distinct k) from kp) as integer) n_clusters,
+       cast(0 as integer) noise_count, 'Success' status from sil, dbi"""
+
+ORACLE["analyze_summary"] = _analyze() + ",\n" + ",\n".join([ITEMS, BASKETS, itemsets_cte()]) + "," + rules_cte() + """,
+top as (select rule, row_number() over (order by lift desc, confidence desc, support desc, rule) n
+        from rules qualify n <= 5)
 select 'success' status, (select count(*) from clean) cleaned_rows,
        (select count(*) from rules) mined_rules_count,
-       (select string_agg(rule, ' | ' order by rule) from top) top_rules_text"""
+       (select string_agg(rule, ' | ' order by n) from top) top_rules_text,
+       silhouette_score, davies_bouldin_index, cast((select count(distinct k) from kp) as integer) n_clusters,
+       cast(0 as integer) noise_count, 'Success' metrics_status
+from sil, dbi"""
+
+DB_PTS = "dp as (select p.id, d.Cluster k, x, y, z from pid p join dbl d on p.id = d.CustomerID where d.Cluster <> -1)"
+ORACLE["dbscan_metrics"] = ("with recursive " + with_(RAW, CLEAN, RFM, SCALED, PAIRS, DBSCAN, DB_PTS)[5:] + ","
+                            + metrics_of("dp") + """
+select case when n >= 2 then silhouette_score end silhouette_score,
+       case when n >= 2 then davies_bouldin_index end davies_bouldin_index, cast(n as integer) n_clusters,
+       cast((select count(*) from dbl where Cluster = -1) as integer) noise_count,
+       case when n >= 2 then 'Success' else '""" + STATUS_FEW + """' end status
+from (select count(distinct k) n from dp), sil, dbi""")
+
+ORACLE["dbscan_profiles"] = ("with recursive " + with_(RAW, CLEAN, RFM, SCALED, PAIRS, DBSCAN)[5:] + ","
+                             + PROFILE.replace("seglab", "dbl") + "\nselect * from profile")
+
+ORACLE["silhouette_squared"] = EVAL + "," + SIL.replace(
+    "sum(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)))",
+    "sum((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))") + "\nselect silhouette_score from sil"
+
+# ---- text input ---------------------------------------------------------------
+ORACLE["csv_scan"] = with_(RAW) + """
+select InvoiceNo, StockCode,
+       case when cast(StockCode as bigint) % 3 = 0 then concat('SET OF 6 "', Description, '", TINS')
+            when cast(StockCode as bigint) % 3 = 1 then Description || chr(10) || 'two lines'
+            else Description || chr(92) end Description,
+       cast(cast(Quantity as bigint) as varchar) Quantity, strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S') InvoiceDate,
+       cast(cast(floor(UnitPrice) as bigint) as varchar) UnitPrice, CustomerID
+from raw""".replace("concat('SET OF 6 \"', Description, '\", TINS')", "'SET OF 6 \"' || Description || '\", TINS'")
+
+ORACLE["clean_text_lines"] = with_(RAW) + """,
+t as (select *, cast(StockCode as bigint) k, floor(UnitPrice) p from raw)
+select InvoiceNo, StockCode, Description, Quantity, InvoiceDate + case when k % 4 = 0 then interval 123 milliseconds
+       else interval 0 milliseconds end InvoiceDate, p UnitPrice, CustomerID, Quantity * p TotalPrice
+from t
+where CustomerID is not null and Description is not null and not starts_with(InvoiceNo, 'C')
+  and k % 50 not in (7, 8) and Quantity > 0 and p > 0"""
 
 # ---- header normalisation and the wide basket matrix ------------------------
 ORACLE["normalize_columns"] = with_(RAW) + "select * from raw"

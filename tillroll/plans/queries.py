@@ -8,6 +8,7 @@ engine regardless of summation order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -338,6 +339,22 @@ def q_offline_report(spark, sf_dir):
     return rp.offline_report(_segment_profile(spark, sf_dir), _rules(spark, sf_dir))
 
 
+@query
+def q_offline_report_json(spark, sf_dir):
+    """The report made from the JSON payload instead of the tables."""
+    return rp.offline_report_json(rp.insight_payload(_segment_profile(spark, sf_dir), _rules(spark, sf_dir)))
+
+
+@query
+def q_insight_payload_parsed(spark, sf_dir):
+    """The JSON payload read back into rows."""
+    seg, rules_ = rp.payload_frames(rp.insight_payload(_segment_profile(spark, sf_dir), _rules(spark, sf_dir)))
+    a = seg.select(F.lit("segment").alias("section"), F.col("cluster_id").cast("long").alias("position"), *seg.columns)
+    b = rules_.select(F.lit("rule").alias("section"), F.col("position").cast("long").alias("position"),
+                      *[c for c in rules_.columns if c != "position"])
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 @query
 def q_prompt_table(spark, sf_dir):
     return rp.prompt_table(rp.insight_payload(_segment_profile(spark, sf_dir), _rules(spark, sf_dir)))
@@ -348,8 +365,11 @@ def q_analyze_summary(spark, sf_dir):
     s = analyze(retail_lines(spark, sf_dir), n_clusters=3, min_support=MIN_SUPPORT,
                 min_confidence=MIN_CONFIDENCE)
     return s.select("status", "cleaned_rows", "mined_rules_count",
-                    F.array_join(F.sort_array(F.transform("top_rules", lambda r: r["rule"])), " | ")
-                    .alias("top_rules_text"))
+                    F.array_join(F.transform("top_rules", lambda r: r["rule"]), " | ").alias("top_rules_text"),
+                    F.round("metrics.silhouette_score", 4).alias("silhouette_score"),
+                    F.round("metrics.davies_bouldin_index", 4).alias("davies_bouldin_index"),
+                    F.col("metrics.n_clusters").alias("n_clusters"), F.col("metrics.noise_count").alias("noise_count"),
+                    F.col("metrics.status").alias("metrics_status"))
 
 
 # ---- header normalisation and the wide basket matrix ------------------------
@@ -380,3 +400,78 @@ AGG_LINKAGE = "ward"   # reference default
 @query
 def q_agglomerative_labels(spark, sf_dir):
     return ag.agglomerative(_scaled(spark, sf_dir), AGG_K, AGG_LINKAGE)
+
+
+# ---- metrics of clusterings that have noise or come from a model ------------
+def _dbscan_points(spark, sf_dir):
+    scaled = cut_lineage(_scaled(spark, sf_dir))
+    return scaled.join(db.dbscan(scaled, DBSCAN_EPS, DBSCAN_MIN_SAMPLES), "CustomerID")
+
+
+@query
+def q_dbscan_metrics(spark, sf_dir):
+    return ev.cluster_metrics(_dbscan_points(spark, sf_dir))
+
+
+@query
+def q_dbscan_profiles(spark, sf_dir):
+    raw = _rfm(spark, sf_dir)
+    labels = db.dbscan(rfm.rfm_scaled(raw), DBSCAN_EPS, DBSCAN_MIN_SAMPLES)
+    return ev.cluster_profiles(raw, labels)
+
+
+@query
+def q_kmeans_metrics(spark, sf_dir):
+    scaled = cut_lineage(_scaled(spark, sf_dir))
+    return ev.cluster_metrics(scaled.join(km.kmeans(scaled, k=KMEANS_K).labels, "CustomerID"))
+
+
+@query
+def q_silhouette_squared(spark, sf_dir):
+    return ev.silhouette_squared(_segment_points(spark, sf_dir)).select(
+        F.round("silhouette_score", 4).alias("silhouette_score"))
+
+
+# ---- text input ---------------------------------------------------------------
+from tillroll.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
+from tillroll.sources.csv import read_retail_csv  # noqa: E402
+from tillroll.sources.sinks import write_csv  # noqa: E402
+
+
+def _awkward_lines(spark, sf_dir):
+    """Retail lines as text, with separators, quotes, line breaks and backslashes in the descriptions."""
+    k = F.col("StockCode").cast("bigint")
+    d = F.col("Description")
+    return retail_lines(spark, sf_dir).select(
+        "InvoiceNo", "StockCode",
+        F.when(k % 3 == 0, F.concat(F.lit('SET OF 6 "'), d, F.lit('", TINS')))
+         .when(k % 3 == 1, F.concat(d, F.lit("\ntwo lines"))).otherwise(F.concat(d, F.lit("\\"))).alias("Description"),
+        F.col("Quantity").cast("bigint").cast("string").alias("Quantity"),
+        F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss").alias("InvoiceDate"),
+        F.floor("UnitPrice").cast("string").alias("UnitPrice"), "CustomerID")
+
+
+@query
+def q_csv_scan(spark, sf_dir):
+    """The lines written as CSV and read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-csv-{uuid.uuid4().hex}"
+    write_csv(_awkward_lines(spark, sf_dir), path)
+    return read_retail_csv(spark, path).select(*REQUIRED_COLUMNS)
+
+
+@query
+def q_clean_text_lines(spark, sf_dir):
+    """Cleaning of an all-text table: four date layouts, NaN and malformed quantities."""
+    k = F.col("StockCode").cast("bigint")
+    raw = retail_lines(spark, sf_dir)
+    text = raw.select(
+        "InvoiceNo", "StockCode", "Description",
+        F.when(k % 50 == 7, F.lit("NaN")).when(k % 50 == 8, F.lit("2f"))
+         .otherwise(F.col("Quantity").cast("bigint").cast("string")).alias("Quantity"),
+        F.when(k % 4 == 0, F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss.'123'"))
+         .when(k % 4 == 1, F.date_format("InvoiceDate", "M/d/yyyy h:mm a"))
+         .when(k % 4 == 2, F.date_format("InvoiceDate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+         .otherwise(F.date_format("InvoiceDate", "d-MMM-yyyy")).alias("InvoiceDate"),
+        F.floor("UnitPrice").cast("string").alias("UnitPrice"), "CustomerID")
+    return clean.clean_lines(text).select("InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate",
+                                          "UnitPrice", "CustomerID", "TotalPrice")
