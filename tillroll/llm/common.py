@@ -2,43 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.session import cut_lineage
+from tillroll.session import cut_lineage, release, ship_package
 
-__all__ = ["cut_lineage", "documents", "ship_package", "text_slices", "tokenizer_json", "VOCAB_FILE"]
+__all__ = ["cut_lineage", "documents", "release", "ship_package", "text_slices", "tokenizer_json", "VOCAB_FILE"]
 
 #: Name of the tokenizer file among the installed public tokenizers.
 VOCAB_FILE = "word_bpe_49k.json"
 #: Arrow batches are worked through in slices of at most this many bytes of text.
-SLICE_BYTES = 16 << 20
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per Spark context.
-
-    Workers import the kernels by name. On a cluster they have no copy of the
-    driver's folder, so the sources go out as one zip of a few hundred KB.
-    """
-    sc = spark.sparkContext
-    if getattr(sc, "_tillroll_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="tillroll-zip-"), "tillroll_pkg.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    p = os.path.join(folder, n)
-                    z.write(p, os.path.join("tillroll", os.path.relpath(p, root)))
-    sc.addPyFile(target)
-    sc._tillroll_shipped = True
+SLICE_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_text(docs: DataFrame) -> DataFrame:
     """(doc_id long, text string), null text as empty; other columns are pruned at the scan."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 

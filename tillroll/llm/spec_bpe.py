@@ -274,7 +274,7 @@ class SpeculativeWords:
 class SpeculativeCoder(ChunkCoder):
     """Chunk cache over speculative words, with each chunk's ids and decoded text kept as strings."""
 
-    def __init__(self, source: str, cache_chunks: int = 350_000):
+    def __init__(self, source: str, cache_chunks: int = 300_000):
         super().__init__(source, SpeculativeWords(source), cache_chunks)
         self.token_text = pa.array([t + " " for t in self.tokens], pa.string())
         self.token_id = pa.array([f"{i} " for i in range(len(self.tokens))], pa.string())
@@ -291,6 +291,11 @@ class SpeculativeCoder(ChunkCoder):
             old = getattr(self, name)
             setattr(self, name, text if old is None else pa.concat_arrays([old, text]))
 
+    def trim(self, keep):
+        super().trim(keep)
+        for name in ("id_text", "decoded"):
+            setattr(self, name, getattr(self, name).take(pa.array(keep)))
+
     def strings(self, codes: np.ndarray, bounds: np.ndarray, name: str):
         """Bytes of each text's ids, or of its decoded text, as memory slices."""
         if getattr(self, name) is None:

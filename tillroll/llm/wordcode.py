@@ -3,8 +3,8 @@
 The tokenizer lower-cases, drops white space and never joins characters
 across it, so a text's ids are the ids of its whitespace-separated chunks in a
 row. Each batch is split and dictionary-encoded by Arrow; only chunks that the
-worker has not met are tokenised. The caches are emptied at a fixed number of
-entries, which bounds memory and changes no result.
+worker has not met are tokenised. At a fixed number of entries a cache drops
+its less used half, which bounds memory and changes no result.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Chunks of these characters are NFC already and lower-case character by character.
 PLAIN = r"^[!-~\x{a1}-\x{24f}]*$"
 PRETOKEN = regex.compile(SPLIT + r"|\n")
-#: Entries after which a worker's caches are emptied.
-CACHE_CHUNKS = 700_000
+#: Entries after which a worker's caches drop the less used half.
+CACHE_CHUNKS = 400_000
 
 
 def ragged_take(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray):
@@ -31,8 +31,9 @@ def ragged_take(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray):
     lens = offsets[codes + 1] - starts
     out = np.zeros(len(codes) + 1, dtype=np.int64)
     np.cumsum(lens, out=out[1:])
-    at = np.repeat(starts - out[:-1], lens)
-    at += np.arange(out[-1], dtype=np.int64)
+    kind = np.int32 if max(len(flat), int(out[-1])) < 1 << 31 else np.int64  # half the scratch memory
+    at = np.repeat((starts - out[:-1]).astype(kind), lens)
+    at += np.arange(out[-1], dtype=kind)
     return flat[at], out
 
 
@@ -89,6 +90,7 @@ class ChunkCoder:
         self.word_flat = np.zeros(0, np.int32)
         self.word_offsets = np.zeros(1, np.int64)
         self.known = None
+        self.uses = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
         self.offsets = np.zeros(1, np.int64)
 
@@ -141,7 +143,7 @@ class ChunkCoder:
     def codes(self, texts: pa.Array):
         """(codes of all chunks in a row, offsets of the texts among them); see ``flat`` and ``offsets``."""
         if self.known is not None and len(self.known) > self.cache_chunks:
-            self.reset()
+            self.trim(np.sort(np.argsort(-self.uses, kind="stable")[:self.cache_chunks // 2]))
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()) if texts.nbytes > 1 << 30 else texts)
         bounds = np.asarray(split.offsets).astype(np.int64)
         bounds -= bounds[0]
@@ -150,12 +152,12 @@ class ChunkCoder:
         words, at = encoded.dictionary, np.asarray(encoded.indices)
         # leading or trailing white space gives empty pieces, which have no ids
         if self.known is None:
-            place = np.arange(len(words), dtype=np.int64)
+            place = np.arange(len(words), dtype=np.int32)
             fresh = words
         else:
             found = pc.index_in(words, value_set=self.known)
             missing = np.asarray(found.is_null())
-            place = np.asarray(found.fill_null(0)).astype(np.int64)
+            place = np.asarray(found.fill_null(0)).astype(np.int32)
             place[missing] = len(self.known) + np.arange(int(missing.sum()))
             fresh = words.filter(pa.array(missing))
         if len(fresh):
@@ -164,7 +166,23 @@ class ChunkCoder:
             self.flat = np.concatenate([self.flat, flat])
             self.offsets = np.concatenate([self.offsets, offs[1:] + self.offsets[-1]])
             self.known = fresh if self.known is None else pa.concat_arrays([self.known, fresh])
-        return place[at] if len(at) else np.zeros(0, np.int64), bounds
+        if not len(at):
+            return np.zeros(0, np.int64), bounds
+        codes = place[at]
+        counts = np.bincount(codes, minlength=len(self.known))
+        counts[:len(self.uses)] += self.uses
+        self.uses = counts
+        return codes, bounds
+
+    def trim(self, keep: np.ndarray) -> None:
+        """Keep only the chunks ``keep`` (ascending), and the words met first, which are the common ones."""
+        self.known = self.known.take(pa.array(keep))
+        self.flat, self.offsets = ragged_take(self.flat, self.offsets, keep)
+        self.uses = self.uses[keep]
+        words = min(len(self.known_words), self.cache_chunks // 2)
+        self.known_words = self.known_words.take(pa.array(np.arange(words)))
+        self.word_offsets = self.word_offsets[:words + 1].copy()
+        self.word_flat = self.word_flat[:self.word_offsets[-1]].copy()
 
     def added(self, flat: np.ndarray, offsets: np.ndarray) -> None:
         """Called with the ids of chunks that join the cache."""
