@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import cut_lineage
+from tillroll.llm.common import cut_lineage, release
 
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,21 +51,27 @@ def components(edges: DataFrame) -> DataFrame:
     any number of links is no task of its own, and is written, so a lost
     executor repeats one round.
     """
-    now = cut_lineage(edges.where("u <> v").mapInArrow(_local_forest, "u long, v long").where("u <> v").distinct())
-    while True:
+    now = cut_lineage(edges.where("u <> v").mapInArrow(_local_forest, "u long, v long").where("u <> v"))
+    while not _is_forest_of_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(least, "u").where("v > u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(lower.select("u", F.col("m").alias("v"))).distinct())
         after = cut_lineage(small)
-        if _mark(now) == _mark(after):
-            return after
+        release(now)
         now = after
+    return now
 
 
-def _mark(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
-                     F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to its smaller end, and no such end has one itself.
+
+    Large-star and small-star rounds end in this form. One aggregation by node
+    tells it: no node may start two edges, or both start and end one.
+    """
+    roles = edges.select("u", F.lit(True).alias("start")).union(edges.select(F.col("v"), F.lit(False)))
+    bad = roles.groupBy("u").agg(F.count_if("start").alias("starts"), F.count_if(~F.col("start")).alias("ends"))
+    return bad.where("starts > 1 or (starts > 0 and ends > 0)").isEmpty()

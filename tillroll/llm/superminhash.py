@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,10 @@ BANDS, ROWS = 32, 4
 _ELEMENTS = 120_000
 #: Text that is hashed at once.
 _SLICE = 4 << 20
-#: Bucket members tried as centres grow by this factor from round to round.
-_GROW = 8
+#: Documents of a block when the documents of a cluster are compared; a task holds two blocks' shingle sets.
+BLOCK_DOCS = 256
+#: Shingles that two blocks are compared on at once.
+_COLUMNS = 8192
 _U = np.uint64
 
 
@@ -122,8 +125,9 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                     [part.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))],
                     names=["id", "shingles"])
 
-    wanted = id_text(docs).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(cut, "id long, shingles array<long>").dropDuplicates(["id"])
+    # one row per id, taken where the semi-join has put the rows of an id together anyway
+    wanted = id_text(docs).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return wanted.mapInArrow(cut, "id long, shingles array<long>")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
@@ -151,21 +155,97 @@ def _links(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return rows.select("u", "v", "a", "b").mapInArrow(confirm, "u long, v long")
 
 
+def _links_between(ids: np.ndarray, sets: list[np.ndarray], group: np.ndarray, side: np.ndarray,
+                   pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) between documents of different components, all compared on full sets.
+
+    Intersection sizes are products of 0/1 incidence matrices, taken over a
+    bounded number of shingles at a time; shingles of one document alone are
+    left out, as no intersection has them. ``side`` tells the two blocks apart
+    (all equal: one block with itself).
+    """
+    left = np.flatnonzero(side == side.min())
+    right = np.flatnonzero(side == side.max())
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    # the most frequent component needs no rows of its own when both blocks are the same
+    if len(left) == len(ids):
+        values, counts = np.unique(group, return_counts=True)
+        left = np.flatnonzero(group != values[counts.argmax()])
+    if not len(left) or not len(right):
+        return ids[:0], ids[:0]
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    names, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    column = np.cumsum(times > 1)[at] - 1
+    owner, column = owner[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for c in range(0, width, _COLUMNS):
+        lo, hi = np.searchsorted(column, (c, c + _COLUMNS))
+        hot = np.zeros((len(ids), min(_COLUMNS, width - c)), np.float32)
+        hot[owner[lo:hi], column[lo:hi] - c] = 1
+        both += hot[left] @ hot[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - both
+    link = (100 * both.astype(np.float64) >= pct * union) & (group[left][:, None] != group[right][None, :])
+    i, j = np.nonzero(link)
+    return ids[left[i]], ids[right[j]]
+
+
+def _cross_links(sets: DataFrame, open_rows: DataFrame, pct: int) -> DataFrame:
+    """Links between components among the documents that share a bucket with another component.
+
+    ``open_rows`` (bucket, id, n, group). A document can only be linked if
+    enough of its shingles occur in another open document, so those with too
+    many shingles of their own leave first. The rest are clustered by shared
+    buckets; the documents of a cluster are dealt to blocks, and every pair of
+    blocks is one task's work, which returns nothing but links.
+    """
+    held = cut_lineage(sets.join(open_rows.select("id"), "id", "left_semi"))
+    alone = (held.select("id", F.explode("shingles").alias("s")).groupBy("s")
+             .agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+             .groupBy("id").agg(F.count(F.lit(1)).alias("own")))
+    linkable = held.join(alone, "id", "left").where(
+        F.lit(100) * (F.size("shingles") - F.coalesce("own", F.lit(0))) >= F.lit(pct) * F.size("shingles")).select("id")
+    rows = open_rows.join(linkable, "id", "left_semi")
+    still = rows.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"),
+                                       F.min("id").alias("first")).where("lo <> hi").select("bucket", "first")
+    rows = cut_lineage(rows.join(still, "bucket").select("id", "group", "first"))
+    near = components(rows.select(F.col("id").alias("u"), F.col("first").alias("v")))
+    placed = (rows.select("id", "group").distinct()
+              .join(near.select(F.col("u").alias("id"), F.col("v").alias("cluster")), "id", "left")
+              .select("id", "group", F.coalesce("cluster", "id").alias("cluster")))
+    sizes = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_DOCS)).cast("int").alias("blocks"))
+    dealt = (placed.join(sizes, "cluster")
+             .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+                     "own", "id", "group"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.asarray(s, dtype=np.int64).view(np.uint64) for s in frame["shingles"]]
+        u, v = _links_between(frame["id"].to_numpy(), sets, frame["group"].to_numpy(), frame["own"].to_numpy(), pct)
+        return pd.DataFrame({"u": u, "v": v})
+
+    return (dealt.join(held, "id").groupBy("cluster", "lo", "hi").applyInPandas(compare, "u long, v long"))
+
+
 def near_duplicate_groups(docs: DataFrame, pct: int = SIMILARITY_PCT, bands: int = BANDS,
                           rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
     1. Each text gives its shingle set's digest and SuperMinHash band keys;
        documents of one set are one class, named by its smallest doc_id.
-    2. Classes that share a band key are candidates. A bucket emits no list of
-       all its pairs: first every member meets the bucket's centre (the member
-       with the smallest hash, much the same one in every band), and links are
-       confirmed on full sets and united by union-find. Only buckets that
-       still hold several components go on, with eight times as many centres
-       per round, and only pairs across components meet; the last round has
-       every member as a centre, so no candidate pair across components is
-       left unseen. Sizes that can't reach the similarity are not compared.
-    3. ``component_id`` is the smallest doc_id reachable.
+    2. Classes that share a band key are candidates, but a bucket never lists
+       all its pairs. First every member meets the bucket's centre, the member
+       with the most candidates of its own: an original meets its copies, and
+       links confirmed on full sets are united by union-find.
+    3. Buckets that still hold several components go on: what is left of them
+       is compared in blocks inside tasks (``_cross_links``), so every
+       candidate pair across components is seen and only links come out.
+    4. ``component_id`` is the smallest doc_id reachable.
 
     Hot keys: copies collapse by a partial aggregation; bucket joins and the
     final join on the digest are plain equi-joins that Spark splits on skew.
@@ -181,40 +261,27 @@ def near_duplicate_groups(docs: DataFrame, pct: int = SIMILARITY_PCT, bands: int
         table.where("digest is not null and doc_id is not null")
         .groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"),
                                F.first("bands").alias("bands")))
-    spread = classes.select("id", "n", F.explode("bands").alias("bucket"), F.xxhash64("id").alias("draw"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"),
-                                          F.min(F.struct("draw", "id", "n")).alias("centre")).where("members > 1")
-    members = cut_lineage(spread.join(shared, "bucket").select(
-        "bucket", "id", "n", "members", F.pmod("draw", "members").alias("slot"),
-        F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n")))
+    spread = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = cut_lineage(spread.join(shared, "bucket").select("bucket", "id", "n", "members"))
+    degree = members.groupBy("id").agg(F.sum("members").alias("degree"))
+    ranked = members.join(degree, "id")
+    centres = ranked.groupBy("bucket").agg(
+        F.max(F.struct("degree", (-F.col("id")).alias("tie"), "id", "n")).alias("c")).select(
+        "bucket", F.col("c.id").alias("u"), F.col("c.n").alias("m"))
     fits = F.lit(100) * F.least("n", "m") >= F.lit(pct) * F.greatest("n", "m")
-
-    pairs = cut_lineage(members.where("id <> centre").withColumn("m", F.col("centre_n")).where(fits)
-                        .select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct())
-    sets = cut_lineage(_sets_of(docs, members.select("id").distinct()))
-    groups = components(_links(pairs, sets, pct))
-
-    tried, reach = 0, 1
-    while True:
-        # members of buckets that still hold more than one component
-        placed = (members.join(groups.withColumnRenamed("u", "id").withColumnRenamed("v", "group"), "id", "left")
-                  .select("bucket", "id", "n", "members", "slot", F.coalesce("group", "id").alias("group")))
-        mixed = (placed.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
-                 .where("lo <> hi").select("bucket"))
-        open_rows = cut_lineage(placed.join(mixed, "bucket", "left_semi"))
-        largest = open_rows.agg(F.max("members")).first()[0]
-        if largest is None or tried >= largest:
-            break
-        reach = min(reach * _GROW, largest)
-        centres = open_rows.where((F.col("slot") >= tried) & (F.col("slot") < reach)).select(
-            "bucket", F.col("id").alias("u"), F.col("n").alias("m"), F.col("group").alias("g"))
-        others = open_rows.where(F.col("slot") >= tried)
-        pairs = cut_lineage(
-            others.join(centres, "bucket").where((F.col("group") != F.col("g")) & fits)
-            .select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct())
-        links = cut_lineage(_links(pairs, sets, pct))
-        groups = components(groups.union(links))
-        tried = reach
+    pairs = cut_lineage(members.join(centres, "bucket").where(fits & (F.col("id") != F.col("u")))
+                        .select("u", F.col("id").alias("v")).distinct())
+    sets = cut_lineage(_sets_of(docs, members.select("id")))
+    stars = components(_links(pairs, sets, pct))
+
+    placed = (members.join(stars.withColumnRenamed("u", "id").withColumnRenamed("v", "group"), "id", "left")
+              .select("bucket", "id", F.coalesce("group", "id").alias("group")))
+    mixed = (placed.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+             .where("lo <> hi").select("bucket"))
+    open_rows = cut_lineage(placed.join(mixed, "bucket", "left_semi"))
+    found = cut_lineage(_cross_links(sets, open_rows, pct))
+    groups = stars if found.isEmpty() else components(stars.union(found))
 
     named = classes.select("digest", "id").join(
         groups.select(F.col("u").alias("id"), F.col("v").alias("group")), "id", "left").select(
