@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ __all__ = ["cut_lineage", "documents", "release", "ship_package", "text_slices",
 #: Name of the tokenizer file among the installed public tokenizers.
 VOCAB_FILE = "word_bpe_49k.json"
 #: Arrow batches are worked through in slices of at most this many bytes of text.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +41,13 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system; it goes on to other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES):
     """Cut a record batch into row slices of at most ``limit`` bytes of text (one row at least)."""
     col = batch.column(batch.schema.get_field_index("text"))
@@ -58,3 +68,4 @@ def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES):
                 step = take // 2
         yield batch.slice(start, end - start)
         start = end
+    give_back()

@@ -274,7 +274,7 @@ class SpeculativeWords:
 class SpeculativeCoder(ChunkCoder):
     """Chunk cache over speculative words, with each chunk's ids and decoded text kept as strings."""
 
-    def __init__(self, source: str, cache_chunks: int = 300_000):
+    def __init__(self, source: str, cache_chunks: int = 200_000):
         super().__init__(source, SpeculativeWords(source), cache_chunks)
         self.token_text = pa.array([t + " " for t in self.tokens], pa.string())
         self.token_id = pa.array([f"{i} " for i in range(len(self.tokens))], pa.string())

@@ -22,7 +22,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = r"^[!-~\x{a1}-\x{24f}]*$"
 PRETOKEN = regex.compile(SPLIT + r"|\n")
 #: Entries after which a worker's caches drop the less used half.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 
 
 def ragged_take(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray):
