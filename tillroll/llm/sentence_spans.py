@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from tillroll.llm.common import cut_lineage, id_text, text_slices
 from tillroll.llm.shingles import hashed_words, mix, text_bytes
 
-#: Sentences in a span, and words that a span must have (spans of a few short words recur by chance).
+#: Sentences in a span, and words that a span grows to (spans of a few short words recur by chance).
 SPAN, SPAN_WORDS = 3, 12
 #: A sentence of more words than this is cut behind words whose hash ends in two zero bits, wherever it stands.
 LONG_SENTENCE = 12
@@ -56,33 +56,54 @@ def sentences(texts: pa.Array):
 
 
 def span_hashes(texts: pa.Array, span: int = SPAN, span_words: int = SPAN_WORDS):
-    """(document, first sentence, hash) of every run of ``span`` sentences with enough words."""
+    """(document, first sentence, sentences, hash) of every run.
+
+    A run starts at every sentence and grows from ``span`` sentences until it
+    holds ``span_words`` words; another ends at every sentence and grows
+    backwards alike (once, where both are the same run). So whatever surrounds
+    a passage of that size, runs inside it cover all of its sentences.
+    """
     _, words, hashes, bounds = sentences(texts)
-    n = len(hashes) - span + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    total, key = np.zeros(n, np.int64), np.zeros(n, np.uint64)
-    for i in range(span):
-        total += words[i:n + i]
-        key = mix(key * _U(_ODD) + hashes[i:n + i])
+    n = len(hashes)
+    if n < span:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(words)])
     at = np.arange(n)
     doc = np.searchsorted(bounds, at, side="right") - 1
-    good = (total >= span_words) & (at + span <= bounds[doc + 1])
-    return doc[good], (at - bounds[doc])[good], key[good].view(np.int64)
+    ahead = np.maximum(at + span, np.searchsorted(total, total[:-1] + span_words))
+    back = np.minimum(at + 1 - span, np.searchsorted(total, total[1:] - span_words, side="right") - 1)
+    ahead[ahead > bounds[doc + 1]] = -1  # the text ends before
+    back[back < bounds[doc]] = -1
+    some, other = np.flatnonzero(ahead >= 0), np.flatnonzero(back >= 0)
+    other = other[ahead[back[other]] != other + 1]
+    first = np.concatenate([some, back[other]])
+    size = np.concatenate([ahead[some], other + 1]) - first
+    key = np.zeros(len(first), np.uint64)
+    live = np.arange(len(first))
+    for i in range(int(size.max(initial=0))):
+        live = live[size[live] > i]
+        key[live] = mix(key[live] * _U(_ODD) + hashes[first[live] + i])
+    return doc[first], first - bounds[doc[first]], size, key.view(np.int64)
 
 
 def span_table(docs: DataFrame, span: int, span_words: int) -> DataFrame:
-    """(h, doc_id, pos) of every span; texts shorter than a span have none."""
+    """(h, doc_id, pos) of every run; texts shorter than a run have none. ``pos`` holds place and length."""
+    base = _length_base(span, span_words)
 
     def spans(batches):
         for batch in batches:
             for part in text_slices(batch, _SLICE):
-                doc, pos, key = span_hashes(part.column(1), span, span_words)
+                doc, pos, size, key = span_hashes(part.column(1), span, span_words)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), part.column(0).take(pa.array(doc)), pa.array(pos.astype(np.int32))],
+                    [pa.array(key), part.column(0).take(pa.array(doc)), pa.array(pos * base + size)],
                     names=["h", "doc_id", "pos"])
 
-    return id_text(docs).where("doc_id is not null").mapInArrow(spans, "h long, doc_id long, pos int")
+    return id_text(docs).where("doc_id is not null").mapInArrow(spans, "h long, doc_id long, pos long")
+
+
+def _length_base(span: int, span_words: int) -> int:
+    """More than the sentences of any run: each has a word at least."""
+    return max(span, span_words) + 1
 
 
 _CUT = StructType([StructField("doc_id", LongType()), StructField("text", StringType()),
@@ -93,9 +114,10 @@ _CUT = StructType([StructField("doc_id", LongType()), StructField("text", String
 def drop_repeated_spans(docs: DataFrame, span: int = SPAN, span_words: int = SPAN_WORDS) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, removed) of every document, repeated sentences cut out.
 
-    Every run of ``span`` consecutive sentences is hashed (64 bits); the first
-    occurrence of a hash in the corpus, by (doc_id, sentence), stays, and the
-    sentences of all others go. ``removed`` lists the cut ranges as
+    Every run of ``span`` consecutive sentences, or of as many more as hold
+    ``span_words`` words, is hashed (64 bits); the first occurrence of a hash
+    in the corpus, by (doc_id, sentence), stays, and the sentences of all
+    others go. ``removed`` lists the cut ranges as
     ``start:end`` in code points of the original text.
 
     Hashes are counted by a partial aggregation, and the occurrences meet the
@@ -117,12 +139,12 @@ def drop_repeated_spans(docs: DataFrame, span: int = SPAN, span_words: int = SPA
     def cut(batches):
         for batch in batches:
             for part in text_slices(batch, _SLICE):
-                yield _cut_batch(part, span)
+                yield _cut_batch(part, _length_base(span, span_words))
 
     return id_text(docs).join(again, "doc_id", "left").mapInArrow(cut, _CUT)
 
 
-def _cut_batch(part: pa.RecordBatch, span: int) -> pa.RecordBatch:
+def _cut_batch(part: pa.RecordBatch, base: int) -> pa.RecordBatch:
     texts = part.column(1)
     buf, offsets = text_bytes(texts)
     starts, _, _, bounds = sentences(texts)
@@ -131,8 +153,9 @@ def _cut_batch(part: pa.RecordBatch, span: int) -> pa.RecordBatch:
     for i in np.flatnonzero(np.asarray(cuts.is_valid())).tolist():
         a, b = int(bounds[i]), int(bounds[i + 1])
         drop = np.zeros(b - a + 1, dtype=bool)
-        for p in cuts[i].as_py():
-            drop[p:p + span] = True
+        for code in cuts[i].as_py():
+            p, size = divmod(code, base)
+            drop[p:p + size] = True
         drop[b - a:] = False
         edges = np.append(starts[a:b], offsets[i + 1])
         own = buf[offsets[i]:offsets[i + 1]]
