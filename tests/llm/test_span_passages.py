@@ -33,3 +33,44 @@ def test_runs_at_both_edges_of_a_passage(spark):
         rows = [(i, f"{_fresh(rng, 18)}\n{passage}{_fresh(rng, 27)}") for i in range(3)]
         got = _cut(spark, rows)
         assert got == {i: t if i == 0 else t.replace(passage, "") for i, t in rows}
+
+
+def _vocabulary(rng, types):
+    """A drawer of words: ``types`` of Zipf's frequencies, or ever new ones."""
+    if not types:
+        return lambda n: [f"v{int(x)}" for x in rng.integers(0, 10 ** 12, n)]
+    own, share = rng.integers(0, 10 ** 12, types), 1 / np.arange(1, types + 1)
+    return lambda n: [f"z{int(own[i])}" for i in rng.choice(types, n, p=share / share.sum())]
+
+
+def test_passages_of_long_sentences_are_cut_whole(spark):
+    rows, passages = [], {}
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        for sentences, size, types in ((5, 20, 0), (20, 18, 0), (5, 20, 40)):
+            draw = _vocabulary(rng, types)
+            passage = "".join(" ".join(draw(size)) + ". " for _ in range(sentences))
+            for i in range(3):
+                passages[len(rows)] = passage
+                rows.append((len(rows), f"{_fresh(rng, 27)} {passage}{_fresh(rng, 27)}"))
+    got = _cut(spark, rows)
+    assert got == {i: t if i % 3 == 0 else t.replace(passages[i], "") for i, t in rows}
+
+
+def test_unpunctuated_passages_lose_only_their_edges(spark):
+    rows, words = [], {}
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        for types in (0, 40, 200):
+            passage = _vocabulary(rng, types)(60)
+            for i in range(3):
+                words[len(rows)] = passage
+                around = [_fresh(rng, 30, 31), _fresh(rng, 27, 31)]  # no stop between them and the passage
+                rows.append((len(rows), f"{around[0]} {' '.join(passage)} {around[1]}"))
+    got = _cut(spark, rows)
+    for i, t in rows:
+        left = [w for w in got[i].split() if w in set(words[i])]
+        assert len(left) == 60 if i % 3 == 0 else len(left) <= 20  # of 10 words at either edge
+        if i % 3:
+            own = [w for w in t.split() if w not in set(words[i])]
+            assert [w for w in got[i].split() if w not in set(words[i])] == own

@@ -13,8 +13,8 @@ from tillroll.llm.shingles import hashed_words, mix, text_bytes
 
 #: Sentences in a span, and words that a span grows to (spans of a few short words recur by chance).
 SPAN, SPAN_WORDS = 3, 12
-#: A sentence of more words than this is cut behind words whose hash ends in two zero bits, wherever it stands.
-LONG_SENTENCE = 12
+#: A sentence of more words than this is cut behind the word of least hash in every window of so many words.
+LONG_SENTENCE, CUT_WINDOW = 12, 6
 _SLICE = 4 << 20
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -26,7 +26,9 @@ def sentences(texts: pa.Array):
     A sentence ends behind a word whose last mark is ``.``, ``!`` or ``?``,
     and at a line break. Text without such ends would be one sentence, so long
     ones are cut by their words' hashes: the same passage is cut alike in any
-    surroundings. Case and white space don't count for the hash.
+    surroundings, but for less than two windows at its edges, and no piece of
+    one is longer than a window, whatever its words are. Case and white space don't
+    count for the hash.
     """
     buf, offsets = text_bytes(texts)
     words, starts, ends = hashed_words(buf, offsets)
@@ -43,8 +45,7 @@ def sentences(texts: pa.Array):
     last = np.flatnonzero(stop)
     first = np.concatenate([[0], last[:-1] + 1])
     size = last - first + 1
-    long_word = np.repeat(size > LONG_SENTENCE, size)
-    stop |= long_word & (words & _U(3) == 0)
+    stop |= _window_cuts(words, np.repeat(first, size), np.repeat(last, size)) & np.repeat(size > LONG_SENTENCE, size)
     last = np.flatnonzero(stop)
     first = np.concatenate([[0], last[:-1] + 1])
     n = len(words)
@@ -55,6 +56,21 @@ def sentences(texts: pa.Array):
     return starts[first], last - first + 1, hashes, np.searchsorted(first, bounds)
 
 
+def _window_cuts(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Words whose hash is the least, and of equal ones the last, in a window of their sentence (``first`` to ``last``)."""
+    at = np.arange(len(words))
+    before, behind = np.zeros(len(words), np.int8), np.zeros(len(words), np.int8)
+    for reach, step in ((before, -1), (behind, 1)):
+        open_ = np.ones(len(words), dtype=bool)
+        for i in range(1, CUT_WINDOW):
+            other = at + step * i
+            open_ &= (other >= first) & (other <= last)
+            value = words[np.clip(other, 0, len(words) - 1)]
+            open_ &= value >= words if step < 0 else value > words
+            reach += open_
+    return before + behind + 1 >= CUT_WINDOW
+
+
 def span_hashes(texts: pa.Array, span: int = SPAN, span_words: int = SPAN_WORDS):
     """(document, first sentence, sentences, hash) of every run.
 
