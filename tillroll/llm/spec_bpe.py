@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -275,9 +276,46 @@ class SpeculativeCoder(ChunkCoder):
     """Chunk cache over speculative words, with each chunk's ids and decoded text kept as strings."""
 
     def __init__(self, source: str, cache_chunks: int = 200_000):
+        from tokenizers import Tokenizer
+
         super().__init__(source, SpeculativeWords(source), cache_chunks)
         self.token_text = pa.array([t + " " for t in self.tokens], pa.string())
         self.token_id = pa.array([f"{i} " for i in range(len(self.tokens))], pa.string())
+        spec = json.loads(source)
+        added, steps = spec["added_tokens"], spec["pre_tokenizer"].get("pretokenizers", [])
+        flags = ("normalized", "single_word", "lstrip", "rstrip")
+        self.splits = (bool(steps) and steps[-1]["type"] == "ByteLevel" and not steps[-1]["use_regex"]
+                       and not steps[-1]["add_prefix_space"] and not any(t[f] for t in added for f in flags))
+        if self.splits:
+            spec["truncation"] = spec["padding"] = None
+            spec["pre_tokenizer"]["pretokenizers"] = steps[:-1]  # words as text, not as byte letters
+            library = Tokenizer.from_str(json.dumps(spec))
+            self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
+            self.special_id = {t["content"]: t["id"] for t in added}
+            longest = sorted(self.special_id, key=len, reverse=True)
+            self.at_special = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+
+    def _encode_odd(self, chunks: list[str]):
+        """The library normalises and splits chunks of any script into words; their ids come from ``words``."""
+        if not self.splits:  # a file of another kind
+            return super()._encode_odd(chunks)
+        words, special, pieces = [], [], [0]
+        for chunk in chunks:
+            for piece in self.at_special.split(chunk) if self.at_special else [chunk]:
+                special.append(self.special_id.get(piece, -1))
+                if piece and special[-1] < 0:
+                    words += [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece))]
+                words.append("\n")  # the border between pieces
+            pieces.append(len(special))
+        flat, offsets = self._encode_words(words, len(special))
+        special = np.array(special)
+        lens = np.where(special >= 0, 1, np.diff(offsets))
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        out = np.zeros(ends[-1], np.int32)
+        marked = np.zeros(len(out), dtype=bool)
+        marked[ends[:-1][special >= 0]] = True
+        out[marked], out[~marked] = special[special >= 0], flat
+        return out, ends[pieces]
 
     def reset(self) -> None:
         super().reset()

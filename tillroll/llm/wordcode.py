@@ -61,7 +61,8 @@ class ChunkCoder:
 
     ``words`` maps a list of pre-tokens to ragged ids; the default asks the
     tokenizers library. Chunks with characters outside plain Latin text, or
-    with a special token's string, go to the library whole.
+    with a special token's string, are left to ``_encode_odd``: here they go
+    to the library whole.
     """
 
     def __init__(self, source: str, words=None, cache_chunks: int = CACHE_CHUNKS):
@@ -105,23 +106,32 @@ class ChunkCoder:
         flat, offsets = self._encode_plain(plain)
         if not odd.any():
             return flat, offsets
-        whole = self.tokenizer.encode_batch_fast(chunks.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)
-        parts = [np.array(e.ids, dtype=np.int32) for e in whole]
+        odd_flat, odd_offsets = self._encode_odd(chunks.filter(pa.array(odd)).to_pylist())
         lens = np.zeros(len(chunks), dtype=np.int64)
         lens[~odd] = np.diff(offsets)
-        lens[odd] = [len(x) for x in parts]
+        lens[odd] = np.diff(odd_offsets)
         ends = np.concatenate([[0], np.cumsum(lens)])
         out = np.zeros(ends[-1], dtype=np.int32)
         from_plain = np.repeat(~odd, lens)
         out[from_plain] = flat
-        out[~from_plain] = np.concatenate(parts)
+        out[~from_plain] = odd_flat
         return out, ends
 
+    def _encode_odd(self, chunks: list[str]):
+        """The same for chunks that are not plain."""
+        whole = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        parts = [np.array(e.ids, dtype=np.int32) for e in whole]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
     def _encode_plain(self, chunks: list[str]):
-        """The same for chunks of Latin text: all are split at once, each new word is encoded once."""
+        """The same for chunks of Latin text: all are split at once."""
         if not chunks:
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        words = pa.array(PRETOKEN.findall("\n".join([*chunks, ""]).lower())).dictionary_encode()
+        return self._encode_words(PRETOKEN.findall("\n".join([*chunks, ""]).lower()), len(chunks))
+
+    def _encode_words(self, words: list[str], chunks: int):
+        """Ragged ids of ``chunks`` chunks, given as words with a line break behind each; new words are encoded once."""
+        words = pa.array(words).dictionary_encode()
         at = np.asarray(words.indices)
         found = pc.index_in(words.dictionary, value_set=self.known_words)
         missing = np.asarray(found.is_null())
@@ -137,7 +147,7 @@ class ChunkCoder:
             self.word_offsets = np.concatenate([self.word_offsets, offs[1:] + self.word_offsets[-1]])
         border = at == mark
         flat, offs = ragged_take(self.word_flat, self.word_offsets, place[at[~border]])
-        edge = np.flatnonzero(border) - np.arange(len(chunks))  # words up to each chunk's end
+        edge = np.flatnonzero(border) - np.arange(chunks)  # words up to each chunk's end
         return flat, offs[np.concatenate([[0], edge])]
 
     def codes(self, texts: pa.Array):
