@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import (exact_refine, ffd_pack, mih, pii_crf, role_repair, sentence_spans, spec_bpe, superminhash,
-                          token_files, toxic_segments)
+from tillroll.llm import (certified_pack, exact_refine, ffd_pack, mih, pii_crf, role_repair, sentence_spans, spec_bpe,
+                          superminhash, sync_runs, token_files, toxic_segments)
 from tillroll.llm.common import documents
 from tillroll.session import ensure_checkpoint_dir
 
@@ -64,6 +64,14 @@ def op10_ffd_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ffd_pack.pack_documents(documents(spark, sf_dir))
 
 
+def op11_certified_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return certified_pack.pack_certified(documents(spark, sf_dir)).drop("doc_tokens", "round")
+
+
+def op12_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync_runs.run_digests(sync_runs.periodic_runs(sync_runs.plant_periods(documents(spark, sf_dir))))
+
+
 LLM_QUERIES = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_role_repair": op2_role_repair,
@@ -75,6 +83,8 @@ LLM_QUERIES = {
     "op8_multi_index": op8_multi_index,
     "op9_token_files": op9_token_files,
     "op10_ffd_pack": op10_ffd_pack,
+    "op11_certified_pack": op11_certified_pack,
+    "op12_sync_runs": op12_sync_runs,
 }
 
 LLM_ORACLE = {
