@@ -112,14 +112,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tillroll-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    if not _written:
-        atexit.register(_drop_quietly, spark)
-    _written.append(path)
+    track_folder(spark, path)
     out = spark.read.parquet(path)
     out._tillroll_path = path
     return out
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of ``df`` in the shared folder that keeps its partitions and their order.
+
+    ``cut_lineage`` is the cheaper form; this one is for tables that later
+    steps read partition by partition, since files read back are dealt anew.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        track_folder(spark, file.get())
+    return out
+
+
+def track_folder(spark: SparkSession, path: str) -> None:
+    """Have ``drop_intermediates`` (and process exit) delete a folder that an operator wrote."""
+    if not _written:
+        atexit.register(_drop_quietly, spark)
+    _written.append(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
