@@ -151,7 +151,9 @@ def pack_certified(docs: DataFrame, capacity: int = 4096, group_pieces: int = GR
                          F.count_if((F.col("offset") == 0) & F.col("released")).alias("open")).first()
         if done + seen["all"] <= bound or not seen["open"] or fruitless == FRUITLESS:
             break
-        again = _exchange(table.where("released").select(*pieces.columns), rnd, capacity, group_pieces, spare)
+        # groups twice the size after each fruitless exchange: more sizes to choose from
+        again = _exchange(table.where("released").select(*pieces.columns), rnd, capacity,
+                          group_pieces << fruitless, spare)
         if again.where("offset = 0").count() >= seen["open"]:
             release(again)
             fruitless += 1

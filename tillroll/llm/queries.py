@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import (certified_pack, exact_refine, ffd_pack, mih, pii_crf, role_repair, sentence_spans, spec_bpe,
-                          superminhash, sync_runs, token_files, toxic_segments)
+from tillroll.llm import (auction_repair, certified_pack, exact_refine, ffd_pack, mih, pii_crf, role_repair, sentence_spans,
+                          spec_bpe, superminhash, sync_runs, token_files, toxic_segments)
 from tillroll.llm.common import documents
 from tillroll.session import ensure_checkpoint_dir
 
@@ -72,6 +72,11 @@ def op12_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync_runs.run_digests(sync_runs.periodic_runs(sync_runs.plant_periods(documents(spark, sf_dir))))
 
 
+def op13_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return auction_repair.conversation_report(auction_repair.repair_structure(auction_repair.damage(chats)), chats)
+
+
 LLM_QUERIES = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_role_repair": op2_role_repair,
@@ -85,6 +90,7 @@ LLM_QUERIES = {
     "op10_ffd_pack": op10_ffd_pack,
     "op11_certified_pack": op11_certified_pack,
     "op12_sync_runs": op12_sync_runs,
+    "op13_auction_repair": op13_auction_repair,
 }
 
 LLM_ORACLE = {
