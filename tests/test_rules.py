@@ -60,3 +60,76 @@ def test_graph_degree(spark, items):
     nodes = {r.id: r.degree for r in rules.rule_graph_nodes(e).collect()}
     # a->b, b->a, a->c, c->a, a->"b, c", "b, c"->a
     assert nodes["a"] == 6 and nodes["b, c"] == 2
+
+
+def _all_splits(table, metric, t):
+    """Every split by bit masks, and its metric, from {items: support}."""
+    out = {}
+    for items, s in table.items():
+        for mask in range(1, (1 << len(items)) - 1):
+            a = tuple(x for i, x in enumerate(items) if mask >> i & 1)
+            c = tuple(x for i, x in enumerate(items) if not mask >> i & 1)
+            sa, sc = table[a], table[c]
+            conf, lev = s / sa, s - sa * sc
+            den = max(s * (1 - sa), sa * (sc - s))
+            m = {"antecedent_support": sa, "consequent_support": sc, "support": s, "confidence": conf,
+                 "lift": conf / sc, "leverage": lev, "zhangs_metric": lev / den if den else 0.0,
+                 "conviction": math.inf if conf >= 1 else (1 - sc) / (1 - conf)}
+            if m[metric] >= t:
+                out[a, c] = m[metric]
+    return out
+
+
+def _closed_table(seed):
+    """Supports of all itemsets of a random basket table."""
+    import itertools
+    import random
+    rng = random.Random(seed)
+    baskets = [frozenset(x for x in "abcde" if rng.random() < rng.choice([0.3, 0.9])) for _ in range(40)]
+    table = {}
+    for k in range(1, 6):
+        for items in itertools.combinations("abcde", k):
+            n = sum(set(items) <= b for b in baskets)
+            if n >= 2:
+                table[items] = n / 40
+    return table
+
+
+@pytest.mark.parametrize(("metric", "thresholds"), [
+    ("confidence", (0.0, 0.8)), ("lift", (0.0, 1.1)), ("leverage", (-1.0, 0.05)),
+    ("conviction", (-1.0, 1.5)), ("zhangs_metric", (-0.5, 0.2)), ("support", (0.2,)),
+    ("antecedent_support", (0.6,)), ("consequent_support", (0.6,))])
+def test_growth_loses_no_rule_of_any_metric(spark, metric, thresholds):
+    table = _closed_table(3)
+    its = spark.createDataFrame([(list(i), s) for i, s in table.items()], "items array<string>, support double")
+    for t in thresholds:
+        got = {(tuple(r.antecedents), tuple(r.consequents)): r[metric]
+               for r in rules.association_rules(its, metric, t, round_metrics=False).collect()}
+        want = _all_splits(table, metric, t)
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+@pytest.mark.parametrize("k", [25, 70])
+def test_long_itemsets_cost_what_can_reach_the_threshold(spark, k):
+    """Of k items three imply the others' support: 7 rules at confidence 0.9, not 2^k splits."""
+    import itertools
+    items = [f"i{j:03d}" for j in range(k)]
+    free = [items[2], items[7], items[k - 1]]
+    rows = [(items, 0.5)]
+    for i in items:
+        rest = [x for x in items if x != i]
+        rows += [([i], 0.8), (rest, 0.52 if i in free else 0.9)]
+    for n in (2, 3):
+        for c in itertools.combinations(free, n):
+            rows += [(sorted(c), 0.7), ([x for x in items if x not in c], 0.52 + 0.01 * n)]
+    its = spark.createDataFrame(rows, "items array<string>, support double")
+    got = rules.association_rules(its, "confidence", 0.9).where("size(antecedents) + size(consequents) = %d" % k)
+    found = {tuple(r.consequents) for r in got.collect()}
+    assert found == {c for n in (1, 2, 3) for c in itertools.combinations(sorted(free), n)}
+
+
+def test_no_itemset_with_two_items_gives_no_rule(spark):
+    its = spark.createDataFrame([(["a"], 1.0)], "items array<string>, support double")
+    assert rules.association_rules(its).count() == 0
+    assert rules.association_rules(its.where("support < 0")).count() == 0

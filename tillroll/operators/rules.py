@@ -1,20 +1,30 @@
-"""Association rules from frequent itemsets: every antecedent/consequent split.
+"""Association rules from frequent itemsets: every antecedent/consequent split that can reach the threshold.
 
 MLlib's ``associationRules`` only yields one-item consequents; here every
-non-empty proper subset of an itemset is an antecedent (2^k - 2 rules per
-k-itemset), with the metric set of the usual rule-mining libraries.
+non-empty proper subset of an itemset may be a consequent, with the metric set
+of the usual rule-mining libraries. Consequents grow level by level: of one
+itemset, a larger consequent has a smaller antecedent and so a lower
+confidence, and a split that fails rules out all larger ones.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.session import cut_lineage
+
 METRICS = ["antecedent_support", "consequent_support", "support", "confidence", "lift",
            "leverage", "conviction", "zhangs_metric"]
 ROUNDED = ["support", "confidence", "lift", "leverage", "conviction"]
 
 
+#: Relative slack of the bounds below, so that rounding never rules out a rule that the metric itself keeps.
+SLACK = 1e-9
+
+
 def _lookup(itemsets: DataFrame, name: str) -> DataFrame:
     return itemsets.select(F.col("items").alias(name), F.col("support").alias(f"{name}_s"))
 
@@ -32,6 +42,63 @@ def rule_metrics(s: Column, sa: Column, sc: Column) -> dict[str, Column]:
     }
 
 
+def _may_reach(metric: str, t: float, s: Column, sa: Column, sc: Column) -> Column:
+    """Whether a split, or one with a larger consequent, may reach ``metric >= t``.
+
+    Splits of the itemset with larger consequents have a lower confidence and a
+    consequent support of at least ``s``, from which a least confidence
+    follows for each metric. Antecedent support grows with the consequent:
+    there the antecedent is grown instead, and must itself reach ``t``.
+    """
+    conf = s / sa
+    if metric == "confidence":
+        return conf >= t * (1 - SLACK)
+    if metric == "lift":            # conf / sc <= conf / s
+        return conf >= t * s * (1 - SLACK)
+    if metric == "leverage":        # s - sa * sc <= s - sa * s
+        return s - sa * s >= t - SLACK
+    if metric == "conviction":      # (1 - sc) / (1 - conf) <= (1 - s) / (1 - conf)
+        return F.lit(True) if t <= 0 else (1 - conf) * t <= (1 - s) * (1 + SLACK) + SLACK
+    if metric == "zhangs_metric":   # positive only if conf > sc >= s
+        return F.lit(True) if t <= 0 else conf >= s * (1 - SLACK)
+    if metric == "support":         # the same for all splits
+        return s >= t
+    if metric == "consequent_support":
+        return sc >= t
+    return sa >= t                  # antecedent_support, of the grown antecedent
+
+
+def _splits(itemsets: DataFrame, metric: str, t: float) -> DataFrame:
+    """(support, antecedents, antecedents_s, consequents, consequents_s) of all splits that may reach the threshold.
+
+    A level holds the subsets of one size that are grown, each with its
+    itemset's id; two that share all but their last item make a candidate of
+    the next. A level is written once: it is read as rules, and twice to grow.
+    """
+    grown, rest = (("antecedents", "consequents") if metric == "antecedent_support"
+                   else ("consequents", "antecedents"))
+    table = cut_lineage(itemsets.select("items", "support", F.monotonically_increasing_id().alias("id")))
+    size = table.agg(F.max(F.size("items"))).first()[0] or 0
+    level = table.where(F.size("items") >= 2).select(
+        "id", "items", "support", F.explode("items").alias("last")).select(
+        "id", "items", "support", F.array("last").alias(grown))
+    found: list[DataFrame] = []
+    while True:
+        splits = (level.withColumn(rest, F.array_except("items", grown)).where(F.size(rest) >= 1)
+                  .join(_lookup(table, rest), rest).join(_lookup(table, grown), grown))
+        keep = _may_reach(metric, t, F.col("support"), F.col("antecedents_s"), F.col("consequents_s"))
+        kept = cut_lineage(splits.where(keep))
+        found.append(kept)
+        if len(found) + 1 >= size or kept.isEmpty():
+            break
+        most = F.lit(len(found) - 1)
+        left = kept.select("id", "items", "support", grown, F.slice(grown, F.lit(1), most).alias("head"))
+        right = kept.select("id", F.slice(grown, F.lit(1), most).alias("head"), F.element_at(grown, -1).alias("last"))
+        level = (left.join(right, ["id", "head"]).where(F.element_at(grown, -1) < F.col("last"))
+                 .select("id", "items", "support", F.concat(grown, F.array("last")).alias(grown)))
+    return reduce(DataFrame.unionByName, found)
+
+
 def association_rules(itemsets: DataFrame, metric: str = "confidence",
                       min_threshold: float = 0.2, round_metrics: bool = True) -> DataFrame:
     """Rules ``antecedents -> consequents`` with support, confidence, lift,
@@ -39,19 +106,15 @@ def association_rules(itemsets: DataFrame, metric: str = "confidence",
     min_threshold`` (unrounded), then rounded to 4 dp on the five displayed
     metrics, plus the joined-text columns ``antecedents_str``,
     ``consequents_str`` and ``rule``.
+
+    ``itemsets`` must hold every subset of its itemsets, as the miners'
+    results do; a split with a side that is missing gives no rule, nor do the
+    splits grown from it. Itemsets may have any number of items: the work
+    follows the splits that can reach the threshold, not all 2^k - 2.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; choose one of {METRICS}")
-    multi = itemsets.filter(F.size("items") >= 2)
-    splits = multi.select(
-        "items", F.col("support"),
-        F.explode(F.expr("sequence(1L, shiftleft(1L, size(items)) - 2)")).alias("mask"))
-    splits = splits.select(
-        "support",
-        F.expr("filter(items, (x, i) -> getbit(mask, i) = 1)").alias("antecedents"),
-        F.expr("filter(items, (x, i) -> getbit(mask, i) = 0)").alias("consequents"))
-    j = (splits.join(_lookup(itemsets, "antecedents"), "antecedents")
-               .join(_lookup(itemsets, "consequents"), "consequents"))
+    j = _splits(itemsets, metric, min_threshold)
     sa, sc, s = F.col("antecedents_s"), F.col("consequents_s"), F.col("support")
     m = rule_metrics(s, sa, sc)
     rules = j.select("antecedents", "consequents", sa.alias("antecedent_support"),
