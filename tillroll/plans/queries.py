@@ -402,6 +402,16 @@ def q_agglomerative_labels(spark, sf_dir):
     return ag.agglomerative(_scaled(spark, sf_dir), AGG_K, AGG_LINKAGE)
 
 
+@query
+def q_agglomerative_complete(spark, sf_dir):
+    return ag.agglomerative(_scaled(spark, sf_dir), AGG_K, "complete")
+
+
+@query
+def q_agglomerative_average(spark, sf_dir):
+    return ag.agglomerative(_scaled(spark, sf_dir), AGG_K, "average")
+
+
 # ---- metrics of clusterings that have noise or come from a model ------------
 def _dbscan_points(spark, sf_dir):
     scaled = cut_lineage(_scaled(spark, sf_dir))
