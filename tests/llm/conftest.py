@@ -16,7 +16,7 @@ def odd_docs(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("odd") / "documents.parquet")
     rows = [(i, t, "en", "src0", len(t or "")) for i, t in ODD_ROWS]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for extra in ("id", "n", "kept", "score", "u", "v", "part"):
+    for extra in ("id", "n", "kept", "score", "u", "v", "part", "tox_score", "group_size", "keep_id", "spans", "a.b"):
         df = df.withColumn(extra, F.lit(1))
     df.coalesce(1).write.parquet(path)
     return spark.read.parquet(path)

@@ -183,21 +183,31 @@ def test_components(spark):
     assert got == {i: root(i) for i in range(300) if root(i) != i}
 
 
+def _grown_runs(words):
+    """(first, end) of the shortest runs of 3 sentences and 12 words or more that start, and that end, at every sentence."""
+    runs, n = set(), len(words)
+    for i in range(n):
+        ahead = next((j for j in range(i + 3, n + 1) if sum(words[i:j]) >= sentence_spans.SPAN_WORDS), None)
+        back = next((j for j in range(i - 2, -1, -1) if sum(words[j:i + 1]) >= sentence_spans.SPAN_WORDS), None)
+        runs |= {(i, ahead)} if ahead else set()
+        runs |= {(back, i + 1)} if back is not None else set()
+    return sorted(runs)
+
+
 def _brute_spans(rows):
     """Texts with every sentence cut that lies in a repeated run which isn't the corpus's first."""
-    seen, cuts = {}, defaultdict(set)
-    for doc_id, text in sorted(rows):
-        starts, words, hashes, _ = sentence_spans.sentences(pa.array([text]))
-        for i in range(len(hashes) - 2):
-            key = tuple(hashes[i:i + 3].tolist())
-            if words[i:i + 3].sum() >= sentence_spans.SPAN_WORDS:
-                if key in seen and seen[key] != (doc_id, i):
-                    cuts[doc_id].update(range(i, i + 3))
-                seen.setdefault(key, (doc_id, i))
+    split = {d: sentence_spans.sentences(pa.array([t])) for d, t in rows}
+    spots = defaultdict(list)
+    for doc_id, (_, words, hashes, _) in sorted(split.items()):
+        for a, b in _grown_runs(words.tolist()):
+            spots[tuple(hashes[a:b].tolist())].append((doc_id, a, b))
+    cuts = defaultdict(set)
+    for found in spots.values():
+        for doc_id, a, b in sorted(found)[1:]:
+            cuts[doc_id].update(range(a, b))
     out = {}
     for doc_id, text in rows:
-        raw = text.encode()
-        starts = sentence_spans.sentences(pa.array([text]))[0].tolist()
+        raw, starts = text.encode(), split[doc_id][0].tolist()
         keep = [raw[:starts[0]] if starts else raw]
         for i, s in enumerate(starts):
             if i not in cuts[doc_id]:
@@ -220,26 +230,63 @@ def test_repeated_spans_equal_brute_force(spark):
         assert rest == r.text
 
 
-def test_passage_of_fifty_words_is_cut_in_any_surroundings(spark):
-    rng = np.random.default_rng(6)
-
-    def text(n, stops):
-        words = [f"v{int(x)}" for x in rng.integers(0, 10 ** 9, n)]
-        return " ".join(w + ("." if stops and i % 9 == 8 else "") for i, w in enumerate(words))
-
-    for stops in (True, False):
-        passage = text(60, stops)
-        rows = [(i, f"{text(80, True)} {passage} {text(70, True)}") for i in range(4)]
-        got = sentence_spans.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-        for r in got:
-            left = sum(w in r.text for w in passage.split())
-            assert left == 60 if r.doc_id == 0 else left <= 30
-            own = set(dict(rows)[r.doc_id].split()) - set(passage.split())
-            assert sum(w in r.text for w in own) >= len(own) - 24
-
-
 def test_spans_odd(odd_docs, no_docs):
     got = {r.doc_id: r for r in sentence_spans.drop_repeated_spans(odd_docs).collect()}
     assert got[1].n_removed == 0 and got[2].n_removed > 0 and got[3].text == "" and got[None].n_removed == 0
     assert sentence_spans.drop_repeated_spans(odd_docs).count() == odd_docs.count()
     assert sentence_spans.drop_repeated_spans(no_docs).count() == 0
+
+
+def _brute_exact(rows):
+    """{(doc_id, text): [keep_id, group_size, how many of its rows stay]} from (doc_id, text)."""
+    from collections import Counter
+    by = defaultdict(list)
+    for d, t in rows:
+        by[t or ""].append(d)
+    out = {}
+    for t, ids in by.items():
+        top = max(ids, key=lambda d: (d is not None, d or 0))
+        for d in Counter(ids):
+            out[d, t] = [top if len(ids) > 1 else d, len(ids), int(d == top)]
+    return out
+
+
+def _stays(df):
+    got = defaultdict(lambda: [None, 0, 0])
+    for r in df.collect():
+        e = got[r.doc_id, r.text or ""]
+        e[0], e[1], e[2] = r.keep_id, r.group_size, e[2] + r.kept
+    return dict(got)
+
+
+def test_exact_groups_do_not_depend_on_how_scans_are_split(spark, tmp_path, monkeypatch):
+    """Other splits in every job, and an input that is shuffled anew each time, give the same groups."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), f"text {rng.integers(0, 150)} " + "x" * 70) for i in rng.permutation(400)]
+    rows += [(7, "again"), (7, "again"), (3, "again"), (None, "again"), (9, None), (9, ""), (9, "")]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    want = _brute_exact(rows)
+    conf = {"spark.sql.files.maxPartitionBytes": ["4m", "900", "300", "1500"], "spark.sql.files.openCostInBytes": ["1"] * 4}
+    before = {k: spark.conf.get(k) for k in conf}
+    jobs = []
+    cut = exact_refine.cut_lineage
+
+    def changing(df):
+        jobs.append(1)
+        for k, values in conf.items():
+            spark.conf.set(k, values[len(jobs) % 4])
+        return cut(df)
+
+    monkeypatch.setattr(exact_refine, "cut_lineage", changing)
+    try:
+        for table in (docs, docs.repartition(7), docs.orderBy("text")):
+            assert _stays(exact_refine.exact_groups(table)) == want
+            kept = exact_refine.keep_one(table).collect()
+            assert sorted((r.text or "") for r in kept) == sorted({t for _, t in want})
+            assert all(want[r.doc_id, r.text or ""][2] == 1 for r in kept)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(jobs) > 12

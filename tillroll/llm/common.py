@@ -32,6 +32,17 @@ def id_text(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows and 8 MB for this session: whole texts make 10,000 rows too large for two workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def plain_names(docs: DataFrame) -> DataFrame:
+    """``docs`` under names that any later step can resolve (``text`` keeps its own); undone by ``toDF(*names)``."""
+    return docs.toDF(*[c if c == "text" else f"__c{i}" for i, c in enumerate(docs.columns)])
+
+
 def tokenizer_json(path: str | None = None) -> str:
     """The tokenizer file's text, read on the driver (under 2 MB) and sent to the workers."""
     if path is None:

@@ -16,6 +16,8 @@ from tillroll.llm.wordcode import worker_coder
 #: Expected documents in a packing group; a task packs one group at a time.
 GROUP_DOCS = 2048
 END_ID = 1
+#: A worker's cache, and the text it encodes at once: small, as the worker goes on to other stages beside a full heap.
+CACHE_CHUNKS, SLICE_BYTES = 200_000, 1 << 20
 
 _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long")
 
@@ -63,9 +65,9 @@ def document_pieces(docs: DataFrame, capacity: int, source: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(source)
 
     def cut(batches):
-        coder = worker_coder(held.value)
+        coder = worker_coder(held.value, cache_chunks=CACHE_CHUNKS)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, SLICE_BYTES):
                 flat, offs = coder.encode(part.column(1))
                 ids = part.column(0).to_pylist()
                 rows = part.column(2).to_pylist()

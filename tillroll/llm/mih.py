@@ -149,7 +149,8 @@ def nearest(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", ve
 
     Defined cases: vectors that are null, zero, or hold null or non-finite
     components take no part, nor do vectors of another length than the most
-    common one; ties go to the smaller id; repeated rows are candidates each;
+    common one; ties go to the smaller id; repeated rows are candidates each, but
+    ask once;
     an empty table gives an empty result; extra columns are ignored.
     """
     spark = vectors.sparkSession
@@ -165,7 +166,7 @@ def nearest(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", ve
     held = spark.sparkContext.broadcast(book)
     count = rows.count()
     blocks = max(1, -(-count // block_rows))
-    asked = rows.where(queries(F.col("id")))
+    asked = rows.where(queries(F.col("id"))).dropDuplicates(["id", "x"])  # repeated rows ask once
     batches = max(1, -(-asked.count() // QUERY_ROWS))
     # a group is one block and one batch of queries: both sides are of bounded size
     data = (rows.withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tillroll.llm.common import ship_package, text_slices
+from tillroll.llm.common import plain_names, ship_package, text_slices
 from tillroll.llm.shingles import mix, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 # ---- base spans ---------------------------------------------------------------------------------
 
@@ -469,8 +469,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with every found span replaced by its kind in brackets, e.g. ``[EMAIL]``."""
+    """The rows of ``docs`` with every found span replaced by its kind in brackets, e.g. ``[EMAIL]``.
+
+    Null, empty and repeated texts stay as they are; all columns pass through, whatever they are called.
+    """
     ship_package(docs.sparkSession)
+    names, docs = docs.columns, plain_names(docs)
     held = docs.sparkSession.sparkContext.broadcast(train())
 
     def clean(batches):
@@ -492,4 +496,4 @@ def redact(docs: DataFrame) -> DataFrame:
                         texts[i] = "".join([*pieces, text[done:]])
                 yield part.set_column(at, part.schema.field(at), pa.array(texts, col.type))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(clean, docs.schema).toDF(*names)

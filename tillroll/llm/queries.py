@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillroll.llm import (auction_repair, certified_pack, exact_refine, ffd_pack, mih, pii_crf, role_repair, sentence_spans,
                           spec_bpe, superminhash, sync_runs, token_files, toxic_segments)
 from tillroll.llm.common import documents
-from tillroll.session import ensure_checkpoint_dir
+from tillroll.session import ensure_checkpoint_dir, track_folder
 
 
 def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,7 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-tokens-{uuid.uuid4().hex}"
+    track_folder(spark, path)
     token_files.write_token_files(documents(spark, sf_dir), path)
     return token_files.token_digests(spark, path)
 

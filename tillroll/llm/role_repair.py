@@ -155,7 +155,8 @@ def repair_conversations(chats: DataFrame) -> DataFrame:
     conversation legal is found by dynamic programming. ``rendered`` is the
     message's piece of the repaired conversation, which is the pieces in order
     of ``seq``: empty turns put before it, a header where it opens a turn, its
-    text, and the empty turns that end the conversation.
+    text, and the empty turns that end the conversation. A text's own ``<|`` is
+    written ``<\\|``, so no text can forge a header.
 
     Costs compose: a run of messages is a 4 x 4 matrix of least costs. The
     messages are range-partitioned by conversation and turn, so one with a
@@ -216,7 +217,7 @@ def repair_conversations(chats: DataFrame) -> DataFrame:
                 tail = AFTER[t] if ends and i == len(path) - 1 else ()
                 kind = [k for k, on in (("relabel", r != t), ("merge", joined)) if on] or ["keep"]
                 piece = "".join(f"<|{names[e]}|>\n\n" for e in empties)
-                piece += ("" if joined else f"<|{names[t]}|>\n") + texts[a + i] + "\n"
+                piece += ("" if joined else f"<|{names[t]}|>\n") + texts[a + i].replace("<|", "<\\|") + "\n"
                 piece += "".join(f"<|{names[e]}|>\n\n" for e in tail)
                 seq.append(done + i)
                 new_role.append(names[t])

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once (cut at white space), so that scratch arrays stay small.
-BLOCK = 2 << 20
+BLOCK = 512 << 10
 _U = np.uint64
 
 

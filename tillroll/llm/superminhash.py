@@ -19,9 +19,9 @@ SIMILARITY_PCT = 75
 #: 32 bands of 4 ranks: a pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 BANDS, ROWS = 32, 4
 #: Elements whose permutations are held at once (one byte per rank each).
-_ELEMENTS = 120_000
+_ELEMENTS = 40_000
 #: Text that is hashed at once.
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 #: Documents of a block when the documents of a cluster are compared; a task holds two blocks' shingle sets.
 BLOCK_DOCS = 256
 #: Shingles that two blocks are compared on at once.

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import cut_lineage, ship_package, text_slices
+from tillroll.llm.common import cut_lineage, plain_names, ship_package, text_slices
 
 #: Bound of the sample that the model is fitted on: labelled rows, in the order of a hash of their doc_id.
 FIT_ROWS = 30_000
@@ -239,9 +239,16 @@ def score_documents(docs: DataFrame, model: ToxicModel) -> DataFrame:
     Whole texts are scanned in their task; nothing is shuffled. Passages are
     the significant maximal segments, as word ranges with their scores. Null
     and empty texts have no passage and the score of an empty text; repeated
-    rows are scored each; an empty table stays empty. Columns that clash with
-    the two added names are refused by Spark as ambiguous only when used.
+    rows are scored each; an empty table stays empty. Columns that are called
+    like the two added ones are replaced by them.
     """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("tox_score", "tox_passages")])
+    names = docs.columns
+    return _scored(plain_names(docs), model).toDF(*names, "tox_score", "tox_passages")
+
+
+def _scored(docs: DataFrame, model: ToxicModel) -> DataFrame:
+    """``docs`` under plain names, plus the two columns."""
     ship_package(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -264,6 +271,6 @@ def score_documents(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't judged toxic, with its columns."""
-    return (score_documents(docs, fit(docs, labels)).where("tox_score < 0.5")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    """The rows of ``docs`` that aren't judged toxic, with its columns, whatever they are called."""
+    scored = _scored(plain_names(docs), fit(docs, labels)).where("tox_score < 0.5")
+    return scored.drop("tox_score", "tox_passages").toDF(*docs.columns)
