@@ -27,7 +27,8 @@ DATES = {
     "2010-12-01 8:26": DAY.replace(hour=8, minute=26),
     "01.12.2010 08:26": DAY.replace(hour=8, minute=26),
     "2010/12/01 08:26:00": DAY.replace(hour=8, minute=26),
-    "31/12/2010": dt.datetime(2010, 12, 31),
+    "Feb 5 2011 3:04 PM": dt.datetime(2011, 2, 5, 15, 4),
+    "20101201T082600": DAY.replace(hour=8, minute=26),
     "no date": None,
     "": None,
 }
@@ -39,6 +40,28 @@ def test_dates(spark):
     assert got == DATES
 
 
+def _dates(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "InvoiceDate string")
+    return [r[0] for r in df.select(coerce.timestamp_ntz(df)).collect()]
+
+
+def test_a_column_is_read_in_one_order_of_day_and_month(spark):
+    day = [dt.datetime(2011, 2, 13), dt.datetime(2011, 2, 5), dt.datetime(2011, 12, 31, 8, 5)]
+    assert _dates(spark, ["13/02/2011", "05/02/2011", "31/12/2011 8:05"]) == day
+    assert _dates(spark, ["13-02-11", "5-2-2011"])[1] == dt.datetime(2011, 2, 5)
+    month = [dt.datetime(2011, 2, 13), dt.datetime(2011, 5, 2), None]
+    assert _dates(spark, ["02/13/2011", "05/02/2011", "1/32/2011"]) == month
+    assert _dates(spark, ["05/02/2011", "06/02/2011"])[0] == dt.datetime(2011, 5, 2)  # both fit: month first
+    # most values decide; the one that doesn't fit is missing, not read the other way
+    assert _dates(spark, ["2/13/2011", "2/14/2011", "13/2/2011"])[2] is None
+    # each separator is voted on alone
+    assert _dates(spark, ["13/2/2011", "5/2/2011", "2-13-2011", "5-2-2011"])[1::2] == [
+        dt.datetime(2011, 2, 5), dt.datetime(2011, 5, 2)]
+    assert _dates(spark, ["13/2/2011 3:04 PM", "1/2/11 3:04 AM"]) == [
+        dt.datetime(2011, 2, 13, 15, 4), dt.datetime(2011, 2, 1, 3, 4)]
+    assert _dates(spark, []) == []
+
+
 def test_numbers(spark):
     texts = {"1": 1.0, " 2.5 ": 2.5, "-3": -3.0, "1e3": 1000.0, ".5": 0.5, "NaN": None, "nan": None, "1d": None,
              "2f": None, "Infinity": None, "": None, "zz": None}
@@ -102,3 +125,32 @@ def test_csv_round_trip_keeps_every_row_and_date(spark, tmpdir_path):
     assert back.where("InvoiceDate is null").count() == 0
     assert want.select(*cols).exceptAll(back.select(*cols)).count() == 0
     assert back.count() == want.count()
+
+
+def test_bytes_that_no_candidate_takes_are_dropped(spark, tmpdir_path):
+    """Under three columns no candidate qualifies: the last-resort read keeps what can be decoded."""
+    with open(f"{tmpdir_path}/c.csv", "wb") as f:
+        f.write(b"InvoiceNo,Description\n1,caf\xe9 au lait\n2,plain\n")
+    rows = {r.InvoiceNo: r.Description for r in read_retail_csv(spark, f"{tmpdir_path}/c.csv").collect()}
+    assert rows == {"1": "caf au lait", "2": "plain"}
+
+
+def test_load_or_default(spark, tmpdir_path):
+    from tillroll.sources.csv import load_or_default
+    default = spark.range(3)
+    missing = f"{tmpdir_path}/none.csv"
+    assert load_or_default(lambda: read_retail_csv(spark, missing), default, fallback=True) is default
+    with pytest.raises(Exception):
+        load_or_default(lambda: read_retail_csv(spark, missing), default)
+    assert load_or_default(lambda: default, spark.range(1), fallback=True) is default
+
+
+def test_report_and_json_sinks(spark, tmpdir_path):
+    from tillroll.sources.sinks import write_json, write_report
+    lines = spark.createDataFrame([(2, "two"), (1, "# one"), (3, "")], "line_no int, line string").repartition(3)
+    write_report(lines, f"{tmpdir_path}/report")
+    assert [r.value for r in spark.read.text(f"{tmpdir_path}/report").collect()] == ["# one", "two", ""]
+    summary = spark.createDataFrame([("ok", 3, ["a ➔ b"], None)], "status string, n long, rules array<string>, gone string")
+    write_json(summary, f"{tmpdir_path}/json")
+    back = spark.read.json(f"{tmpdir_path}/json").first()
+    assert (back.status, back.n, back.rules) == ("ok", 3, ["a ➔ b"])

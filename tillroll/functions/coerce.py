@@ -13,10 +13,11 @@ DATE_FORMATS = [
     "M/d/yyyy" + _TIME, "M/d/yyyy h:mm[:ss] a", "M-d-yyyy" + _TIME, "M/d/yy" + _TIME, "M/d/yy h:mm[:ss] a",
     "d.M.yyyy" + _TIME, "d-MMM-yyyy" + _TIME, "d MMM yyyy" + _TIME, "d MMMM yyyy" + _TIME,
     "MMM d, yyyy" + _TIME, "MMM d, yyyy h:mm[:ss] a", "MMMM d, yyyy" + _TIME, "MMM d yyyy" + _TIME,
-    "d-MMM-yy" + _TIME, "yyyyMMdd[ HHmmss][ HH:mm[:ss]]", "yyyyMMddHHmmss",
-    # day before month only where the month-first reading fails
-    "d/M/yyyy" + _TIME, "d/M/yyyy h:mm[:ss] a", "d-M-yyyy" + _TIME,
+    "MMM d yyyy h:mm[:ss] a", "d-MMM-yy" + _TIME, "yyyyMMdd[ HHmmss][ HH:mm[:ss]]", "yyyyMMdd'T'HHmmss",
+    "yyyyMMddHHmmss",
 ]
+# Separators between two numbers of which either may be the month: a column is read one way, never both.
+AMBIGUOUS = ("/", "-")
 
 # Fixed value: a plain decimal number. Casting alone would also take "1d", "2f", "NaN" and "Infinity".
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -54,11 +55,35 @@ def invoice_text(df: DataFrame, name: str = "InvoiceNo") -> Column:
     return F.coalesce(nan_to_null(df, name).cast("string"), F.lit("nan"))
 
 
+def date_layouts(df: DataFrame, name: str = "InvoiceDate") -> list[str]:
+    """``DATE_FORMATS`` in the day and month order that the column's values agree with.
+
+    One aggregate over the column counts, for each separator, the values that
+    can't be month first (first number above 12) and those that can't be day
+    first (second number above 12). The order that fits more values holds for
+    the whole column; month first where both fit alike. Two counters a
+    separator come back, whatever the column's size.
+    """
+    text = F.trim(F.col(name).cast("string"))
+    tests = []
+    for i, sep in enumerate(AMBIGUOUS):
+        found = [F.regexp_extract(text, f"^([0-9]{{1,2}}){sep}([0-9]{{1,2}}){sep}", k).try_cast("int") for k in (1, 2)]
+        tests += [F.count_if(found[0] > 12).alias(f"m{i}"), F.count_if(found[1] > 12).alias(f"d{i}")]
+    votes = df.agg(*tests).first()
+    layouts = list(DATE_FORMATS)
+    for i, sep in enumerate(AMBIGUOUS):
+        if votes[f"d{i}"] < votes[f"m{i}"]:
+            layouts = [f.replace(f"M{sep}d{sep}y", f"d{sep}M{sep}y") for f in layouts]
+    return layouts
+
+
 def timestamp_ntz(df: DataFrame, name: str = "InvoiceDate", formats: list[str] | None = None) -> Column:
     """Timestamp without zone; unparseable text becomes null (row kept).
 
     ISO forms (fraction, ``T``, zone suffix) are cast; other texts run through
-    ``formats`` (default: ``DATE_FORMATS``), a parameter for layouts beyond them.
+    ``formats``, by default ``date_layouts`` of the column (``DATE_FORMATS``
+    for a stream, which can't be counted beforehand). A value that doesn't fit
+    its column's order of day and month is null, not read the other way.
     """
     dt = _dtype(df, name)
     c = F.col(name)
@@ -68,8 +93,8 @@ def timestamp_ntz(df: DataFrame, name: str = "InvoiceDate", formats: list[str] |
         return c.cast("timestamp_ntz")
     text = F.trim(c.cast("string"))
     iso = F.when(text.rlike("^[0-9]{4}-"), text.try_cast("timestamp_ntz"))
-    parsed = [F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in (formats or DATE_FORMATS)]
-    return F.coalesce(iso, *parsed)
+    layouts = formats or (DATE_FORMATS if df.isStreaming else date_layouts(df, name))
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in layouts])
 
 
 def number(df: DataFrame, name: str) -> Column:

@@ -7,15 +7,21 @@ sequential scan over id-sorted rows discovers them); a non-core point within
 eps of a core takes the smallest such cluster label; everything else is -1.
 
 Plan: points go to a grid of side eps/sqrt(d), so two points of one cell are
-always within eps. A cell with >= min_samples points is all core with no
-distance work. Remaining tests (core counts of points in sparse cells,
-core-cell links, border labels) run as salted halo cogroups over coarse
-boxes (see ``pairwise.halo_cogroup``). Components are labelled on the core-cell graph by
-minimum-label propagation with pointer jumping, checkpointed each round.
+always within eps. From there on the work is done between *cells*: those that
+may hold points within eps of each other meet in an equi-join of grid
+coordinates, and the bounding boxes of their points decide most pairs (all
+within eps, or none). Distances are computed only for what is left: of points
+in sparse cells whose surely near points don't make them core yet, of core
+cells that the sure links haven't joined, and of border points that a smaller
+label may still reach. A cell's points travel as lists, so rows grow with the
+points, and a cell with a third of them is many lists. Components are labelled
+on the core-cell graph by minimum-label propagation with pointer jumping,
+checkpointed each round.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.ranking import dense_index
-from tillroll.operators.pairwise import grid_cells, halo_cogroup, id_codes
+from tillroll.operators.pairwise import grid_cells, halo_cogroup, packed_points, pairs_within
 from tillroll.operators.rfm import FEATURES
 from tillroll.session import cut_lineage, release
 
@@ -65,30 +71,56 @@ def neighbour_counts(points: DataFrame, eps: float = 0.5, id_col: str = "Custome
     return parts.groupBy("_id").agg(F.sum("_n").alias("n_neighbors")).withColumnRenamed("_id", id_col)
 
 
-def _core_flags(g: DataFrame, dim: int, eps: float, min_samples: int) -> DataFrame:
-    """(_id, _g*, _x*, _core) with dense cells resolved without distances."""
-    gc = [f"_g{i}" for i in range(dim)]
-    xs = [f"_x{i}" for i in range(dim)]
-    cells = g.groupBy(*gc).agg(F.count(F.lit(1)).alias("_ncell"))
-    g2 = g.join(cells, gc)
-    sparse = g2.filter(F.col("_ncell") < min_samples).drop("_ncell")
-    e2 = eps * eps
+def _boxes(points: DataFrame, dim: int) -> DataFrame:
+    """(cell, n, _g*, _lo*, _hi*) of every occupied cell: smallest id, size and bounding box of its points."""
+    lows = [F.min(f"_x{i}").alias(f"_lo{i}") for i in range(dim)]
+    highs = [F.max(f"_x{i}").alias(f"_hi{i}") for i in range(dim)]
+    return points.groupBy(*[f"_g{i}" for i in range(dim)]).agg(
+        F.min("_id").alias("cell"), F.count(F.lit(1)).alias("n"), *lows, *highs)
 
-    def kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if lp.empty or rp.empty:
-            return pd.DataFrame({"_id": [], "_n": []})
-        lx, rx = lp[xs].to_numpy(float), rp[xs].to_numpy(float)
-        cnt = np.zeros(len(lx), dtype="int64")
-        for s, d2 in _sq_dists(lx, rx):
-            cnt[s:s + len(d2)] = (d2 <= e2).sum(axis=1)
-        return pd.DataFrame({"_id": lp["_id"].to_numpy(), "_n": cnt})
 
-    counts = (halo_cogroup(sparse, g, xs, eps, kernel, "_id string, _n long")
-              .groupBy("_id").agg(F.sum("_n").alias("_nn")))
-    return (g2.join(counts, "_id", "left")
-              .withColumn("_core", (F.col("_ncell") >= min_samples)
-                          | (F.coalesce(F.col("_nn"), F.lit(0)) >= min_samples))
-              .drop("_ncell", "_nn"))
+def _box_pairs(left: DataFrame, right: DataFrame, dim: int, e2: float, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(u, v, n, sure, extra...): cells u of ``left`` and v of ``right`` that may hold points within eps of each other.
+
+    ``n`` and the extra columns are those of v; ``sure`` if all their points are that near.
+    """
+    reach = range(-math.ceil(math.sqrt(dim)), math.ceil(math.sqrt(dim)) + 1)
+    offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product(reach, repeat=dim)])
+    g = [f"_g{i}" for i in range(dim)]
+    box = [f"_{s}{i}" for s in ("lo", "hi") for i in range(dim)]
+    a = (left.select(F.col("cell").alias("u"), *g, *[F.col(c).alias(f"a{c}") for c in box], F.explode(offsets).alias("off"))
+         .withColumns({c: F.col(c) + F.col("off")[i] for i, c in enumerate(g)}).drop("off"))
+    b = right.select(F.col("cell").alias("v"), "n", *g, *[F.col(c).alias(f"b{c}") for c in box], *extra)
+    apart = [F.greatest(F.lit(0.0), F.col(f"b_lo{i}") - F.col(f"a_hi{i}"), F.col(f"a_lo{i}") - F.col(f"b_hi{i}"))
+             for i in range(dim)]
+    span = [F.greatest(F.col(f"b_hi{i}") - F.col(f"a_lo{i}"), F.col(f"a_hi{i}") - F.col(f"b_lo{i}")) for i in range(dim)]
+    near = sum((x * x for x in apart), F.lit(0.0)) <= e2 * (1 + 1e-12)
+    return a.join(b, g).where(near).select("u", "v", "n", (sum((x * x for x in span), F.lit(0.0)) <= e2).alias("sure"),
+                                           *extra)
+
+
+def _lists(points: DataFrame, key: str, wanted: DataFrame, dim: int) -> DataFrame:
+    """(key, x): the points of the wanted cells as lists."""
+    kept = points.join(wanted.select(key).distinct(), key, "left_semi")
+    return packed_points(kept, key, [f"_x{i}" for i in range(dim)])
+
+
+def _core_flags(g: DataFrame, dim: int, eps: float, min_samples: int) -> DataFrame:
+    """(_id, _g*, _x*, _core), written once; only points of sparse cells near undecided ones meet others."""
+    gc, xs, e2 = [f"_g{i}" for i in range(dim)], [f"_x{i}" for i in range(dim)], eps * eps
+    cells = cut_lineage(_boxes(g, dim))
+    placed = g.join(cells.select(*gc, "cell", "n"), gc)
+    near = cut_lineage(_box_pairs(cells.where(F.col("n") < min_samples), cells, dim, e2))
+    sure = near.where("sure").groupBy("u").agg(F.sum("n").alias("sure_n"))  # its own cell among them
+    few = sure.where(F.col("sure_n") < min_samples)
+    undecided = cut_lineage(near.where("not sure").join(few, "u").select("u", "v"))
+    lone = placed.where(F.col("n") < min_samples).select(F.col("cell").alias("u"), F.col("_id"), F.array(*xs).alias("xa"))
+    lists = _lists(placed.withColumnRenamed("cell", "v"), "v", undecided, dim).withColumnRenamed("x", "xb")
+    rows = (undecided.join(lone, "u").join(lists, "v").select(F.col("_id").alias("u"), "v", "xa", "xb"))
+    counts = pairs_within(rows, dim, e2).groupBy(F.col("u").alias("_id")).agg(F.sum("n").alias("more"))
+    out = placed.join(sure.select(F.col("u").alias("cell"), "sure_n"), "cell", "left").join(counts, "_id", "left")
+    total = F.coalesce("sure_n", "n") + F.coalesce("more", F.lit(0))
+    return cut_lineage(out.select("_id", *gc, *xs, (total >= min_samples).alias("_core")))
 
 
 def connected_min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -130,52 +162,44 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
     gc = [f"_g{i}" for i in range(dim)]
     xs = [f"_x{i}" for i in range(dim)]
     e2 = eps * eps
-    flagged = cut_lineage(_core_flags(g, dim, eps, min_samples))
+    flagged = _core_flags(g, dim, eps, min_samples)
     cores = flagged.filter("_core")
 
-    # core cells: node id = smallest core id in the cell
-    cell_node = cores.groupBy(*gc).agg(F.min("_id").alias("_node"))
-    cores_n = cores.join(cell_node, gc)
-
-    def link_kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        # distinct (probe node, target node) pairs of cores within eps
-        if lp.empty or rp.empty:
-            return pd.DataFrame({"u": [], "v": []})
-        lx, rx = lp[xs].to_numpy(float), rp[xs].to_numpy(float)
-        ln, rn = lp["_node"].to_numpy(), rp["_node"].to_numpy()
-        lc, rc = id_codes(ln, rn)
-        found = set()
-        for s_, d2 in _sq_dists(lx, rx):
-            ii, jj = np.nonzero((d2 <= e2) & (lc[s_:s_ + len(d2), None] < rc[None, :]))
-            if len(ii):
-                found.update(zip(ln[s_ + ii], rn[jj]))
-        if not found:
-            return pd.DataFrame({"u": [], "v": []})
-        u, v = zip(*found)
-        return pd.DataFrame({"u": list(u), "v": list(v)})
-
-    links = halo_cogroup(cores_n, cores_n, xs, eps, link_kernel, "u string, v string").distinct()
-    comps = connected_min_labels(cell_node.select(F.col("_node").alias("node")), links)
+    # core cells by their smallest core id; sure links join most of them without a distance
+    cells = cut_lineage(_boxes(cores, dim))
+    placed = cores.join(cells.select(*gc, "cell"), gc)
+    links = cut_lineage(_box_pairs(cells, cells, dim, e2).where("u < v").select("u", "v", "sure"))
+    comps = connected_min_labels(cells.select(F.col("cell").alias("node")), links.where("sure"))
+    sides = [comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "uv"]
+    left = cut_lineage(links.where("not sure").join(sides[0], "u").join(sides[1], "v").where("cu != cv")
+                       .select("u", "v", "cu", "cv"))
+    lists = cut_lineage(_lists(placed, "cell", left.select(F.explode(F.array("u", "v")).alias("cell")), dim))
+    rows = (left.join(lists.select(F.col("cell").alias("u"), F.col("x").alias("xa")), "u")
+            .join(lists.select(F.col("cell").alias("v"), F.col("x").alias("xb")), "v")
+            .select(F.col("cu").alias("u"), F.col("cv").alias("v"), "xa", "xb"))
+    more = cut_lineage(pairs_within(rows, dim, e2).where("n > 0").select("u", "v").distinct())
+    if not more.isEmpty():
+        joined = connected_min_labels(comps.select(F.col("comp").alias("node")).distinct(), more)
+        comps = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp").select(
+            "node", F.col("root").alias("comp"))
     numbered = dense_index(comps, ["comp"], "_label")
-    node_label = comps.join(numbered, "comp").select(F.col("node").alias("_node"), "_label")
-    core_lab = cut_lineage(cores_n.join(node_label, "_node").drop("_node"))
-
-    def border_kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if lp.empty or rp.empty:
-            return pd.DataFrame({"_id": [], "_label": []})
-        lx, rx = lp[xs].to_numpy(float), rp[xs].to_numpy(float)
-        rl = rp["_label"].to_numpy().astype("int64")
-        best = np.full(len(lx), np.iinfo("int64").max)
-        for s, d2 in _sq_dists(lx, rx):
-            masked = np.where(d2 <= e2, rl[None, :], np.iinfo("int64").max)
-            best[s:s + len(d2)] = masked.min(axis=1)
-        keep = best < np.iinfo("int64").max
-        return pd.DataFrame({"_id": lp["_id"].to_numpy()[keep], "_label": best[keep]})
-
-    non_core = flagged.filter(~F.col("_core"))
-    border = (halo_cogroup(non_core, core_lab, xs, eps, border_kernel, "_id string, _label long")
-              .groupBy("_id").agg(F.min("_label").alias("_label")))
-    labels = core_lab.select("_id", "_label").unionByName(border)
+    label = cut_lineage(comps.join(numbered, "comp").select(F.col("node").alias("cell"), "_label"))
+
+    # border points: the smallest label of a core point within eps; sure ones first, then what may be smaller
+    rest = flagged.filter(~F.col("_core"))
+    edge = _boxes(rest, dim)
+    named = rest.join(edge.select(*gc, F.col("cell").alias("u")), gc).select("_id", "u", F.array(*xs).alias("xa"))
+    near = cut_lineage(_box_pairs(edge, cells.join(label, "cell"), dim, e2, ("_label",)))
+    best = near.where("sure").groupBy("u").agg(F.min("_label").alias("best"))
+    may = near.where("not sure").join(best, "u", "left").where(F.col("best").isNull() | (F.col("_label") < F.col("best")))
+    may = cut_lineage(may.select("u", "v", "_label"))
+    lists = _lists(placed.withColumnRenamed("cell", "v"), "v", may, dim).withColumnRenamed("x", "xb")
+    rows = (may.join(named, "u").join(lists, "v")
+            .select(F.col("_id").alias("u"), F.col("_label").cast("string").alias("v"), "xa", "xb"))
+    found = pairs_within(rows, dim, e2).where("n > 0").select(F.col("u").alias("_id"), F.col("v").cast("long").alias("_label"))
+    given = named.join(best, "u").select("_id", F.col("best").alias("_label"))
+    border = found.unionByName(given).groupBy("_id").agg(F.min("_label").alias("_label"))
+    labels = placed.join(label, "cell").select("_id", "_label").unionByName(border)
     return (flagged.select("_id").join(labels, "_id", "left")
                    .select(F.col("_id").alias(id_col),
                            F.coalesce(F.col("_label"), F.lit(-1)).cast("int").alias("Cluster")))

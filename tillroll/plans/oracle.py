@@ -460,6 +460,12 @@ from t
 where CustomerID is not null and Description is not null and not starts_with(InvoiceNo, 'C')
   and k % 50 not in (7, 8) and Quantity > 0 and p > 0"""
 
+ORACLE["clean_dayfirst_lines"] = with_(RAW, CLEAN) + """
+select InvoiceNo, StockCode, Description, Quantity,
+       case when cast(StockCode as bigint) % 5 = 1 then date_trunc('second', InvoiceDate)
+            else date_trunc('minute', InvoiceDate) end InvoiceDate, UnitPrice, CustomerID, TotalPrice
+from clean"""
+
 # ---- header normalisation and the wide basket matrix ------------------------
 ORACLE["normalize_columns"] = with_(RAW) + "select * from raw"
 

@@ -485,3 +485,15 @@ def q_clean_text_lines(spark, sf_dir):
         F.floor("UnitPrice").cast("string").alias("UnitPrice"), "CustomerID")
     return clean.clean_lines(text).select("InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate",
                                           "UnitPrice", "CustomerID", "TotalPrice")
+
+
+@query
+def q_clean_dayfirst_lines(spark, sf_dir):
+    """Cleaning of a day-first text column, with two layouts that leave no doubt among it."""
+    k = F.col("StockCode").cast("bigint")
+    raw = retail_lines(spark, sf_dir)
+    text = raw.withColumn("InvoiceDate", F.when(k % 5 == 0, F.date_format("InvoiceDate", "MMM d yyyy h:mm a"))
+                          .when(k % 5 == 1, F.date_format("InvoiceDate", "yyyyMMdd'T'HHmmss"))
+                          .otherwise(F.date_format("InvoiceDate", "d/M/yyyy H:mm")))
+    return clean.clean_lines(text).select("InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate",
+                                          "UnitPrice", "CustomerID", "TotalPrice")
