@@ -1,16 +1,21 @@
-"""Retail CSV scan with encoding and separator detection.
+"""Retail CSV scan with encoding and separator detection, split by byte ranges whatever the cells hold.
 
-Candidates are tried in order (encodings x separators); the first whose header
-gives at least three columns, whose body has at least one row and which
-decodes without replacement characters wins. Rows with more fields than the
-header are dropped; short rows keep nulls; the usual missing-value tokens read
-as null. Every check is a distributed scan with an early exit (``limit(1)``).
+The separator is the first that gives the header at least three columns; the
+encoding is UTF-8 if every byte decodes, else Latin-1. Rows with more fields
+than the header are dropped; short rows keep nulls; the usual missing-value
+tokens read as null.
+
+A quoted cell may hold line breaks, so whether a line starts a record depends
+on all lines before it. But of a whole byte range only two things matter: where
+it ends up when it begins inside a quoted cell, and when it begins outside.
+One pass computes that for every range (and counts undecodable lines, for the
+encoding); chained from range to range it tells how each one begins, and a
+second pass cuts all ranges into records side by side. Only the pieces of
+records that cross a border (two a range) are put together afterwards.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +30,10 @@ MIN_COLUMNS = 3
 EXTRA = "_extra_field"
 NULL_SENTINEL = "\u0000"
 REPLACEMENT_CHAR = "�"
+#: Encodings in which line breaks, quotes and separators are the ASCII bytes; others are read a file at a time.
+SPLITTABLE = {"utf-8", "us-ascii", "iso-8859-1"}
+#: Physical lines that the header record may take.
+HEADER_LINES = 100
 
 
 def _reader(spark: SparkSession, sep: str, encoding: str, multiline: bool):
@@ -45,17 +54,189 @@ def _read(spark: SparkSession, path: str, cols: list[str], sep: str, encoding: s
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(cols))]
                           + [T.StructField(EXTRA, T.StringType())])
     df = _reader(spark, sep, encoding, multiline).schema(schema).csv(path)
+    return _named(df, cols)
+
+
+def _named(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows without surplus fields, under the header's names, missing-value tokens as null."""
     kept = df.filter(F.col(EXTRA).isNull())
     na = [F.when(F.col(f"_c{i}").isin(NA_TOKENS), F.lit(None)).otherwise(F.col(f"_c{i}"))
           .alias(c.strip() if c else f"Unnamed: {i}") for i, c in enumerate(cols)]
     return kept.select(*na)
 
 
-def _has_replacement(df: DataFrame) -> bool:
-    cond = reduce(lambda a, b: a | b,
-                  [F.coalesce(F.col(f"`{c}`").contains(REPLACEMENT_CHAR), F.lit(False))
-                   for c in df.columns])
-    return df.filter(cond).limit(1).count() > 0
+def leaves_inside(line: bytes, sep: bytes, inside: bool) -> bool:
+    """Whether a quoted cell is open behind ``line``, given whether one is before it.
+
+    A quote opens a cell at its start only; inside, two quotes stand for one
+    and a single one closes the cell.
+    """
+    at = 0
+    while True:
+        if inside:
+            at = line.find(b'"', at)
+            if at < 0:
+                return True
+            if line[at + 1:at + 2] == b'"':
+                at += 2
+                continue
+            inside = False
+        elif line[at:at + 1] == b'"':
+            inside = True
+            at += 1
+            continue
+        at = line.find(sep, at)
+        if at < 0:
+            return False
+        at += len(sep)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, value, valid) of all physical lines as bytes; ``start`` is that of the line's byte range."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                       F.col("value").cast("binary").alias("value"), F.is_valid_utf8("value").alias("valid"))
+
+
+def _range_facts(lines: DataFrame, sep: str) -> list:
+    """One row a byte range, in order: state behind it from either state, whether it closes an open cell, undecodable lines."""
+    mark = sep.encode()
+
+    def scan(batches):
+        import pyarrow as pa
+        now: dict = {}
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for file, start, value, valid in zip(*columns, strict=True):
+                f = now.setdefault((file, start), [False, True, False, 0, 0])
+                f[3] += not valid
+                f[4] += 1
+                if b'"' in value:
+                    f[0] = leaves_inside(value, mark, f[0])
+                    f[1] = leaves_inside(value, mark, f[1])
+                f[2] |= not f[1]
+        rows = [(*k, *v) for k, v in now.items()]
+        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
+                                         names=["file", "start", "out", "inside", "closes", "bad", "n"])
+
+    found = lines.mapInArrow(scan, "file string, start long, out boolean, inside boolean, closes boolean, bad long, n long")
+    return sorted(found.collect(), key=lambda r: (r.file, r.start))  # one row a byte range
+
+
+def _entries(facts: list) -> dict:
+    """{(file, start): the range where the cell that is open at its beginning started its record, or None}."""
+    out, file, open_from = {}, None, None
+    for r in facts:
+        if r.file != file:
+            file, open_from = r.file, None
+        out[r.file, r.start] = open_from
+        if open_from is None:
+            open_from = r.start if r.out else None
+        elif not r.inside:
+            open_from = None
+        elif r.closes:
+            open_from = r.start
+    return out
+
+
+def _records(lines: DataFrame, sep: str, entries: dict) -> DataFrame:
+    """(file, origin, at, record, head): whole records (origin null), without headers, and pieces of those that cross ranges.
+
+    ``head`` marks the first piece of a header that crosses ranges.
+    """
+    held, mark = lines.sparkSession.sparkContext.broadcast(entries), sep.encode()
+
+    def cut(batches):
+        import pyarrow as pa
+        now, state = None, {}
+
+        def emit(rows, origin, parts, file, start):
+            whole = b"\n".join(parts)
+            head = origin == start == 0 and state["header"]
+            if origin is None:
+                if state["header"]:
+                    state["header"] = False
+                    return
+                whole = whole[:-1] if whole.endswith(b"\r") else whole
+                if not whole.strip():
+                    return
+            rows.append((file, origin, start, whole, head))
+
+        def finish(rows):
+            if now is not None and state["parts"]:  # open at the range's end: its record goes on in the next
+                origin = state["origin"] if state["origin"] is not None else now[1]
+                emit(rows, origin if state["inside"] else state["origin"], state["parts"], *now)
+
+        def pack(rows):
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
+                                              names=["file", "origin", "at", "record", "head"])
+
+        for batch in batches:
+            rows: list = []
+            columns = [batch.column(i).to_pylist() for i in range(3)]
+            for file, start, value in zip(*columns, strict=True):
+                if now != (file, start):
+                    finish(rows)
+                    now = (file, start)
+                    origin = held.value[now]
+                    state = {"inside": origin is not None, "origin": origin, "parts": [], "header": start == 0}
+                state["parts"].append(value)
+                if state["inside"] or b'"' in value:
+                    state["inside"] = leaves_inside(value, mark, state["inside"])
+                if not state["inside"]:
+                    emit(rows, state["origin"], state["parts"], file, start)
+                    state["parts"], state["origin"] = [], None
+            yield pack(rows)
+        rows = []
+        finish(rows)
+        yield pack(rows)
+
+    return lines.select("file", "start", "value").mapInArrow(cut, "file string, origin long, at long, record binary, head boolean")
+
+
+def _split_scan(spark: SparkSession, path: str, cols: list[str], sep: str, lines: DataFrame, facts: list,
+                charset: str, drop_bad: bool) -> DataFrame:
+    """The file's rows by records that are cut range by range."""
+    entries = _entries(facts)
+    records = _records(lines, sep, entries)
+    whole = records.where("origin is null").select("file", "record")
+    if any(v is not None for v in entries.values()):
+        pieces = records.where("origin is not null").groupBy("file", "origin").agg(
+            F.sort_array(F.collect_list(F.struct("at", "record"))).alias("p"), F.bool_or("head").alias("head"))
+        joined = F.aggregate(F.slice("p", 2, 1 << 30), F.col("p")[0]["record"],
+                             lambda a, x: F.concat(a, F.lit(b"\n"), x["record"]))
+        whole = whole.unionAll(pieces.where("not head").select("file", joined.alias("record")))
+    text = F.col("record").cast("string") if charset == "utf-8" else F.decode("record", charset)
+    if drop_bad:
+        text = F.regexp_replace(F.make_valid_utf8(F.col("record").cast("string")), REPLACEMENT_CHAR, "")
+    names = [f"_c{i}" for i in range(len(cols))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, EXTRA]])
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": NULL_SENTINEL,
+               "emptyValue": "", "maxCharsPerColumn": "-1"}
+    rows = whole.select(F.from_csv(text, F.lit(schema.simpleString().removeprefix("struct<").removesuffix(">")
+                                               .replace(":", " ")), options).alias("r")).select("r.*")
+    return _named(rows, cols)
+
+
+def _header_record(spark: SparkSession, path: str, seps: list[str], decode: str) -> tuple[list[str], str] | None:
+    """(columns, separator): the first separator that gives the first record at least ``MIN_COLUMNS`` fields."""
+    import csv
+
+    first = [bytes(r.value) for r in _lines(spark, path).where("start = 0").select("value").take(HEADER_LINES)]
+    for s in seps:
+        inside, n = False, 0
+        for line in first:
+            inside, n = leaves_inside(line, s.encode(), inside), n + 1
+            if not inside:
+                break
+        text = b"\n".join(first[:n]).removeprefix(b"\xef\xbb\xbf").removesuffix(b"\r").decode(decode, "replace")
+        fields = next(csv.reader([text], delimiter=s, strict=False), []) if "\n" not in text else next(
+            csv.reader(text.splitlines(keepends=True), delimiter=s), [])
+        if len(fields) >= MIN_COLUMNS:
+            return fields, s
+    return None
 
 
 def read_retail_csv(spark: SparkSession, path: str, sep: str | None = None,
@@ -65,37 +246,41 @@ def read_retail_csv(spark: SparkSession, path: str, sep: str | None = None,
 
     ``sep`` / ``encoding`` pin a candidate; ``row_cap`` keeps only the first
     rows (off by default). Quoted cells may hold separators, doubled quotes and
-    line breaks; for the last, a file is read as a whole by one task, so a
-    large extract should come as many files, or with ``multiline=False`` if no
-    cell has a line break (files are then split). Falls back to a UTF-8 comma read with undecodable
-    bytes removed when no candidate qualifies.
+    line breaks, and large files are split all the same (see the module's
+    text); ``multiline=False`` spares the passes for that if no cell has a line
+    break. Falls back to a UTF-8 comma read with undecodable bytes removed when
+    no candidate qualifies. In an encoding whose line breaks and quotes aren't
+    the ASCII bytes, a file is read by one task.
     """
-    encs = [encoding] if encoding else ENCODINGS
-    seps = [sep] if sep else SEPARATORS
-    chosen = None
-    for enc in encs:
-        for s in seps:
-            try:
-                cols = _header(spark, path, s, enc, multiline)
-            except Exception:  # noqa: BLE001 - unreadable candidate, try the next
-                continue
-            if len(cols) < MIN_COLUMNS:
-                continue
-            df = _read(spark, path, cols, s, enc, multiline)
-            if df.limit(1).count() == 0:
-                continue
-            if enc.lower().replace("-", "") == "utf8" and _has_replacement(df):
-                break  # undecodable bytes: move on to the next encoding
-            chosen = df
-            break
-        if chosen is not None:
-            break
-    if chosen is None:
+    if encoding and encoding.lower() not in SPLITTABLE or not multiline:
+        out = _whole_file_scan(spark, path, sep, encoding, multiline)
+        return out.limit(row_cap) if row_cap else out
+    lines = _lines(spark, path)
+    found = _header_record(spark, path, [sep] if sep else SEPARATORS, encoding or "utf-8")
+    facts = _range_facts(lines, found[1] if found else ",")
+    bad = sum(r.bad for r in facts)
+    if found and sum(r.n for r in facts) > len({r.file for r in facts}):
+        charset = encoding or (ENCODINGS[0] if not bad else ENCODINGS[1])
+        cols, s = _header_record(spark, path, [found[1]], charset)
+        out = _split_scan(spark, path, cols, s, lines, facts, charset.lower(), False)
+    else:
         cols = _header(spark, path, ",", "utf-8", multiline)
-        df = _read(spark, path, cols, ",", "utf-8", multiline)
-        chosen = df.select(*[F.regexp_replace(F.col(f"`{c}`"), REPLACEMENT_CHAR, "").alias(c)
-                             for c in df.columns])
-    return chosen.limit(row_cap) if row_cap else chosen
+        out = _split_scan(spark, path, [c.replace(REPLACEMENT_CHAR, "") for c in cols], ",", lines,
+                          facts if not found else _range_facts(lines, ","), "utf-8", True)
+    return out.limit(row_cap) if row_cap else out
+
+
+def _whole_file_scan(spark: SparkSession, path: str, sep: str | None, encoding: str | None, multiline: bool) -> DataFrame:
+    """Spark's own reader: by lines (``multiline`` off), or a file a task."""
+    bad = F.count_if(~F.is_valid_utf8("value")).alias("bad")
+    charset = encoding or (ENCODINGS[1] if spark.read.text(path).agg(bad).first()["bad"] else ENCODINGS[0])
+    for s in [sep] if sep else SEPARATORS:
+        cols = _header(spark, path, s, charset, multiline)
+        if len(cols) >= MIN_COLUMNS:
+            return _read(spark, path, cols, s, charset, multiline)
+    cols = _header(spark, path, ",", "utf-8", multiline)
+    df = _read(spark, path, cols, ",", "utf-8", multiline)
+    return df.select(*[F.regexp_replace(F.col(f"`{c}`"), REPLACEMENT_CHAR, "").alias(c) for c in df.columns])
 
 
 def load_or_default(load, default: DataFrame, fallback: bool = False) -> DataFrame:
