@@ -66,7 +66,7 @@ def test_basket_matrix_with_awkward_item_names(spark):
     from tillroll.operators import baskets
     lines = spark.createDataFrame([("1", "a`b", 1.0), ("1", "InvoiceNo", 2.0), ("2", "x.y", 1.0)],
                                   "InvoiceNo string, Description string, Quantity double")
-    rows = {r["InvoiceNo"]: r for r in baskets.basket_matrix(lines).collect()}
+    rows = {r["InvoiceNo"]: r for r in baskets.basket_matrix(lines, ["a`b", "InvoiceNo", "x.y"]).collect()}
     assert set(rows["1"].asDict()) == {"InvoiceNo", "a`b", "InvoiceNo_item", "x.y"}
     assert rows["1"]["a`b"] and rows["1"]["InvoiceNo_item"] and not rows["1"]["x.y"] and rows["2"]["x.y"]
     assert baskets.basket_matrix(lines, items=["x.y"]).columns == ["InvoiceNo", "x.y"]

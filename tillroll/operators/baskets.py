@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.ranking import dense_index
+
 
 def basket_long(clean: DataFrame, item_col: str = "Description") -> DataFrame:
     """(InvoiceNo, item, Quantity): quantity summed per invoice and item."""
@@ -29,17 +31,35 @@ def basket_arrays(clean: DataFrame, item_col: str = "Description") -> DataFrame:
             .agg(F.sort_array(F.collect_list("item")).alias("items")))
 
 
-def basket_matrix(clean: DataFrame, item_col: str = "Description", items: list[str] | None = None) -> DataFrame:
-    """Wide boolean matrix: one row per invoice, one column per item.
+def item_index(clean: DataFrame, item_col: str = "Description") -> DataFrame:
+    """(item, item_no): the items that occur, numbered from 0 in their order by a range-partitioned rank."""
+    items = clean.select(F.col(item_col).alias("item")).where("item is not null")
+    return dense_index(items, ["item"], "item_no")
+
+
+def basket_vectors(clean: DataFrame, item_col: str = "Description") -> DataFrame:
+    """(InvoiceNo, n_items, item_nos): the wide boolean matrix as one sparse vector per invoice.
+
+    ``item_nos`` are the true columns in order, by ``item_index``; an invoice
+    without a positive quantity has none. The vocabulary stays distributed, so
+    it may have any size; a basket is de-duplicated on both keys before its
+    numbers are collected.
+    """
+    long = basket_long(clean, item_col)
+    numbered = long.join(item_index(clean, item_col), "item", "left")
+    sold = F.when((F.col("Quantity") > 0) & F.col("item_no").isNotNull(), F.col("item_no"))
+    return (numbered.groupBy("InvoiceNo").agg(F.sort_array(F.collect_list(sold)).alias("item_nos"))
+            .select("InvoiceNo", F.size("item_nos").alias("n_items"), "item_nos"))
+
+
+def basket_matrix(clean: DataFrame, items: list[str], item_col: str = "Description") -> DataFrame:
+    """Wide boolean matrix of the named items: one row per invoice, one column per item.
 
-    A wide table needs its column names at plan time: ``items`` names them, by
-    default the item vocabulary, which then comes to the driver. An item that is
-    called like the key column gets the suffix ``_item``. For a large vocabulary
-    ``basket_arrays`` is the better form of the same data.
+    A wide table needs its column names at plan time, so they are the
+    caller's; ``basket_vectors`` is the form for a whole vocabulary. An item
+    that is called like the key column gets the suffix ``_item``.
     """
     long = basket_long(clean, item_col)
-    if items is None:
-        items = [r[0] for r in long.select("item").distinct().orderBy("item").collect() if r[0] is not None]
     names = [f"{i}_item" if i == "InvoiceNo" else i for i in items]
     return long.groupBy("InvoiceNo").agg(F.count(F.lit(1)).alias("_any"), *[
         (F.coalesce(F.sum(F.when(F.col("item") == F.lit(i), F.col("Quantity"))), F.lit(0.0)) > 0).alias(n)

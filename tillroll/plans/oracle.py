@@ -452,6 +452,8 @@ select InvoiceNo, StockCode,
        cast(cast(floor(UnitPrice) as bigint) as varchar) UnitPrice, CustomerID
 from raw""".replace("concat('SET OF 6 \"', Description, '\", TINS')", "'SET OF 6 \"' || Description || '\", TINS'")
 
+ORACLE["csv_scan_latin"] = "select * replace ('crème; ' || Description as Description) from (" + ORACLE["csv_scan"] + ")"
+
 ORACLE["clean_text_lines"] = with_(RAW) + """,
 t as (select *, cast(StockCode as bigint) k, floor(UnitPrice) p from raw)
 select InvoiceNo, StockCode, Description, Quantity, InvoiceDate + case when k % 4 = 0 then interval 123 milliseconds
@@ -477,3 +479,10 @@ bl as (select InvoiceNo, Description item, sum(Quantity) q from clean group by a
 select InvoiceNo, """ + ", ".join(
     f"coalesce(sum(q) filter (where item = '{i}'), 0) > 0 as \"{i}\"" for i in PART_TYPES) + """
 from bl group by InvoiceNo"""
+
+ORACLE["basket_vectors"] = with_(RAW, CLEAN) + """,
+bl as (select InvoiceNo, Description item, sum(Quantity) q from clean group by all),
+ix as (select item, row_number() over (order by item) - 1 n from (select distinct item from bl))
+select InvoiceNo, cast(count(*) filter (where q > 0) as int) n_items,
+       coalesce(string_agg(cast(n as varchar), ',' order by n) filter (where q > 0), '') item_nos
+from bl join ix using (item) group by InvoiceNo"""

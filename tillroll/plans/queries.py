@@ -385,9 +385,19 @@ def q_normalize_columns(spark, sf_dir):
     return normalize_columns(uploaded).select(*REQUIRED_COLUMNS)
 
 
+# The item names of the driver's part table.
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
 @query
 def q_basket_matrix(spark, sf_dir):
-    return baskets.basket_matrix(_clean(spark, sf_dir))
+    return baskets.basket_matrix(_clean(spark, sf_dir), PART_TYPES)
+
+
+@query
+def q_basket_vectors(spark, sf_dir):
+    b = baskets.basket_vectors(_clean(spark, sf_dir))
+    return b.select("InvoiceNo", "n_items", F.array_join("item_nos", ",").alias("item_nos"))
 
 
 # ---- hierarchical clustering ------------------------------------------------
@@ -443,7 +453,7 @@ def q_silhouette_squared(spark, sf_dir):
 
 
 # ---- text input ---------------------------------------------------------------
-from tillroll.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
+from tillroll.session import cut_lineage, ensure_checkpoint_dir, track_folder  # noqa: E402
 from tillroll.sources.csv import read_retail_csv  # noqa: E402
 from tillroll.sources.sinks import write_csv  # noqa: E402
 
@@ -461,14 +471,29 @@ def _awkward_lines(spark, sf_dir):
         F.floor("UnitPrice").cast("string").alias("UnitPrice"), "CustomerID")
 
 
+def _csv_folder(spark):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-csv-{uuid.uuid4().hex}"
+    track_folder(spark, path)
+    return path
+
+
 @query
 def q_csv_scan(spark, sf_dir):
     """The lines written as CSV and read back."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-csv-{uuid.uuid4().hex}"
+    path = _csv_folder(spark)
     write_csv(_awkward_lines(spark, sf_dir), path)
     return read_retail_csv(spark, path).select(*REQUIRED_COLUMNS)
 
 
+@query
+def q_csv_scan_latin(spark, sf_dir):
+    """The same with semicolons and Latin-1 letters, written and read in that encoding."""
+    path = _csv_folder(spark)
+    lines = _awkward_lines(spark, sf_dir).withColumn("Description", F.concat(F.lit("crème; "), "Description"))
+    write_csv(lines, path, sep=";", encoding="ISO-8859-1")
+    return read_retail_csv(spark, path).select(*REQUIRED_COLUMNS)
+
+
 @query
 def q_clean_text_lines(spark, sf_dir):
     """Cleaning of an all-text table: four date layouts, NaN and malformed quantities."""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",", encoding: str = "UTF-8") -> None:
     """CSV with a header line, one file per partition; quotes are doubled, so ``read_retail_csv`` gets the rows back."""
     (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .option("sep", sep).option("encoding", encoding)
      .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
      .csv(path))
 
