@@ -40,10 +40,12 @@ def exact_members(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     full = (base.withColumn("__er_pre", F.xxhash64(head)).join(prefixes, ["__er_len", "__er_pre"])
             .select(F.unhex(F.sha2("text", 256)).alias("__er_full"), *_id_key()))
     per_id = cut_lineage(full.groupBy("__er_full", "__er_id", "__er_null").agg(F.count(F.lit(1)).alias("__er_n")))
-    groups = (per_id.groupBy("__er_full")
-              .agg(F.sum("__er_n").alias("__er_size"),
-                   F.max(F.struct((~F.col("__er_null")).alias("some"), F.col("__er_id").alias("id"))).alias("top"))
-              .where("__er_size > 1"))
+    # written, so that the join below reads two plain tables and Spark can split a large group
+    groups = cut_lineage(
+        per_id.groupBy("__er_full")
+        .agg(F.sum("__er_n").alias("__er_size"),
+             F.max(F.struct((~F.col("__er_null")).alias("some"), F.col("__er_id").alias("id"))).alias("top"))
+        .where("__er_size > 1"))
     return cut_lineage(per_id.join(groups, "__er_full").select(
         "__er_full", "__er_id", "__er_null", "__er_n",
         F.when(F.col("top.some"), F.col("top.id")).alias("__er_keep"), "__er_size"))
@@ -107,11 +109,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = exact_members(docs)
     cols = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(*cols, F.unhex(F.sha2(_text(), 256)).alias("__er_full"), *_id_key())
+    # written by narrow keys: of one doc_id, 60 bits of the hash tell two texts apart
+    short = F.conv(F.substring(F.hex("__er_full"), 1, 15), 16, 10).cast("long").alias("__er_short")
+    key = ["__er_short", "__er_id", "__er_null"]
     repeats = _repeats(found)
+    gone = found.where(~_is_kept())
+    gone = cut_lineage((gone if repeats is None else gone.select(*_KEY).unionAll(repeats)).select(short, *key[1:]))
+    single = rows.withColumn("__er_short", short).join(gone, key, "left_anti").select(*cols)
     if repeats is None:
-        return rows.join(found.where(~_is_kept()).select(*_KEY), _KEY, "left_anti").select(*cols)
+        return single
     # rows that repeat a kept doc_id and text: written and numbered, the first of each stays
-    single = rows.join(found.where(~_is_kept()).select(*_KEY).unionAll(repeats), _KEY, "left_anti").select(*cols)
     numbered = cut_lineage(rows.join(repeats, _KEY, "left_semi").select("*", F.monotonically_increasing_id().alias("__er_row")))
     first = numbered.groupBy(*_KEY).agg(F.min("__er_row").alias("__er_row")).select("__er_row")
     return single.unionAll(numbered.join(first, "__er_row", "left_semi").select(*cols))
