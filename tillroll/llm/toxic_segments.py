@@ -14,8 +14,6 @@ from tillroll.llm.common import cut_lineage, plain_names, ship_package, text_sli
 
 #: Bound of the sample that the model is fitted on: labelled rows, in the order of a hash of their doc_id.
 FIT_ROWS = 30_000
-#: Bound of the model: tokens with a weight of their own, strongest evidence first.
-MAX_FEATURES = 50_000
 #: Strength of the Dirichlet prior, in tokens, shaped like the sample's background, and its least share of a token.
 PRIOR_TOKENS = 5_000.0
 FLOOR = 0.25
@@ -106,14 +104,14 @@ class ToxicModel:
         return top, sizes, spans
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_features: int = MAX_FEATURES,
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
         prior: float = PRIOR_TOKENS) -> ToxicModel:
     """Learn weights and calibration from at most ``fit_rows`` labelled rows that aren't held out.
 
     Copies of one text count once, so a large group of copies doesn't make its
     rare words evidence. Token counts are grouped by Spark; only tokens whose
     counts stand out beyond what the vocabulary's size explains (z above
-    sqrt(2 ln V)) come to the driver, at most ``max_features``.
+    sqrt(2 ln V)) come to the driver; the sample's rows bound their number.
     """
     ship_package(docs.sparkSession)
     usable = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -157,8 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_featur
     z = F.when(F.col("yes") > both * share, root).otherwise(-root)
     bar = float(np.sqrt(2 * np.log(max(size, 2))))
     chosen = (counts.select("token", "yes", "no", odds.alias("w"), z.alias("z"))
-              .where((F.col("z") > bar) & (F.col("w") > 0) & (F.col("yes") >= 3))
-              .orderBy(F.desc("z"), "token").limit(max_features).collect())
+              .where((F.col("z") > bar) & (F.col("w") > 0)).orderBy(F.desc("z"), "token").collect())
     model.tokens = [r.token for r in chosen]
     model.weights = [float(r.w) for r in chosen]
     yes, no = sum(r.yes for r in chosen), sum(r.no for r in chosen)
