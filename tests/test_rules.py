@@ -133,3 +133,15 @@ def test_no_itemset_with_two_items_gives_no_rule(spark):
     its = spark.createDataFrame([(["a"], 1.0)], "items array<string>, support double")
     assert rules.association_rules(its).count() == 0
     assert rules.association_rules(its.where("support < 0")).count() == 0
+
+
+def test_large_baskets_are_paired_in_blocks(spark, monkeypatch):
+    """One basket of 300 items beside small ones: every pair once, whatever block its items are in."""
+    monkeypatch.setattr(mining, "BASKET_BLOCK", 20)
+    rows = [("big", f"i{j:03d}") for j in range(300)] + [("s1", "i001"), ("s1", "i007"), ("s2", "i001"), ("s2", "i007")]
+    df = spark.createDataFrame(rows, "InvoiceNo string, item string")
+    got = {(r.a, r.b): r.freq for r in mining.pair_counts(df).collect()}
+    assert len(got) == 300 * 299 // 2 and all(a < b for a, b in got)
+    assert got["i001", "i007"] == 3 and sum(got.values()) == len(got) + 2
+    assert {tuple(r["items"]): r.freq for r in mining.apriori_itemsets(df, 1.0).collect()} == {
+        ("i001",): 3, ("i007",): 3, ("i001", "i007"): 3}

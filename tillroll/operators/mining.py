@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from tillroll.session import cut_lineage
 
 
+#: Items of one basket that are paired within one join key.
+BASKET_BLOCK = 1024
+
+
 def min_count(min_support: float, n_baskets: int) -> int:
     return int(math.ceil(min_support * n_baskets))
 
@@ -64,11 +68,22 @@ def _numbered(level: DataFrame) -> DataFrame:
     return cut_lineage(level.withColumn("id", F.monotonically_increasing_id()))
 
 
-def _pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(InvoiceNo, a, b) of every two items a < b of a basket, one row per pair."""
-    return (left.select("InvoiceNo", F.col(key).alias("a"), F.col("item").alias("ia"))
-            .join(right.select("InvoiceNo", F.col(key).alias("b"), F.col("item").alias("ib")), "InvoiceNo")
-            .where("ia < ib").select("InvoiceNo", "a", "b"))
+def _pairs(items: DataFrame, key: str) -> DataFrame:
+    """(InvoiceNo, a, b) of every two items of a basket in order of their names, one row per pair.
+
+    A basket of more than ``BASKET_BLOCK`` items is dealt to blocks, and every
+    pair of its blocks is a join key of its own: 100,000 items of one invoice
+    meet in thousands of groups of a bounded size, not in one task. The large
+    baskets are listed first (usually none), so the others join as they are.
+    """
+    large = cut_lineage(items.groupBy("InvoiceNo").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BASKET_BLOCK)
+                        .select("InvoiceNo", F.ceil(F.col("_n") / BASKET_BLOCK).cast("int").alias("_nb")))
+    rows = items.join(large, "InvoiceNo", "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
+    own = F.pmod(F.xxhash64(key), F.col("_nb")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
+    left = rows.select("InvoiceNo", F.col(key).alias("a"), F.col("item").alias("ia"), own.alias("_l"), every.alias("_r"))
+    right = rows.select("InvoiceNo", F.col(key).alias("b"), F.col("item").alias("ib"), own.alias("_r"), every.alias("_l"))
+    return left.join(right, ["InvoiceNo", "_l", "_r"]).where("ia < ib").select("InvoiceNo", "a", "b")
 
 
 def apriori_itemsets(items: DataFrame, min_support: float = 0.02,
@@ -77,7 +92,7 @@ def apriori_itemsets(items: DataFrame, min_support: float = 0.02,
 
     Level 1 counts items; level 2 counts the pairs of a basket's frequent items
     straight from a self-join with partial aggregation (pairs are not written,
-    and Spark can split the join rows of one large basket over tasks). From
+    and one large basket is dealt to many join keys, see ``_pairs``). From
     there an occurrence is a row of two longs, (basket, itemset): level k + 1
     meets the pruned candidates of its itemset and the basket's items, so
     exactly the (basket, candidate) containments are produced, written once,
@@ -98,7 +113,7 @@ def apriori_itemsets(items: DataFrame, min_support: float = 0.02,
         return _with_support(l1.drop("id"), n)
     # an infrequent item is in no itemset
     known = cut_lineage(items.join(l1.select(F.col("items")[0].alias("item"), "id"), "item"))
-    pairs = _pairs(known, known, "id")
+    pairs = _pairs(known, "id")
     names = l1.select("id", F.col("items")[0].alias("name"))
     counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= mc)
     l2 = _numbered(counted.join(names.select(F.col("id").alias("a"), F.col("name").alias("na")), "a")
@@ -135,8 +150,8 @@ def apriori_itemsets(items: DataFrame, min_support: float = 0.02,
 def pair_counts(items: DataFrame) -> DataFrame:
     """Co-occurrence count of every item pair that appears in some basket
     (the level-2 support table before the threshold)."""
-    named = items.withColumn("name", F.col("item"))
-    return _pairs(named, named, "name").groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq"))
+    named = cut_lineage(items.select("InvoiceNo", "item", F.col("item").alias("name")))
+    return _pairs(named, "name").groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def compare_miners(items: DataFrame, baskets: DataFrame, min_support: float = 0.02) -> DataFrame:
