@@ -349,6 +349,37 @@ union all
 select 'rule', position, null, null, null, null, null, antecedent_items, consequent_items, support, confidence, lift
 from prl"""
 
+def _json_items(alias: str, fields: list[tuple[str, bool]], table: str, order: str) -> str:
+    """CTE of one value: the rows of ``table`` as a pretty JSON array (fields: name, whether it is text)."""
+    parts = " || ',' || chr(10) || ".join(
+        f"'    \"{f}\" : ' || " + (f"'\"' || {f} || '\"'" if text else f"cast({f} as varchar)") for f, text in fields)
+    return (f"{alias} as (select coalesce('[ ' || string_agg('{{' || chr(10) || {parts} || chr(10) || '  }}', ', ' "
+            f"order by {order}) || ' ]', '[ ]') j from {table})")
+
+
+SEGMENT_FIELDS = [(f, False) for f in ("cluster_id", "recency_days_avg", "frequency_invoices_avg", "monetary_spend_avg",
+                                       "customer_count")]
+RULE_FIELDS = [("antecedent_items", True), ("consequent_items", True), ("support", False), ("confidence", False),
+               ("lift", False)]
+PAYLOAD = (PAY.rstrip() + """,
+seg as (select Cluster cluster_id, Recency_Mean recency_days_avg, Frequency_Mean frequency_invoices_avg,
+               Monetary_Mean monetary_spend_avg, Customer_Count customer_count from profile),
+""" + _json_items("sj", SEGMENT_FIELDS, "seg", "cluster_id") + ",\n" + _json_items("rj", RULE_FIELDS, "prl", "position") + """,
+pay as (select '{' || chr(10) || '  "project_title" : "%s",' || chr(10) || '  "cluster_segments" : ' || sj.j || ','
+               || chr(10) || '  "top_association_rules" : ' || rj.j || chr(10) || '}' payload from sj, rj)""" % rp.PROJECT_TITLE)
+
+ORACLE["insight_payload_json"] = PAYLOAD + "\nselect payload from pay"
+
+
+def _text(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+ORACLE["prompt_table"] = PAYLOAD + f"""
+select 'chat' as style, {_text(rp.SYSTEM_PROMPT)} as system, {_text(rp.USER_PREFIX)} || payload as prompt from pay
+union all
+select 'plain', null, {_text(rp.SYSTEM_PROMPT + rp.PLAIN_PREFIX)} || payload from pay"""
+
 ORACLE["cluster_personas"] = with_(RAW, CLEAN, RFM, SEGLAB, PROFILE) + """
 select *, case when Monetary_Mean > 500 or Frequency_Mean > 10 then 'High-Value VIP Loyalists'
                when Recency_Mean > 100 then 'At-Risk / Dormant Customers'
