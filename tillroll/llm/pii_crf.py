@@ -15,8 +15,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tillroll.llm.common import plain_names, ship_package, text_slices
 from tillroll.llm.shingles import mix, text_bytes
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")  # the first four have base patterns, secrets only the CRF finds
 LABELS = ("O", *KINDS)
+SECRET = KINDS.index("secret")
 _SLICE = 1 << 20
 
 # ---- base spans ---------------------------------------------------------------------------------
@@ -86,14 +87,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 #: Attributes of a token and their numbers of values; a shape code holds them all.
 ATTRIBUTES = (("digits", 9), ("dots", 4), ("at", 2), ("letters", 2), ("hyphen", 2), ("paren", 2), ("plus", 2),
-              ("other", 2), ("word", 7))
+              ("other", 2), ("word", 8), ("switches", 4))
 _SIZES = np.array([n for _, n in ATTRIBUTES])
 _STRIDES = np.concatenate([[1], np.cumprod(_SIZES)[:-1]])
 CODES = int(np.prod(_SIZES))
 _DIGIT_BUCKET = np.searchsorted([1, 3, 4, 5, 7, 9, 12, 20], np.arange(64), side="right").astype(np.int64)
 #: Words that say what stands beside them, by value of the attribute "word".
 CUES = {1: ("at", "(at)", "[at]"), 2: ("dot", "(dot)", "[dot]"), 3: ("tel", "tel.", "tel:", "phone", "phone:", "call", "fax"),
-        4: ("mail", "mail:", "email", "email:", "e-mail"), 5: ("card", "card:", "visa", "iban"), 6: ("ip", "ip:", "host")}
+        4: ("mail", "mail:", "email", "email:", "e-mail"), 5: ("card", "card:", "visa", "iban"), 6: ("ip", "ip:", "host"),
+        7: ("key", "key:", "api_key", "apikey:", "token", "token:", "secret", "secret:", "bearer", "pwd", "pwd:")}
 
 
 def _word_hash(words: list[bytes]) -> np.ndarray:
@@ -121,7 +123,8 @@ def shapes(buf: np.ndarray, offsets: np.ndarray):
         return np.zeros(0, np.int64), starts, ends, np.zeros(len(offsets), np.int64)
     digit = (buf >= 48) & (buf <= 57)
     low = buf | 32
-    letter = ((low >= 97) & (low <= 122)) | (buf >= 128)
+    ascii_letter = (low >= 97) & (low <= 122) & (buf < 128)
+    letter = ascii_letter | (buf >= 128)
     paren = (buf == 40) | (buf == 41)
     known = digit | letter | paren | space
     # tokens of letters alone, perhaps with one mark at the end, are most of a text: they need no counts
@@ -140,8 +143,11 @@ def shapes(buf: np.ndarray, offsets: np.ndarray):
         hyphen, at = buf == 45, buf == 64
         plain_end = np.isin(buf[e - 1], (44, 58, 59, 33, 63, 34, 39))  # , : ; ! ? " '
         other = count(~(known | (buf == 46) | hyphen | at | (buf == 43)))
+        change = np.zeros(len(buf), dtype=bool)  # between a digit and a letter, within a token
+        change[1:] = (digit[1:] & ascii_letter[:-1]) | (ascii_letter[1:] & digit[:-1])
+        switches = np.searchsorted([1, 3, 6], count(change) - change[s], side="right")
         values = (_DIGIT_BUCKET[np.minimum(count(digit), 63)], np.clip(dots, 0, 3), count(at) > 0, count(letter) > 0,
-                  count(hyphen) > 0, count(paren) > 0, buf[s] == 43, other - (plain_end & (other > 0)) > 0)
+                  count(hyphen) > 0, count(paren) > 0, buf[s] == 43, other - (plain_end & (other > 0)) > 0, np.zeros(len(s), np.int64), switches)
         codes[hard] = sum(np.asarray(v, dtype=np.int64) * _STRIDES[i] for i, v in enumerate(values))
     lens = ends - starts
     short = np.flatnonzero(lens <= 7)
@@ -165,23 +171,29 @@ PLAIN = int(_STRIDES[3])  # letters, and perhaps a full stop, comma or the like
 # ---- the model ----------------------------------------------------------------------------------
 
 #: Marked examples: {kind} takes a value of that kind, {x:kind} a form the base patterns miss, {n} a neutral number,
-#: {w} a word with marks.
+#: {w} a word with marks, {v} a plain word.
 TEMPLATES = (
     "write to {email} for more", "contact {email} or {phone}", "mail {x:email} before noon", "my address is {x:email} thanks",
-    "email: {email} tel: {phone}", "reach {x:email} today", "from {ip} to {ip}", "the host {ip} was down", "ip: {ip} again",
+    "email: {email} tel: {phone}", "reach {x:email} today", "mail me: {x:email} or {x:phone}", "{v} {x:email} {v}", "from {ip} to {ip}", "the host {ip} was down", "ip: {ip} again",
     "login from {ip} failed", "card {card} was charged", "pay with visa {card} now", "card: {x:card} expired",
     "number {x:card} was used", "call {phone} at once", "tel. {x:phone} after five", "phone {x:phone} please",
     "ring me on {x:phone} tonight", "our fax {x:phone} is new", "{x:phone} is my number", "call {x:phone} or mail {email}",
     "on {n} we met at the house", "it costs {n} in all", "see page {n} of the book", "order {n} has left",
     "the dot at the end of it", "look at the {n} people", "he was at home", "version {n} is out", "a dot of ink",
-    "with {n} and {n} of them", "token = {n} was set", "call the {n} men", "card games at {n} tables", "the host at dinner",
+    "key: {x:secret} was set", "the secret {x:secret} was leaked", "api_key = {x:secret} {v}", "pwd {x:secret} {v} {v}",
+    "{v} {x:secret} {v}", "{w} {x:secret} {w}", "sign in with {x:secret} now", "bearer {x:secret} in the header",
+    "he met the {v} at {v} and {v}", "{v} at {v} {v}", "the key {v} of {v}", "a {v} token {v} {v}", "key = {n} {v}",
+    "with {n} and {n} of them", "the secret {v} in {n}", "{v} {v} {n} {v}", "{v} {n} {w}", "{w} {n} {v}", "call the {n} men", "card games at {n} tables", "the host at dinner",
     "between {n} and {n} percent", "room {n} on floor {n}", "email the {n} winners", "in the year {n} it began",
-    "the {w} and {w} of {w}", "{w} {w} {w} {w} {w}", "in {w} we see {w}", "{w} at {w} dot {w}", "tel. {w} or mail {w}",
+    "the {w} and {w} of {w}", "{w} {w} {w} {w} {w}", "in {w} we see {w}", "tel. {w} or mail {w}",
     "und der {n} ist mit dem haus", "le {n} est dans la maison", "el {n} de la casa", "{n} {n} {n} {n}", "( {n} ) and so on",
 )
 EXAMPLES_PER_TEMPLATE = 6
 
 
+ALNUM = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def labelled_table(seed: int = 7) -> list[tuple[list[str], list[int]]]:
     """The training table, a few hundred rows of (tokens, labels) drawn from TEMPLATES by rule."""
     rng = np.random.default_rng(seed)
@@ -195,6 +207,9 @@ def labelled_table(seed: int = 7) -> list[tuple[list[str], list[int]]]:
     def name():
         return "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(3, 9))))
 
+    def mixed(k, letters):
+        return "".join(letters[int(c)] for c in rng.integers(0, len(letters), k))
+
     def card():
         body = num(15)
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
@@ -209,13 +224,17 @@ def labelled_table(seed: int = 7) -> list[tuple[list[str], list[int]]]:
         "card": lambda: pick(card, lambda: fours(" "), lambda: fours("-")),
         "phone": lambda: pick(lambda: f"+1 ({num(3)}) 555-{num(4)}", lambda: f"+49 {num(3)} {num(7)}"),
         "x:email": lambda: pick(lambda: f"{name()}(at){name()}.org", lambda: f"{name()}[at]{name()}.com",
-                                lambda: f"{name()}.{num(2)}@{name()}"),
+                                lambda: f"{name()}.{num(2)}@{name()}", lambda: f"{name()} (at) {name()} (dot) org"),
         "x:card": lambda: fours("."),
         "x:phone": lambda: pick(lambda: f"({num(3)}) 555-{num(4)}", lambda: f"{num(3)}-555-{num(4)}",
-                                lambda: f"{num(3)}.555.{num(4)}"),
+                                lambda: f"{num(3)}.555.{num(4)}", lambda: f"{num(2)} {num(4)} {num(4)}"),
+        "x:secret": lambda: pick(lambda: mixed(24, "0123456789abcdef"), lambda: f'"{mixed(32, "0123456789abcdef")}"',
+                                 lambda: mixed(30, ALNUM), lambda: f"'{mixed(20, ALNUM)}'", lambda: f"sk_live_{mixed(24, ALNUM)}"),
+        "v": name,
         "n": lambda: pick(lambda: num(int(rng.integers(1, 5))), lambda: f"20{num(2)}-0{num(1)}-1{num(1)}", lambda: f"{num(2)}.{num(2)}",
-                          lambda: f"{num(1)},{num(3)}.{num(2)}", lambda: f'"{num(4)}{name()}{num(8)}{name()}"', lambda: f"{num(1)}.{num(1)}.{num(1)}",
-                          lambda: num(16), lambda: f"({num(2)})", lambda: f"{num(2)}%", lambda: f"978-3-16-{num(6)}-{num(1)}",
+                          lambda: f"{num(1)},{num(3)}.{num(2)}", lambda: f'"{name()}{num(3)}"', lambda: f"{num(2)}{name()}",
+                          lambda: f"{name()}{num(2)}-{name()}", lambda: f"{num(1)}.{num(1)}.{num(1)}",
+                          lambda: num(16), lambda: num(int(rng.integers(6, 13))), lambda: f"({num(2)})", lambda: f"{num(2)}%", lambda: f"978-3-16-{num(6)}-{num(1)}",
                           lambda: f"{name()}-{num(2)}", lambda: f"{num(2)}:{num(2)}"),
         "w": lambda: pick(lambda: name() + "###", lambda: name() + "$$$", lambda: name() + ",***", lambda: name() + ".%%%",
                           lambda: f"<p>{name()}</p>", lambda: f"http://{name()}.org/{name()}", lambda: f"{name()}(s)", lambda: "|",
@@ -228,7 +247,7 @@ def labelled_table(seed: int = 7) -> list[tuple[list[str], list[int]]]:
             for piece in re.split(r"(\{[a-z:]+\})", template):
                 kind = piece[1:-1] if piece.startswith("{") else None
                 words = (make[kind]() if kind else piece).split()
-                label = LABELS.index(kind.split(":")[-1]) if kind and kind not in "nw" else 0
+                label = LABELS.index(kind.split(":")[-1]) if kind and kind not in "nwv" else 0
                 tokens += words
                 labels += [label] * len(words)
             rows.append((tokens, labels))
@@ -244,9 +263,15 @@ class ShapeCrf:
         before = t - t[:, :1]                # what entering y instead of O can gain, by the label before
         after = (t - t[:1, :]).T             # what leaving y instead of O can gain, by the label after
         self.bound = np.maximum(before.max(0), 0) + np.maximum(after.max(0), 0)
-        # a plain word between plain words is O for certain, or no token could be skipped
-        own = emit[:, PLAIN].sum(0)
-        self.quiet = bool((own[0] - own[1:] > self.bound[1:]).all())
+        # A stretch of n plain words between plain words, none O, gives up n * loss against all O and can gain
+        # (n - 1) * step within, and ``ends`` at most at its ends (``inner``, if O stands at both).
+        own = np.stack([emit[1, PLAIN] + i * emit[0, PLAIN] + j * emit[2, PLAIN] for i in (0, 1) for j in (0, 1)])
+        loss = (own[:, :1] - own[:, 1:]).min()
+        step = max((t[1:, 1:] - t[0, 0]).max(), 0.0)
+        ends = np.maximum(before.max(0), 0)[1:].max() + np.maximum(after.max(0), 0)[1:].max()
+        inner = max((t[0, 1:] - t[0, 0]).max(), 0.0) + max((t[1:, 0] - t[0, 0]).max(), 0.0)
+        #: Plain words farther than this from any other token are O in every best path (None: nothing is known).
+        self.reach = 2 + int(max(ends - step, 0.0) / (loss - step)) if loss > max(step, inner) else None
 
     def scores(self, codes: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Emission scores of the tokens ``which``; neighbours in other documents don't count."""
@@ -270,10 +295,12 @@ class ShapeCrf:
         if not len(codes):
             return labels
         near = np.ones(len(codes), dtype=bool)
-        if self.quiet:
-            near = codes != PLAIN
-            near[1:] |= codes[:-1] != PLAIN
-            near[:-1] |= codes[1:] != PLAIN
+        if self.reach is not None:
+            marked = np.flatnonzero(codes != PLAIN)
+            size = len(codes) + 1
+            enter = np.bincount(np.maximum(marked - self.reach, 0), minlength=size)
+            leave = np.bincount(np.minimum(marked + self.reach + 1, len(codes)), minlength=size)
+            near = np.cumsum(enter - leave)[:-1] > 0
         which = np.flatnonzero(near)
         if not len(which):
             return labels
@@ -340,7 +367,7 @@ def train(seed: int = 7, rounds: int = 250, ridge: float = 0.02) -> ShapeCrf:
         r, t = np.nonzero(ok)
         for a in range(len(ATTRIBUTES)):
             hot[r, t, place, values[c[ok], a]] = 1
-    x = hot.reshape(size * far, -1)
+    x = hot.reshape(size * far, -1).astype(np.float64)
     w = np.zeros((x.shape[1], labels))
     trans = np.zeros((labels, labels))
     onehot = np.eye(labels)[gold] * inside[:, :, None]
@@ -383,17 +410,34 @@ def train(seed: int = 7, rounds: int = 250, ridge: float = 0.02) -> ShapeCrf:
 _EDGE = " \t\r\n\v\f.,;:!?\"'<>|*#&$%=()[]"
 
 
+#: An address with its marks spelled out: brackets around "at", or bare words that name both "at" and "dot".
+_ADDRESS = re.compile(r"[a-z0-9._%+-]+(?:@|\s*[(\[]at[)\]]\s*)[a-z0-9-]+(?:(?:\.|\s*[(\[]dot[)\]]\s*|\sdot\s)[a-z0-9-]+)*"
+                      r"|[a-z0-9._%+-]+ at [a-z0-9-]+(?: dot [a-z0-9-]+)+")
+_OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+
+
+def _opaque(text: str) -> tuple[int, int] | None:
+    """The longest stretch of letters and digits that can be a secret: both many, and often in turn."""
+    best = max(_OPAQUE.finditer(text), key=lambda m: m.end() - m.start(), default=None)
+    if best is None:
+        return None
+    kinds = ["d" if c in "0123456789" else "a" for c in best.group() if c.isalnum()]
+    turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    return best.span() if turns >= 6 and min(kinds.count("d"), kinds.count("a")) >= 4 else None
+
+
 def _sound(kind: int, text: str) -> bool:
     """Whether a proposed span can be of its kind at all."""
     digits = "".join(_DIGITS.findall(text))
     if kind == 0:
-        low = text.lower()
-        return bool(re.search(r"[a-z0-9](@|[(\[]at[)\]])[a-z0-9]", low)) and " " not in low
+        return bool(_ADDRESS.fullmatch(text.lower()))
     if kind == 1:
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(p) < 4 and int(p) <= 255 for p in parts)
     if kind == 2:
         return 12 <= len(digits) <= 19 and luhn(digits)
+    if kind == SECRET:
+        return True  # _opaque has looked at it
     return 7 <= len(digits) <= 15 and not re.search(r"[A-Za-z@]", text)
 
 
@@ -425,6 +469,9 @@ def find_spans(texts: pa.Array, model: ShapeCrf) -> list[tuple[list, list]]:
                     lo += 1
                 while hi > lo and text[hi - 1] in _EDGE:
                     hi -= 1
+                if label - 1 == SECRET:
+                    part = _opaque(text[lo:hi])
+                    lo, hi = (lo + part[0], lo + part[1]) if part else (lo, lo)
                 if hi > lo and _sound(label - 1, text[lo:hi]) and not any(x < hi and lo < y for x, _, y in base):
                     added.append((lo, label - 1, hi))
         out.append((base, added))
@@ -436,14 +483,16 @@ def _joined(spans) -> str:
 
 
 _FOUND = StructType([StructField(f"n_{n}", LongType()) for n in (*KINDS, "added")]
-                    + [StructField("base_sha256", StringType()), StructField("spans", StringType())])
+                    + [StructField(n, StringType()) for n in ("base_sha256", "spans", "secrets")])
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans) of every whole text.
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_added, base_sha256, spans, secrets) of every whole text.
 
-    ``n_<kind>`` counts base spans and ``n_added`` those that only the CRF
-    finds; an added span never overlaps a base one. Texts are worked through
+    ``n_email`` to ``n_phone`` count base spans and ``n_added`` those of the
+    four kinds that only the CRF finds, which ``spans`` holds with the base
+    ones. Passwords, keys and tokens have no base pattern: ``n_secret`` and
+    ``secrets`` are the CRF's. An added span never overlaps a base one. Texts are worked through
     in their task and nothing is shuffled. Null and empty texts have no spans;
     repeated rows are searched each; null doc_ids stay; an empty table gives
     an empty result; extra columns are ignored.
@@ -456,11 +505,15 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             for part in text_slices(batch, _SLICE):
                 found = find_spans(part.column(1), held.value)
                 counts = [[sum(1 for _, k, _ in base if k == kind) for base, _ in found] for kind in range(4)]
+                added = [[x for x in a if x[1] != SECRET] for _, a in found]
+                secrets = [[x for x in a if x[1] == SECRET] for _, a in found]
                 sha = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(c, pa.int64()) for c in counts),
-                     pa.array([len(a) for _, a in found], pa.int64()), pa.array(sha, pa.string()),
-                     pa.array([_joined(b + a) for b, a in found], pa.string())],
+                     pa.array([len(a) for a in secrets], pa.int64()), pa.array([len(a) for a in added], pa.int64()),
+                     pa.array(sha, pa.string()),
+                     pa.array([_joined(b + a) for (b, _), a in zip(found, added, strict=True)], pa.string()),
+                     pa.array([_joined(a) for a in secrets], pa.string())],
                     names=["doc_id", *_FOUND.names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
