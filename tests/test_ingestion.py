@@ -200,3 +200,16 @@ def test_files_are_split_inside_quoted_cells(spark, tmpdir_path, sep, encoding):
         return text.replace("\r\n", "\n")
 
     assert [tuple(map(same, r)) for r in got] == sorted(tuple(map(same, r)) for r in rows)
+
+
+def test_only_layouts_of_a_texts_shape_are_tried(spark):
+    """No layout reads a text that its shape rules out, and a text has the shape of few layouts."""
+    odd = ["12/1/10 8:26 pm", "1-dec-10", "Dec 1 2010 08:26:01.123", "20101201 082600", "20101201 08:26", "20101201082600",
+           "20101201t082600", "+12010-1-1", "02010-1-1", "1/1/999", "-1/2/2010", "1.2.2010 8:5", "2010-12-01x"]
+    df = spark.createDataFrame([(t,) for t in [*DATES, *odd]], "t string").cache()
+    tried = F.lit(0)
+    for f in coerce.DATE_FORMATS:
+        shape = F.col("t").rlike(coerce.layout_shape(f))
+        assert df.where(F.try_to_timestamp("t", F.lit(f)).isNotNull() & ~shape).isEmpty(), f
+        tried = tried + shape.cast("int")
+    assert df.agg(F.max(tried)).first()[0] <= 3
