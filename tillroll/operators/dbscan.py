@@ -83,6 +83,7 @@ def _box_pairs(left: DataFrame, right: DataFrame, dim: int, e2: float, extra: tu
     """(u, v, n, sure, extra...): cells u of ``left`` and v of ``right`` that may hold points within eps of each other.
 
     ``n`` and the extra columns are those of v; ``sure`` if all their points are that near.
+    A merge join by hint: Spark's estimate doesn't know the exploded offsets, and would broadcast them.
     """
     reach = range(-math.ceil(math.sqrt(dim)), math.ceil(math.sqrt(dim)) + 1)
     offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product(reach, repeat=dim)])
@@ -95,7 +96,7 @@ def _box_pairs(left: DataFrame, right: DataFrame, dim: int, e2: float, extra: tu
              for i in range(dim)]
     span = [F.greatest(F.col(f"b_hi{i}") - F.col(f"a_lo{i}"), F.col(f"a_hi{i}") - F.col(f"b_lo{i}")) for i in range(dim)]
     near = sum((x * x for x in apart), F.lit(0.0)) <= e2 * (1 + 1e-12)
-    return a.join(b, g).where(near).select("u", "v", "n", (sum((x * x for x in span), F.lit(0.0)) <= e2).alias("sure"),
+    return a.hint("merge").join(b, g).where(near).select("u", "v", "n", (sum((x * x for x in span), F.lit(0.0)) <= e2).alias("sure"),
                                            *extra)
 
 
