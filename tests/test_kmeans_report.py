@@ -100,3 +100,41 @@ def test_streaming_clean(spark, tmpdir_path):
     q.stop()
     rows = spark.sql("select InvoiceNo, TotalPrice from cleaned_stream").collect()
     assert [(r.InvoiceNo, r.TotalPrice) for r in rows] == [("1", 3.0)]
+
+
+def test_silhouette_blocks_shuffle_few_rows(spark, monkeypatch):
+    """Any block sizes give the sequential score; by default the points meet in few, large blocks."""
+    import numpy as np
+
+    from tillroll.operators import evaluate as ev
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(c, 1.0, size=(70, 3)) for c in (0, 2, 5)] + [np.full((1, 3), 9.0)])
+    lab = np.repeat([0, 1, 4, 7], [70, 70, 70, 1])
+    df = spark.createDataFrame([(f"{i:03d}", int(c), *map(float, r)) for i, (c, r) in enumerate(zip(lab, x, strict=True))],
+                               "CustomerID string, Cluster int, Recency double, Frequency double, Monetary double")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    s = []
+    for i, c in enumerate(lab):
+        means = {o: d[i, lab == o].sum() / ((lab == o).sum() - (o == c)) for o in set(lab) if o != c or (lab == c).sum() > 1}
+        s.append((min(v for o, v in means.items() if o != c) - means[c]) / max(
+            means[c], min(v for o, v in means.items() if o != c)) if c in means else 0.0)
+    for block in (1 << 19, 64, 9):
+        assert abs(ev.silhouette_exact(df, block_rows=block).first()[0] - np.mean(s)) < 1e-9, block
+    seen = {}
+    real = ev.cogroup_blocks
+    monkeypatch.setattr(ev, "blocks_for", lambda n, rows: seen.setdefault(len(seen), rows) and 2)
+    monkeypatch.setattr(ev, "cogroup_blocks", lambda *a, **k: real(*a, **k))
+    ev.silhouette_exact(df)
+    assert seen[0] >= 1 << 19  # a point is shuffled once a block of that many rows
+
+
+def test_label_sums_equal_all_distances():
+    import numpy as np
+
+    from tillroll.operators.evaluate import label_sums
+    rng = np.random.default_rng(1)
+    lx, rx, lab = rng.normal(size=(70, 3)), rng.normal(size=(50, 3)), rng.integers(0, 4, 50) * 3
+    uniq, sizes, sums = label_sums(lx, rx, lab, tile=5, rows=8)
+    d = np.sqrt(((lx[:, None] - rx[None]) ** 2).sum(-1))
+    assert uniq.tolist() == [0, 3, 6, 9] and sizes.tolist() == [(lab == u).sum() for u in uniq]
+    assert np.allclose(sums, np.stack([d[:, lab == u].sum(1) for u in uniq], 1), rtol=1e-12)

@@ -24,8 +24,31 @@ METRICS_SCHEMA = ("silhouette_score double, davies_bouldin_index double, n_clust
                   "noise_count int, status string")
 
 
+def label_sums(lx, rx, labels, tile: int = 4096, rows: int = 64):
+    """(distinct labels, their sizes, sums): the summed distances of every row of ``lx`` to each label's rows of ``rx``."""
+    order = np.argsort(labels, kind="stable")
+    rc = np.ascontiguousarray(rx[order].T)
+    uniq, first, sizes = np.unique(labels[order], return_index=True, return_counts=True)
+    pieces = [(j, s, min(s + tile, lo + k)) for j, (lo, k) in enumerate(zip(first.tolist(), sizes.tolist(), strict=True))
+              for s in range(lo, lo + k, tile)]
+    sums = np.zeros((len(lx), len(uniq)))
+    d, step = np.empty((rows, tile)), np.empty((rows, tile))  # reused: they stay in the cache
+    for lo in range(0, len(lx), rows):
+        own = lx[lo:lo + rows]
+        for j, s, e in pieces:
+            total, diff = d[:len(own), :e - s], step[:len(own), :e - s]
+            np.subtract(own[:, :1], rc[0, s:e], out=total)
+            np.multiply(total, total, out=total)
+            for c in range(1, len(rc)):
+                np.subtract(own[:, c:c + 1], rc[c, s:e], out=diff)
+                np.multiply(diff, diff, out=diff)
+                np.add(total, diff, out=total)
+            sums[lo:lo + rows, j] += np.sqrt(total, out=total).sum(axis=1)
+    return uniq, sizes, sums
+
+
 def silhouette_exact(points: DataFrame, id_col: str = "CustomerID", label: str = "Cluster",
-                     features=FEATURES, block_rows: int = 4096) -> DataFrame:
+                     features=FEATURES, block_rows: int = 1 << 19) -> DataFrame:
     """Mean silhouette with Euclidean distances, exactly; one row ``silhouette_score``.
 
     For every point the blocked kernel sums its distances to each cluster of
@@ -34,35 +57,37 @@ def silhouette_exact(points: DataFrame, id_col: str = "CustomerID", label: str =
     smallest other-cluster mean, s = (b - a) / max(a, b), s = 0 for a point
     alone in its cluster. Quadratic arithmetic: see ``silhouette_squared``
     for the linear variant.
+
+    Every point is shuffled once a block of the other side, so the blocks are
+    large (the sums of a block come to at most ``block_rows``) and the other
+    side's rows bare numbers; the points whose sums are taken are dealt into
+    at least 48 blocks, one task each.
     """
     pts = points.filter(F.col(label) != NOISE).select(
-        id_col, F.col(label).cast("long").alias("_own"),
+        id_col, F.xxhash64(id_col).alias("_key"), F.col(label).cast("long").alias("_own"),
         *[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
     pts = cut_lineage(pts)   # read by the count and by both kernel sides
-    n = pts.count()
+    size = pts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_own").alias("k")).first()
+    n, k = size["n"], size["k"]
     fcols = [f"_f{i}" for i in range(len(features))]
 
     def kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({id_col: [], "_own": [], "_other": [], "_sum": [], "_cnt": []})
-        lx, rx = lp[fcols].to_numpy(float), rp[fcols].to_numpy(float)
-        uniq, inv = np.unique(rp["_own"].to_numpy(), return_inverse=True)
-        onehot = np.zeros((len(rx), len(uniq)))
-        onehot[np.arange(len(rx)), inv] = 1.0
-        sums = np.empty((len(lx), len(uniq)))
-        for s, d in distance_chunks(lx, rx):
-            sums[s:s + len(d)] = d @ onehot
+        uniq, sizes, sums = label_sums(lp[fcols].to_numpy(float), rp[fcols].to_numpy(float), rp["_own"].to_numpy())
         k = len(uniq)
         return pd.DataFrame({
             id_col: np.repeat(lp[id_col].to_numpy(), k),
             "_own": np.repeat(lp["_own"].to_numpy(), k),
-            "_other": np.tile(uniq, len(lx)),
+            "_other": np.tile(uniq, len(lp)),
             "_sum": sums.ravel(),
-            "_cnt": np.tile(onehot.sum(0), len(lx)).astype("int64"),
+            "_cnt": np.tile(sizes, len(lp)).astype("int64"),
         })
 
     schema = f"{id_col} string, _own long, _other long, _sum double, _cnt long"
-    per = (cogroup_blocks(pts, id_col, blocks_for(n, block_rows), kernel, schema)
+    probe_rows = max(1, min(block_rows // max(k, 1), max(1024, n // 48)))
+    per = (cogroup_blocks(pts.select("_key", "_own", *fcols), "_key", blocks_for(n, block_rows), kernel, schema,
+                          probes=pts, probe_blocks=blocks_for(n, probe_rows))
            .groupBy(id_col, "_own", "_other")
            .agg(F.sum("_sum").alias("_sum"), F.sum("_cnt").alias("_cnt")))
     own = F.col("_own") == F.col("_other")
