@@ -213,3 +213,12 @@ def test_only_layouts_of_a_texts_shape_are_tried(spark):
         assert df.where(F.try_to_timestamp("t", F.lit(f)).isNotNull() & ~shape).isEmpty(), f
         tried = tried + shape.cast("int")
     assert df.agg(F.max(tried)).first()[0] <= 3
+
+
+def test_each_record_is_parsed_once(spark, tmpdir_path):
+    path = f"{tmpdir_path}/a.csv"
+    with open(path, "w") as f:
+        f.write('a,b,c\n1,"x ""y"", z",3\n4,5,6,7\n"p\nq",8\n')
+    df = read_retail_csv(spark, path)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+    assert sorted(map(tuple, df.collect()), key=str) == [("1", 'x "y", z', "3"), ("p\nq", "8", None)]

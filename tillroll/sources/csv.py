@@ -71,7 +71,7 @@ def leaves_inside(line: bytes, sep: bytes, inside: bool) -> bool:
     A quote opens a cell at its start only; inside, two quotes stand for one
     and a single one closes the cell.
     """
-    at = 0
+    at, opener = 0, sep + b'"' if len(sep) == 1 else None  # cells that don't begin with a quote are passed over together
     while True:
         if inside:
             at = line.find(b'"', at)
@@ -85,7 +85,7 @@ def leaves_inside(line: bytes, sep: bytes, inside: bool) -> bool:
             inside = True
             at += 1
             continue
-        at = line.find(sep, at)
+        at = line.find(opener or sep, at)
         if at < 0:
             return False
         at += len(sep)
@@ -98,6 +98,25 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
                        F.col("value").cast("binary").alias("value"), F.is_valid_utf8("value").alias("valid"))
 
 
+def _runs(batch):
+    """(file, start, line values, which of them hold a quote, first, behind) of each byte range's lines in a batch.
+
+    Compared as columns: no Python value is made for a line's file and start, nor for lines that aren't looked at.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    if not n:
+        return
+    new = [pc.not_equal(batch.column(i).slice(1), batch.column(i).slice(0, n - 1)) for i in (0, 1)]
+    edges = [0, *(np.flatnonzero(pc.or_(*new).to_numpy(zero_copy_only=False)) + 1).tolist(), n]
+    quoted = pc.match_substring(batch.column(2), '"')
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        yield (batch.column(0)[lo].as_py(), batch.column(1)[lo].as_py(), batch.column(2).slice(lo, hi - lo),
+               quoted.slice(lo, hi - lo), lo, hi)
+
+
 def _range_facts(lines: DataFrame, sep: str) -> list:
     """One row a byte range, in order: state behind it from either state, whether it closes an open cell, undecodable lines."""
     mark = sep.encode()
@@ -106,15 +125,17 @@ def _range_facts(lines: DataFrame, sep: str) -> list:
         import pyarrow as pa
         now: dict = {}
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            for file, start, value, valid in zip(*columns, strict=True):
+            for file, start, values, quoted, lo, hi in _runs(batch):
                 f = now.setdefault((file, start), [False, True, False, 0, 0])
-                f[3] += not valid
-                f[4] += 1
-                if b'"' in value:
-                    f[0] = leaves_inside(value, mark, f[0])
-                    f[1] = leaves_inside(value, mark, f[1])
-                f[2] |= not f[1]
+                f[3] += hi - lo - batch.column(3).slice(lo, hi - lo).true_count
+                f[4] += hi - lo
+                out, inside, closes = f[:3]
+                for value in values.filter(quoted).to_pylist():  # other lines leave the state as it is
+                    same = out == inside
+                    out = leaves_inside(value, mark, out)
+                    inside = out if same else leaves_inside(value, mark, inside)
+                    closes = closes or not inside
+                f[:3] = out, inside, closes
         rows = [(*k, *v) for k, v in now.items()]
         kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
@@ -141,7 +162,7 @@ def _entries(facts: list) -> dict:
 
 
 def _records(lines: DataFrame, sep: str, entries: dict) -> DataFrame:
-    """(file, origin, at, record, head): whole records (origin null), without headers, and pieces of those that cross ranges.
+    """(file, origin, at, record, head): whole records (only the record), without headers, and pieces of those that cross ranges.
 
     ``head`` marks the first piece of a header that crosses ranges.
     """
@@ -152,7 +173,7 @@ def _records(lines: DataFrame, sep: str, entries: dict) -> DataFrame:
         now, state = None, {}
 
         def emit(rows, origin, parts, file, start):
-            whole = b"\n".join(parts)
+            whole = parts[0] if len(parts) == 1 else b"\n".join(parts)
             head = origin == start == 0 and state["header"]
             if origin is None:
                 if state["header"]:
@@ -161,6 +182,7 @@ def _records(lines: DataFrame, sep: str, entries: dict) -> DataFrame:
                 whole = whole[:-1] if whole.endswith(b"\r") else whole
                 if not whole.strip():
                     return
+                file = start = None  # only pieces are put together by their place
             rows.append((file, origin, start, whole, head))
 
         def finish(rows):
@@ -175,19 +197,22 @@ def _records(lines: DataFrame, sep: str, entries: dict) -> DataFrame:
 
         for batch in batches:
             rows: list = []
-            columns = [batch.column(i).to_pylist() for i in range(3)]
-            for file, start, value in zip(*columns, strict=True):
+            for file, start, values, quoted, _, _ in _runs(batch):
                 if now != (file, start):
                     finish(rows)
                     now = (file, start)
                     origin = held.value[now]
                     state = {"inside": origin is not None, "origin": origin, "parts": [], "header": start == 0}
-                state["parts"].append(value)
-                if state["inside"] or b'"' in value:
-                    state["inside"] = leaves_inside(value, mark, state["inside"])
-                if not state["inside"]:
-                    emit(rows, state["origin"], state["parts"], file, start)
-                    state["parts"], state["origin"] = [], None
+                for value, quote in zip(values.to_pylist(), quoted.to_pylist(), strict=True):
+                    if not quote and not state["inside"]:  # a record on its own
+                        emit(rows, None, [value], file, start)
+                        continue
+                    state["parts"].append(value)
+                    if quote:
+                        state["inside"] = leaves_inside(value, mark, state["inside"])
+                    if not state["inside"]:
+                        emit(rows, state["origin"], state["parts"], file, start)
+                        state["parts"], state["origin"] = [], None
             yield pack(rows)
         rows = []
         finish(rows)
@@ -201,13 +226,13 @@ def _split_scan(spark: SparkSession, path: str, cols: list[str], sep: str, lines
     """The file's rows by records that are cut range by range."""
     entries = _entries(facts)
     records = _records(lines, sep, entries)
-    whole = records.where("origin is null").select("file", "record")
+    whole = records.where("origin is null").select("record")
     if any(v is not None for v in entries.values()):
         pieces = records.where("origin is not null").groupBy("file", "origin").agg(
             F.sort_array(F.collect_list(F.struct("at", "record"))).alias("p"), F.bool_or("head").alias("head"))
         joined = F.aggregate(F.slice("p", 2, 1 << 30), F.col("p")[0]["record"],
                              lambda a, x: F.concat(a, F.lit(b"\n"), x["record"]))
-        whole = whole.unionAll(pieces.where("not head").select("file", joined.alias("record")))
+        whole = whole.unionAll(pieces.where("not head").select(joined.alias("record")))
     text = F.col("record").cast("string") if charset == "utf-8" else F.decode("record", charset)
     if drop_bad:
         text = F.regexp_replace(F.make_valid_utf8(F.col("record").cast("string")), REPLACEMENT_CHAR, "")
@@ -215,8 +240,9 @@ def _split_scan(spark: SparkSession, path: str, cols: list[str], sep: str, lines
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, EXTRA]])
     options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": NULL_SENTINEL,
                "emptyValue": "", "maxCharsPerColumn": "-1"}
-    rows = whole.select(F.from_csv(text, F.lit(schema.simpleString().removeprefix("struct<").removesuffix(">")
-                                               .replace(":", " ")), options).alias("r")).select("r.*")
+    ddl = schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    # a generator: the filter on surplus fields stays above it, instead of parsing every record a second time
+    rows = whole.select(F.inline(F.array(F.from_csv(text, F.lit(ddl), options))))
     return _named(rows, cols)
 
 
