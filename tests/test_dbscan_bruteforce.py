@@ -1,8 +1,10 @@
 """DBSCAN against a sequential brute force, including a hot cell."""
 
 import numpy as np
+import pytest
 
 from tillroll.operators import dbscan
+from tillroll.operators.pairwise import counts_within
 
 
 def brute(x, eps, ms):
@@ -63,3 +65,38 @@ def test_neighbour_counts(spark):
     want = (d <= 0.4).sum(1)
     got = {r.CustomerID: r.n_neighbors for r in dbscan.neighbour_counts(df, 0.4).collect()}
     assert [got[f"{i:04d}"] for i in range(len(x))] == list(want)
+
+
+@pytest.mark.parametrize("decimals", [None, 1])
+def test_strip_counts_equal_brute_force(spark, monkeypatch, decimals):
+    """Counts by strips (free points) and lines (days and counts), many tasks a place, a line dealt by its points."""
+    monkeypatch.setattr(dbscan, "TASK_POINTS", 64)
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(0, 0.3, size=(300, 3)), np.full((40, 3), 0.25)])
+    if decimals is not None:
+        x[:, :2] = np.round(x[:, :2] * 2, decimals) / 4
+        monkeypatch.setattr(dbscan, "LINE_POINTS", 1)
+    df = spark.createDataFrame([(f"{i:04d}", *map(float, r)) for i, r in enumerate(x)],
+                               "CustomerID string, Recency double, Frequency double, Monetary double")
+    want = (((x[:, None, :] - x[None, :, :]) ** 2).sum(-1) <= 0.25).sum(1)
+    got = {r.CustomerID: r.n_neighbors for r in dbscan.neighbour_counts(df, 0.5).collect()}
+    assert [got[f"{i:04d}"] for i in range(len(x))] == list(want)
+
+
+def test_counts_hold_no_table_of_distances():
+    """200,000 points on lines, all near each other: the kernel neither holds nor computes their distances."""
+    import tracemalloc
+    rng = np.random.default_rng(2)
+    t = np.column_stack([rng.integers(0, 10, 200_000) / 40, np.zeros(200_000), rng.uniform(0, 0.4, 200_000)])
+    tracemalloc.start()
+    got = counts_within(t[:20_000], t, 0.5, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == 200_000).all() and peak < 300 << 20
+
+
+def test_counts_within_odd_points():
+    from math import nan
+    got = counts_within(np.array([[0.0, 0.0], [nan, 0.0], [3.0, 0.0]]), np.array([[0.3, 0.4], [0.0, nan], [0.0, 0.0]]), 0.5, None)
+    assert got.tolist() == [2, 0, 0]
+    assert counts_within(np.zeros((2, 1)), np.empty((0, 1)), 0.5, 0.1).tolist() == [0, 0]

@@ -24,21 +24,18 @@ from __future__ import annotations
 import itertools
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.ranking import dense_index
-from tillroll.operators.pairwise import grid_cells, halo_cogroup, packed_points, pairs_within
+from tillroll.operators.pairwise import counts_within, grid_cells, halo_cogroup, packed_points, pairs_within
 from tillroll.operators.rfm import FEATURES
 from tillroll.session import cut_lineage, release
 
 
-def _sq_dists(lx, rx, chunk=512):
-    for s in range(0, lx.shape[0], chunk):
-        diff = lx[s:s + chunk, None, :] - rx[None, :, :]
-        yield s, np.einsum("ijk,ijk->ij", diff, diff)
+#: Points that a line holds on average, at least, to be a strip of its own; points that a task holds of each side.
+LINE_POINTS, TASK_POINTS = 32, 1 << 19
 
 
 def _prep(points: DataFrame, id_col: str, features, eps: float) -> tuple[DataFrame, int]:
@@ -52,22 +49,37 @@ def _prep(points: DataFrame, id_col: str, features, eps: float) -> tuple[DataFra
 
 def neighbour_counts(points: DataFrame, eps: float = 0.5, id_col: str = "CustomerID",
                      features=FEATURES) -> DataFrame:
-    """Exact number of points within ``eps`` of each point (itself included):
-    ``(id, n_neighbors)``. Quadratic work inside dense regions, linear rows."""
+    """Exact number of points within ``eps`` of each point (itself included): ``(id, n_neighbors)``.
+
+    Points are counted along strips (see ``counts_within``). Where points share
+    all coordinates but one (whole days and numbers of orders do), a strip is
+    such a line: the work then grows with the points times the lines around
+    them. Otherwise strips are cells whose side shrinks with the cube root of
+    the number of points, which balances strips against the points at their rims.
+    """
     g, dim = _prep(points, id_col, features, eps)
-    xs = [f"_x{i}" for i in range(dim)]
-    e2 = eps * eps
+    sizes = g.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(f"_x{i}").alias(f"d{i}") for i in range(dim)]).first()
+    along = max(range(dim), key=lambda i: sizes[f"d{i}"])
+    xs = [f"_x{i}" for i in range(dim) if i != along] + [f"_x{along}"]
+    lines = g.groupBy(*xs[:-1]).agg(F.count(F.lit(1)).alias("_k")) if dim > 1 else g.agg(F.count(F.lit(1)).alias("_k"))
+    exact = dim == 1 or lines.count() * LINE_POINTS <= sizes["n"]
+    side = None if exact else eps / max(2, round(0.3 * sizes["n"] ** (1 / 3)))
+    strip = [F.col(x) if exact else F.floor(F.col(x) / side) for x in xs[:-1]]
 
     def kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({"_id": [], "_n": []})
-        lx, rx = lp[xs].to_numpy(float), rp[xs].to_numpy(float)
-        cnt = np.zeros(len(lx), dtype="int64")
-        for s, d2 in _sq_dists(lx, rx):
-            cnt[s:s + len(d2)] = (d2 <= e2).sum(axis=1)
-        return pd.DataFrame({"_id": lp["_id"].to_numpy(), "_n": cnt})
-
-    parts = halo_cogroup(g, g, xs, eps, kernel, "_id string, _n long")
+        return pd.DataFrame({"_id": lp["_id"].to_numpy(),
+                             "_n": counts_within(lp[xs].to_numpy(float), rp[xs].to_numpy(float), eps, side)})
+
+    # a strip's points stay together, but for one that fills a task: that one is dealt by its points
+    keyed = g.select("_id", *xs, F.xxhash64(*strip, F.lit(0)).alias("_strip"))
+    full = keyed.groupBy("_strip").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > TASK_POINTS // 4)
+    keyed = keyed.join(full, "_strip", "left").select("_id", *xs, F.when(F.col("_k").isNull(), F.col("_strip")).otherwise(
+        F.xxhash64("_id", *xs)).alias("_strip"))
+    keyed = cut_lineage(keyed)
+    parts = halo_cogroup(keyed, keyed.drop("_id"), xs, eps, kernel, "_id string, _n long", 2 * eps,
+                         TASK_POINTS // 2, TASK_POINTS, F.col("_strip"))
     return parts.groupBy("_id").agg(F.sum("_n").alias("n_neighbors")).withColumnRenamed("_id", id_col)
 
 
