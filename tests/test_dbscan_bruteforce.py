@@ -100,3 +100,39 @@ def test_counts_within_odd_points():
     got = counts_within(np.array([[0.0, 0.0], [nan, 0.0], [3.0, 0.0]]), np.array([[0.3, 0.4], [0.0, nan], [0.0, 0.0]]), 0.5, None)
     assert got.tolist() == [2, 0, 0]
     assert counts_within(np.zeros((2, 1)), np.empty((0, 1)), 0.5, 0.1).tolist() == [0, 0]
+
+
+def _points(spark, x):
+    return spark.createDataFrame([(f"{i:05d}", *map(float, r)) for i, r in enumerate(x)],
+                                 "CustomerID string, Recency double, Frequency double, Monetary double")
+
+
+def test_dense_cells_meet_a_few_points(spark, monkeypatch):
+    """A dense cloud over many cells: far fewer distances than its points' pairs, the labels of brute force."""
+    work = []
+    plain = dbscan.pairs_within
+
+    def counted(rows, dim, e2):
+        from pyspark.sql import functions as F
+        work.append((rows.agg(F.sum(F.size("xa").cast("long") * F.size("xb"))).first()[0] or 0) / dim ** 2)
+        return plain(rows, dim, e2)
+
+    monkeypatch.setattr(dbscan, "pairs_within", counted)
+    x = np.random.default_rng(21).uniform(0, 0.85, size=(3000, 3))
+    got = {r.CustomerID: r.Cluster for r in dbscan.dbscan(_points(spark, x), 0.5, 5).collect()}
+    assert set(got.values()) == {0} and len(got) == 3000
+    assert sum(work) < 3000 * 3000 / 4
+
+
+def test_sheets_nearly_eps_apart(spark):
+    """Dense sheets whose cells hold no near pair among a few points of each: one pair joins two, none the third."""
+    rng = np.random.default_rng(22)
+    a = np.column_stack([rng.uniform(0, 0.1, 150), rng.uniform(0, 0.1, 150), np.zeros(150)])
+    b = np.column_stack([rng.uniform(0.25, 0.35, 150), rng.uniform(0, 0.1, 150), np.full(150, 0.45)])
+    c = np.column_stack([rng.uniform(0, 0.1, 150), rng.uniform(0, 0.1, 150), np.full(150, -0.5001)])
+    for bridge in ([], [[0.14, 0.05, 0.0], [0.21, 0.05, 0.45]]):
+        x = np.vstack([a, b, c, *[[p] for p in bridge]])
+        for eps in (0.5, 0.47):
+            want = brute(x, eps, 5)
+            got = {r.CustomerID: r.Cluster for r in dbscan.dbscan(_points(spark, x), eps, 5).collect()}
+            assert [got[f"{i:05d}"] for i in range(len(x))] == list(want), (len(bridge), eps)

@@ -10,11 +10,13 @@ Plan: points go to a grid of side eps/sqrt(d), so two points of one cell are
 always within eps. From there on the work is done between *cells*: those that
 may hold points within eps of each other meet in an equi-join of grid
 coordinates, and the bounding boxes of their points decide most pairs (all
-within eps, or none). Distances are computed only for what is left: of points
-in sparse cells whose surely near points don't make them core yet, of core
-cells that the sure links haven't joined, and of border points that a smaller
-label may still reach. A cell's points travel as lists, so rows grow with the
-points, and a cell with a third of them is many lists. Components are labelled
+within eps, or none). Core cells are then joined by a few points of each, at
+most one of every part of a cell, which join all but sparse or truly separate
+cells. Distances are computed only for what is left: of points in sparse cells
+whose surely near points don't make them core yet, of core cells that are in
+different clusters so far, and of border points that a smaller label may still
+reach; and only to points within eps of the other cell's bounding box. These
+travel as lists of bounded length. Components are labelled
 on the core-cell graph by minimum-label propagation with pointer jumping,
 checkpointed each round.
 """
@@ -112,10 +114,28 @@ def _box_pairs(left: DataFrame, right: DataFrame, dim: int, e2: float, extra: tu
                                            *extra)
 
 
-def _lists(points: DataFrame, key: str, wanted: DataFrame, dim: int) -> DataFrame:
-    """(key, x): the points of the wanted cells as lists."""
-    kept = points.join(wanted.select(key).distinct(), key, "left_semi")
-    return packed_points(kept, key, [f"_x{i}" for i in range(dim)])
+def _rims(pairs: DataFrame, boxes: DataFrame, points: DataFrame, dim: int, e2: float) -> DataFrame:
+    """(uv, _id, _x*): for each pair (u, v) the points of cell v within eps of the bounding box of cell u."""
+    xs = [f"_x{i}" for i in range(dim)]
+    box = boxes.select(F.col("cell").alias("u"), *[f"_{s}{i}" for s in ("lo", "hi") for i in range(dim)])
+    apart = [F.greatest(F.lit(0.0), F.col(f"_lo{i}") - F.col(x), F.col(x) - F.col(f"_hi{i}")) for i, x in enumerate(xs)]
+    return (pairs.select("u", "v").join(box, "u").join(points.select(F.col("cell").alias("v"), "_id", *xs), "v")
+            .where(sum((x * x for x in apart), F.lit(0.0)) <= e2 * (1 + 1e-12))
+            .select(F.struct("u", "v").alias("uv"), "_id", *xs))
+
+
+def _rim_lists(pairs: DataFrame, boxes: DataFrame, points: DataFrame, dim: int, e2: float) -> DataFrame:
+    """(u, v, xb): the points of ``_rims`` as lists."""
+    packed = packed_points(_rims(pairs, boxes, points, dim, e2), "uv", [f"_x{i}" for i in range(dim)])
+    return packed.select("uv.u", "uv.v", F.col("x").alias("xb"))
+
+
+def _witnesses(points: DataFrame, key: str, dim: int, side: float) -> DataFrame:
+    """(key, x): one point of each grid cell of that side, as one list a key."""
+    xs = [f"_x{i}" for i in range(dim)]
+    one = points.groupBy(key, *[F.floor(F.col(x) / side).alias(f"_f{i}") for i, x in enumerate(xs)]).agg(
+        F.min(F.array(*xs)).alias("p"))
+    return one.groupBy(key).agg(F.flatten(F.collect_list("p")).alias("x"))
 
 
 def _core_flags(g: DataFrame, dim: int, eps: float, min_samples: int) -> DataFrame:
@@ -128,14 +148,28 @@ def _core_flags(g: DataFrame, dim: int, eps: float, min_samples: int) -> DataFra
     few = sure.where(F.col("sure_n") < min_samples)
     undecided = cut_lineage(near.where("not sure").join(few, "u").select("u", "v"))
     lone = placed.where(F.col("n") < min_samples).select(F.col("cell").alias("u"), F.col("_id"), F.array(*xs).alias("xa"))
-    lists = _lists(placed.withColumnRenamed("cell", "v"), "v", undecided, dim).withColumnRenamed("x", "xb")
-    rows = (undecided.join(lone, "u").join(lists, "v").select(F.col("_id").alias("u"), "v", "xa", "xb"))
+    rows = _rim_lists(undecided, cells, placed, dim, e2).join(lone, "u").select(F.col("_id").alias("u"), "v", "xa", "xb")
     counts = pairs_within(rows, dim, e2).groupBy(F.col("u").alias("_id")).agg(F.sum("n").alias("more"))
     out = placed.join(sure.select(F.col("u").alias("cell"), "sure_n"), "cell", "left").join(counts, "_id", "left")
     total = F.coalesce("sure_n", "n") + F.coalesce("more", F.lit(0))
     return cut_lineage(out.select("_id", *gc, *xs, (total >= min_samples).alias("_core")))
 
 
+def _linked(pairs: DataFrame, one: DataFrame, two: DataFrame, dim: int, e2: float) -> DataFrame:
+    """(u, v) of the pairs with a point of the list of u in ``one`` within eps of one of the list of v in ``two``."""
+    rows = (pairs.join(one.withColumnRenamed("x", "xa").hint("merge"), "u")
+            .join(two.withColumnRenamed("x", "xb").hint("merge"), "v").select("u", "v", "xa", "xb"))
+    return pairs_within(rows, dim, e2).where("n > 0").select("u", "v").distinct()
+
+
+def _met(pairs: DataFrame, one: DataFrame, two: DataFrame, dim: int, e2: float) -> DataFrame:
+    """(u, v): the clusters cu, cv of pairs (uv, cu, cv) whose lists by uv hold points within eps of each other."""
+    rows = (pairs.join(one.withColumnRenamed("x", "xa").hint("merge"), "uv")
+            .join(two.withColumnRenamed("x", "xb").hint("merge"), "uv")
+            .select(F.col("cu").alias("u"), F.col("cv").alias("v"), "xa", "xb"))
+    return pairs_within(rows, dim, e2).where("n > 0").select("u", "v").distinct()
+
+
 def connected_min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node id of each node's connected component: ``(node, comp)``.
 
@@ -178,20 +212,31 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
     flagged = _core_flags(g, dim, eps, min_samples)
     cores = flagged.filter("_core")
 
-    # core cells by their smallest core id; sure links join most of them without a distance
+    # core cells by their smallest core id; sure links and a few points of each cell join most of them
     cells = cut_lineage(_boxes(cores, dim))
-    placed = cores.join(cells.select(*gc, "cell"), gc)
+    placed = cut_lineage(cores.join(cells.select(*gc, "cell"), gc))
     links = cut_lineage(_box_pairs(cells, cells, dim, e2).where("u < v").select("u", "v", "sure"))
-    comps = connected_min_labels(cells.select(F.col("cell").alias("node")), links.where("sure"))
+    side = eps / math.sqrt(dim)
+    few = cut_lineage(_witnesses(placed, "cell", dim, side / 3))
+    seen = cut_lineage(_linked(links.where("not sure"), few.withColumnRenamed("cell", "u"),
+                               few.withColumnRenamed("cell", "v"), dim, e2).unionByName(links.where("sure").select("u", "v")))
+    comps = connected_min_labels(cells.select(F.col("cell").alias("node")), seen)
     sides = [comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "uv"]
     left = cut_lineage(links.where("not sure").join(sides[0], "u").join(sides[1], "v").where("cu != cv")
                        .select("u", "v", "cu", "cv"))
-    lists = cut_lineage(_lists(placed, "cell", left.select(F.explode(F.array("u", "v")).alias("cell")), dim))
-    rows = (left.join(lists.select(F.col("cell").alias("u"), F.col("x").alias("xa")), "u")
-            .join(lists.select(F.col("cell").alias("v"), F.col("x").alias("xb")), "v")
-            .select(F.col("cu").alias("u"), F.col("cv").alias("v"), "xa", "xb"))
-    more = cut_lineage(pairs_within(rows, dim, e2).where("n > 0").select("u", "v").distinct())
-    if not more.isEmpty():
+    if not left.isEmpty():
+        # of cells of different clusters, what lies within eps of the other's box: a finer choice first, then all of it
+        back = left.select(F.col("u").alias("v"), F.col("v").alias("u"))
+        swap = F.struct(F.col("uv.v").alias("u"), F.col("uv.u").alias("v")).alias("uv")
+        rims = [cut_lineage(_rims(back, cells, placed, dim, e2).select(swap, "_id", *xs)),
+                cut_lineage(_rims(left, cells, placed, dim, e2))]
+        named_pairs = left.select(F.struct("u", "v").alias("uv"), "cu", "cv")
+        finer = [_witnesses(r, "uv", dim, side / 12) for r in rims]
+        more = cut_lineage(_met(named_pairs, *finer, dim, e2))
+        rest = named_pairs.join(more.select(F.col("u").alias("cu"), F.col("v").alias("cv")), ["cu", "cv"], "left_anti")
+        rest = cut_lineage(rest)
+        whole = [packed_points(r.join(rest.select("uv"), "uv", "left_semi").dropDuplicates(["uv", *xs]), "uv", xs) for r in rims]
+        more = cut_lineage(more.unionByName(_met(rest, *whole, dim, e2)))
         joined = connected_min_labels(comps.select(F.col("comp").alias("node")).distinct(), more)
         comps = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp").select(
             "node", F.col("root").alias("comp"))
@@ -200,14 +245,13 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
 
     # border points: the smallest label of a core point within eps; sure ones first, then what may be smaller
     rest = flagged.filter(~F.col("_core"))
-    edge = _boxes(rest, dim)
+    edge = cut_lineage(_boxes(rest, dim))
     named = rest.join(edge.select(*gc, F.col("cell").alias("u")), gc).select("_id", "u", F.array(*xs).alias("xa"))
     near = cut_lineage(_box_pairs(edge, cells.join(label, "cell"), dim, e2, ("_label",)))
     best = near.where("sure").groupBy("u").agg(F.min("_label").alias("best"))
     may = near.where("not sure").join(best, "u", "left").where(F.col("best").isNull() | (F.col("_label") < F.col("best")))
     may = cut_lineage(may.select("u", "v", "_label"))
-    lists = _lists(placed.withColumnRenamed("cell", "v"), "v", may, dim).withColumnRenamed("x", "xb")
-    rows = (may.join(named, "u").join(lists, "v")
+    rows = (_rim_lists(may, edge, placed, dim, e2).join(may, ["u", "v"]).join(named, "u")
             .select(F.col("_id").alias("u"), F.col("_label").cast("string").alias("v"), "xa", "xb"))
     found = pairs_within(rows, dim, e2).where("n > 0").select(F.col("u").alias("_id"), F.col("v").cast("long").alias("_label"))
     given = named.join(best, "u").select("_id", F.col("best").alias("_label"))
