@@ -136,3 +136,40 @@ def test_sheets_nearly_eps_apart(spark):
             want = brute(x, eps, 5)
             got = {r.CustomerID: r.Cluster for r in dbscan.dbscan(_points(spark, x), eps, 5).collect()}
             assert [got[f"{i:05d}"] for i in range(len(x))] == list(want), (len(bridge), eps)
+
+
+def test_sheets_just_within_eps_meet_in_parts(spark, monkeypatch):
+    """Dense sheets a hair under eps apart: work far under the pairs of their points, the labels of brute force."""
+    work = []
+    plain = dbscan.pairs_within
+
+    def counted(rows, dim, e2):
+        from pyspark.sql import functions as F
+        work.append((rows.agg(F.sum(F.size("xa").cast("long") * F.size("xb"))).first()[0] or 0) / dim ** 2)
+        return plain(rows, dim, e2)
+
+    monkeypatch.setattr(dbscan, "pairs_within", counted)
+    monkeypatch.setattr(dbscan, "PART_PAIRS", 256, raising=False)
+    xy = np.random.default_rng(23).uniform(0, 0.28, size=(3000, 2))
+    x = np.column_stack([xy, np.where(np.arange(3000) % 2, 0.4999999999, 0.0)])
+    d2 = ((x[::2, None, :] - x[None, 1::2, :]) ** 2).sum(-1)
+    assert (d2 > 0.25).all()
+    got = {r.CustomerID: r.Cluster for r in dbscan.dbscan(_points(spark, x), 0.5, 5).collect()}
+    assert [got[f"{i:05d}"] for i in range(len(x))] == [i % 2 for i in range(3000)]
+    assert sum(work) < 1500 * 1500 / 4
+
+
+@pytest.mark.parametrize("bridge", [False, True])
+def test_parts_equal_brute_force(spark, monkeypatch, bridge):
+    """Tilted sheets, copies and points that differ by rounding, with parts of few points and one pair that joins or none."""
+    monkeypatch.setattr(dbscan, "PART_PAIRS", 4, raising=False)
+    rng = np.random.default_rng(24)
+    a = np.column_stack([rng.uniform(0, 0.25, 60), rng.uniform(0, 0.25, 60), np.zeros(60)])
+    a[:, 2] = a[:, 0] * 0.4
+    b = a + [0.0, 0.0, 0.5 * np.sqrt(1 + 0.16) + 1e-3]
+    clump = np.array([0.0, 0.1, 0.0]) + rng.integers(0, 3, (30, 3)) * 2e-12
+    x = np.vstack([a, b, clump, clump + [0.0, 0.0, 0.5000001], a[:20]])
+    if bridge:
+        x = np.vstack([x, [[0.12, 0.12, 0.12 * 0.4 + 0.02], [0.1, 0.12, 0.1 * 0.4 + 0.5]]])
+    got = {r.CustomerID: r.Cluster for r in dbscan.dbscan(_points(spark, x), 0.5, 5).collect()}
+    assert [got[f"{i:05d}"] for i in range(len(x))] == list(brute(x, 0.5, 5))

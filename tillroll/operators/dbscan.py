@@ -16,13 +16,15 @@ cells. Distances are computed only for what is left: of points in sparse cells
 whose surely near points don't make them core yet, of core cells that are in
 different clusters so far, and of border points that a smaller label may still
 reach; and only to points within eps of the other cell's bounding box. These
-travel as lists of bounded length. Components are labelled
+travel as lists of bounded length. Core cells of different clusters are cut
+into ever smaller parts first, so that only small parts meet point by point. Components are labelled
 on the core-cell graph by minimum-label propagation with pointer jumping,
 checkpointed each round.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -38,6 +40,8 @@ from tillroll.session import cut_lineage, release
 
 #: Points that a line holds on average, at least, to be a strip of its own; points that a task holds of each side.
 LINE_POINTS, TASK_POINTS = 32, 1 << 19
+#: Pairs of points that two parts of cells hold at most to meet all.
+PART_PAIRS = 4096
 
 
 def _prep(points: DataFrame, id_col: str, features, eps: float) -> tuple[DataFrame, int]:
@@ -162,12 +166,50 @@ def _linked(pairs: DataFrame, one: DataFrame, two: DataFrame, dim: int, e2: floa
     return pairs_within(rows, dim, e2).where("n > 0").select("u", "v").distinct()
 
 
-def _met(pairs: DataFrame, one: DataFrame, two: DataFrame, dim: int, e2: float) -> DataFrame:
-    """(u, v): the clusters cu, cv of pairs (uv, cu, cv) whose lists by uv hold points within eps of each other."""
-    rows = (pairs.join(one.withColumnRenamed("x", "xa").hint("merge"), "uv")
-            .join(two.withColumnRenamed("x", "xb").hint("merge"), "uv")
-            .select(F.col("cu").alias("u"), F.col("cv").alias("v"), "xa", "xb"))
-    return pairs_within(rows, dim, e2).where("n > 0").select("u", "v").distinct()
+def _met(pairs: DataFrame, rims: list[DataFrame], dim: int, eps: float, side: float) -> DataFrame:
+    """(u, v): the clusters cu, cv of pairs (uv, cu, cv) that have a point in each of the ``rims`` of uv within eps.
+
+    The rims are cut into parts of that side. Bounding boxes leave the pairs of
+    parts that may hold near points, and one point of each part joins most of
+    their clusters. Pairs of clusters not joined go on with parts of half the
+    side, until their points are few enough to meet all: distances grow with
+    the points, not with their pairs.
+    """
+    xs, e2, none = [f"_x{i}" for i in range(dim)], eps * eps, F.array().cast("array<long>")
+    apart = [F.greatest(F.lit(0.0), F.col(f"blo{i}") - F.col(f"ahi{i}"), F.col(f"alo{i}") - F.col(f"bhi{i}")) for i in range(dim)]
+    near = sum((x * x for x in apart), F.lit(0.0)) <= e2 * (1 + 1e-12)
+    points = [r.dropDuplicates(["uv", *xs]).withColumn("part", none) for r in rims]
+    still, found = pairs.withColumns({"a": none, "b": none}), []
+
+    def joined(rows):
+        hits = pairs_within(rows.select(F.col("cu").alias("u"), F.col("cv").alias("v"), "xa", "xb"), dim, e2)
+        found.append(cut_lineage(hits.where("n > 0").select(F.col("u").alias("cu"), F.col("v").alias("cv")).distinct()))
+        return found[-1]
+
+    while True:
+        last = side < eps * 1e-9  # parts of points that differ by rounding only
+        points = [cut_lineage(p.select("uv", F.col("part").alias("of"), F.array(*[F.floor(F.col(x) / side) for x in xs]).alias("part"),
+                                       "_id", *xs)) for p in points]
+        for p, c in zip(points, "ab", strict=True):
+            parts = p.groupBy("uv", F.col("of").alias(c), F.col("part").alias(f"{c}part")).agg(
+                F.count(F.lit(1)).alias(f"n{c}"), F.min(F.array(*xs)).alias(f"x{c}"),
+                *[f(x).alias(f"{c}{name}{i}") for i, x in enumerate(xs) for f, name in ((F.min, "lo"), (F.max, "hi"))])
+            still = still.hint("merge").join(parts, ["uv", c])
+        still = cut_lineage(still.where(near).select("uv", "cu", "cv", F.col("apart").alias("a"), F.col("bpart").alias("b"),
+                                                     (F.col("na") * F.col("nb")).alias("n"), "xa", "xb"))
+        still = cut_lineage(still.join(joined(still), ["cu", "cv"], "left_anti").drop("xa", "xb"))
+        rows = few = still if last else still.where(F.col("n") <= PART_PAIRS)
+        for p, c in zip(points, "ab", strict=True):
+            own = p.join(few.select("uv", F.col(c).alias("part")), ["uv", "part"], "left_semi")
+            lists = packed_points(own.select(F.struct("uv", "part").alias("key"), "_id", *xs), "key", xs)
+            rows = rows.hint("merge").join(lists.select("key.uv", F.col("key.part").alias(c), F.col("x").alias(f"x{c}")), ["uv", c])
+        more = joined(rows)
+        still = cut_lineage(still.where(F.col("n") > PART_PAIRS).join(more, ["cu", "cv"], "left_anti").drop("n"))
+        if last or still.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        points = [p.join(still.select("uv", F.col(c).alias("part")), ["uv", "part"], "left_semi")
+                  for p, c in zip(points, "ab", strict=True)]
+        side /= 2
 
 
 def connected_min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -225,18 +267,12 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
     left = cut_lineage(links.where("not sure").join(sides[0], "u").join(sides[1], "v").where("cu != cv")
                        .select("u", "v", "cu", "cv"))
     if not left.isEmpty():
-        # of cells of different clusters, what lies within eps of the other's box: a finer choice first, then all of it
+        # of cells of different clusters, what lies within eps of the other's box
         back = left.select(F.col("u").alias("v"), F.col("v").alias("u"))
         swap = F.struct(F.col("uv.v").alias("u"), F.col("uv.u").alias("v")).alias("uv")
-        rims = [cut_lineage(_rims(back, cells, placed, dim, e2).select(swap, "_id", *xs)),
-                cut_lineage(_rims(left, cells, placed, dim, e2))]
-        named_pairs = left.select(F.struct("u", "v").alias("uv"), "cu", "cv")
-        finer = [_witnesses(r, "uv", dim, side / 12) for r in rims]
-        more = cut_lineage(_met(named_pairs, *finer, dim, e2))
-        rest = named_pairs.join(more.select(F.col("u").alias("cu"), F.col("v").alias("cv")), ["cu", "cv"], "left_anti")
-        rest = cut_lineage(rest)
-        whole = [packed_points(r.join(rest.select("uv"), "uv", "left_semi").dropDuplicates(["uv", *xs]), "uv", xs) for r in rims]
-        more = cut_lineage(more.unionByName(_met(rest, *whole, dim, e2)))
+        rims = [_rims(back, cells, placed, dim, e2).select(swap, "_id", *xs), _rims(left, cells, placed, dim, e2)]
+        named_pairs = left.select(F.struct("u", "v").alias("uv"), F.least("cu", "cv").alias("cu"), F.greatest("cu", "cv").alias("cv"))
+        more = cut_lineage(_met(named_pairs, rims, dim, eps, side / 3))
         joined = connected_min_labels(comps.select(F.col("comp").alias("node")).distinct(), more)
         comps = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp").select(
             "node", F.col("root").alias("comp"))
